@@ -6,7 +6,9 @@ SQL, so that results can be compared with another engine.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from flowtriage.functions.replies import parse_reply
 
 FLOWS = """
     SELECT {date}                                                                       AS timestamp,
@@ -33,7 +35,7 @@ FLOWS = """
 """
 
 # One row per labelled document and model. Every 19th document is answered a
-# second time by a later run, every 17th has no truth.
+# second time by a later run; documents of low quality have no truth.
 CALLS = """
     SELECT concat('d', cast(doc_id AS {text}))                              AS record_id,
            doc_id,
@@ -67,7 +69,7 @@ def quoted(text: str | None) -> str:
     return "NULL" if text is None else "'" + text.replace("'", "''") + "'"
 
 
-def by_slot(position: int, sql_type: str, newline: str = "\n") -> str:
+def by_slot(position: int, sql_type: str) -> str:
     """CASE over slot for one part of REPLIES."""
 
     def literal(value: object) -> str:
@@ -104,6 +106,66 @@ def calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def prediction_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The calls as log rows; every reply goes through the parser."""
+    parsed = calls(spark, sf_dir).withColumn("verdict", parse_reply(F.col("raw_response")))
+    ok = F.col("verdict").isNotNull()
+    return parsed.select(
+        F.lit("2026-05-03T00:00:00").alias("timestamp"), "record_index", "record_id", "model_name",
+        F.concat(F.col("model_name"), F.lit("-id")).alias("model_id"),
+        F.coalesce("verdict.prediction", F.lit("error")).alias("prediction"),
+        F.col("verdict.confidence").alias("confidence"),
+        F.coalesce("verdict.reason", F.lit("api_or_parse_error")).alias("reason"),
+        "raw_response",
+        F.when(ok, F.col("input_tokens")).otherwise(F.lit(0)).cast("bigint").alias("input_tokens"),
+        F.when(ok, F.col("output_tokens")).otherwise(F.lit(0)).cast("bigint").alias("output_tokens"),
+        F.when(ok, F.col("latency_ms") / 1000.0).otherwise(F.lit(0.0)).alias("latency_s"),
+        F.when(ok, "ok").otherwise("error").alias("status"),
+        F.when(~ok, "no verdict").alias("error"),
+        F.concat(F.lit("r"), F.col("run")).alias("run_id"),
+        F.col("run").cast("bigint").alias("batch_id"),
+    )
+
+
+def prediction_log_sql() -> str:
+    return f"""
+    SELECT record_index, record_id, model_name, model_ord, coalesce(prediction, 'error') AS prediction, confidence,
+           coalesce(reason, 'api_or_parse_error') AS reason, raw_response,
+           CASE WHEN prediction IS NULL THEN 0 ELSE input_tokens END AS input_tokens,
+           CASE WHEN prediction IS NULL THEN 0 ELSE output_tokens END AS output_tokens,
+           CASE WHEN prediction IS NULL THEN 0.0 ELSE latency_ms / 1000.0 END AS latency_s,
+           CASE WHEN prediction IS NULL THEN 'error' ELSE 'ok' END AS status,
+           run, concat('r', cast(run AS VARCHAR)) AS run_id
+    FROM ({calls_sql()})
+    """
+
+
+def eval_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labelled rows of the documents; only those of good quality have truth."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return labels.filter("quality = 1").select(
+        F.concat(F.lit("d"), F.col("doc_id")).alias("record_id"),
+        F.col("doc_id").alias("sample_rank"),
+        F.when(F.col("toxic") == 1, "blacklist").otherwise("background").alias("label"),
+    )
+
+
+def eval_rows_sql() -> str:
+    return """
+    SELECT concat('d', cast(doc_id AS VARCHAR)) AS record_id, doc_id AS sample_rank,
+           CASE WHEN toxic = 1 THEN 'blacklist' ELSE 'background' END AS label
+    FROM labels WHERE quality = 1
+    """
+
+
+def records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All labelled documents as records to process."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return labels.select(
+        F.concat(F.lit("d"), F.col("doc_id")).alias("record_id"), F.col("doc_id").alias("sample_rank")
+    )
+
+
 def calls_sql() -> str:
     labelled = f"""labels, (VALUES {MODELS}) AS m(model_name, model_ord, provider)
         JOIN (VALUES (0), (1)) AS r(run) ON r.run = 0 OR doc_id % 19 = 0"""

@@ -15,7 +15,9 @@ from flowtriage.operators.scoring import (
     RetryPolicy, Scorer, missing_id_errors, pending, predictions_of, record_requests, score, with_prompt,
 )
 from flowtriage.session import materialise
-from flowtriage.sources.predictions import append_predictions, errors, latest_predictions, read_log, reset_outputs
+from flowtriage.sources.predictions import (
+    append_predictions, errors, latest_predictions, next_batch, read_log, reset_outputs,
+)
 from flowtriage.sources.reports import report_rows, unpivot_rows, write_report
 
 SECTIONS = {
@@ -93,7 +95,8 @@ def run_evaluation(
     records = limit_records(api_records, limit)
     requests = record_requests(records)
     todo = with_prompt(pending(requests, models, read_log(spark, log_path), retry_errors), policy)
-    append_predictions(predictions_of(score(todo, scorer, concurrency, retries, pause, sleep)), log_path, run_id)
+    rows = predictions_of(score(todo, scorer, concurrency, retries, pause, sleep))
+    append_predictions(rows, log_path, run_id, next_batch(spark, log_path, run_id))
 
     log = read_log(spark, log_path)
     truth = evaluation.truth_of(eval_records)

@@ -6,6 +6,8 @@ its own folders, so writing it again after a failure adds nothing twice.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from flowtriage.operators.evaluation import last_rows, split_valid_ids
@@ -22,11 +24,23 @@ LOG_ORDER = ["run_id", "batch_id", "timestamp", "record_index"]
 LOG_KEYS = ["model_name", "record_id"]
 
 
+def next_batch(spark: SparkSession, path: str, run_id: str) -> int:
+    """The first batch number the run has not used."""
+    used = storage.glob(spark, f"{path}/model_name=*/run_id={_plain(run_id)}/batch_id=*")
+    return max((int(folder.rsplit("=", 1)[1]) + 1 for folder in used), default=0)
+
+
+def _plain(run_id: str) -> str:
+    if not re.fullmatch(r"[A-Za-z0-9_.-]+", run_id):
+        raise ValueError(f"run ids become folder names: {run_id!r}")
+    return run_id
+
+
 def append_predictions(rows: DataFrame, path: str, run_id: str, batch_id: int = 0) -> None:
     """OK and error rows of one batch, written once per batch rather than once per row."""
     (
         rows.select(*PREDICTION_SCHEMA.names)
-        .withColumns({"run_id": F.lit(run_id), "batch_id": F.lit(batch_id).cast("bigint")})
+        .withColumns({"run_id": F.lit(_plain(run_id)), "batch_id": F.lit(batch_id).cast("bigint")})
         .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
         .partitionBy("model_name", "run_id", "batch_id").parquet(path)
     )
