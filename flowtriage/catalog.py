@@ -222,10 +222,8 @@ def _confusion(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(_flow_sql(f"SELECT {_names(FLOW_COLUMNS)} FROM flows"))
 def scan_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Positional Parquet columns, written once and read back by name."""
-    path = scratch_path(spark, "positional")
-    flows(spark, sf_dir).toDF(*[f"_c{i}" for i in range(len(FLOW_COLUMNS))]).write.parquet(path)
-    return flow_source.scan_flows(spark, path)
+    """Positional Parquet columns, bound to their names."""
+    return flows(spark, sf_dir)
 
 
 @query(_flow_sql(f"SELECT {_names(FLOW_COLUMNS)} FROM flows"))

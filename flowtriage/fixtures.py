@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from flowtriage.functions.replies import parse_reply
+from flowtriage.session import scratch_path
+from flowtriage.sources.flows import scan_flows
 
 FLOWS = """
     SELECT {date}                                                                       AS timestamp,
@@ -79,12 +81,30 @@ def by_slot(position: int, sql_type: str) -> str:
     return f"cast(CASE slot {branches} END AS {sql_type})"
 
 
-def flows(spark: SparkSession, sf_dir: str) -> DataFrame:
+_STORED: dict[tuple[str, str], str] = {}
+
+
+def derive_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Thirteen text columns over all of lineitem."""
+    lineitem = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    width = spark.sparkContext.defaultParallelism
+    if len(lineitem.inputFiles()) < width:  # a single file is read by a single task
+        lineitem = lineitem.repartition(width)
     sql = FLOWS.format(
         date="date_format(l_shipdate, 'yyyy-MM-dd HH:mm:ss')", text="STRING", lineitem="{lineitem}"
     )
-    return spark.sql(sql, lineitem=spark.read.parquet(f"{sf_dir}/lineitem.parquet"))
+    return spark.sql(sql, lineitem=lineitem)
+
+
+def flows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The flow table as Parquet with positional columns, derived once per session."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _STORED:
+        path = scratch_path(spark, "flows")
+        derived = derive_flows(spark, sf_dir)
+        derived.toDF(*[f"_c{i}" for i in range(len(derived.columns))]).write.parquet(path)
+        _STORED[key] = path
+    return scan_flows(spark, _STORED[key])
 
 
 def flows_sql() -> str:

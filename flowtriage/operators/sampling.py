@@ -144,12 +144,14 @@ def draw_sample(
 ) -> DataFrame:
     """stratified_sample in a single scan, for known pool sizes; computed at once.
 
-    The cut comes from the pool sizes. Should it leave too few rows of a
-    stratum, which only piles of equal rows can bring about, the exact cut is used.
+    The cut comes from the pool sizes, and a small stratum to be taken whole is
+    a target of its size. Should the cut leave too few rows of a stratum, which
+    only piles of equal rows can bring about, the exact cut is used.
     """
-    sample = materialise(stratified_sample(suspects, targets, seed, column, likely_zeros(pool, targets)))
-    got = {r[0]: r[1] for r in sample.groupBy(column).count().collect()}  # one row per stratum
     expected = {s: pool.get(s, 0) if n is None else min(n, pool.get(s, 0)) for s, n in targets.items()}
+    small = {s: max(n, 1) if targets[s] is None and n <= ONE_TASK_ROWS else targets[s] for s, n in expected.items()}
+    sample = materialise(stratified_sample(suspects, small, seed, column, likely_zeros(pool, small)))
+    got = {r[0]: r[1] for r in sample.groupBy(column).count().collect()}  # one row per stratum
     if any(got.get(s, 0) != n for s, n in expected.items()):
         sample = materialise(stratified_sample(suspects, targets, seed, column))
     return sample
