@@ -30,12 +30,12 @@ def ci_margin(n: Column, z: float = 1.96, p: float = 0.5) -> Column:
     return F.when(n > 0, py_round(F.lit(z) * F.sqrt(F.lit(p * (1 - p)) / n.cast("double")) * F.lit(100.0), 2))
 
 
-def lenient_integer(column: str, sql_type: str) -> Column:
-    """Text to integer as non-ANSI casts do it: a decimal fraction is cut off, junk is NULL.
+def lenient_integer(column: str, sql_type: str) -> str:
+    """SQL for text to integer as non-ANSI casts do it: a decimal fraction is cut off, junk is NULL.
 
     The pattern only runs for values the plain cast refuses.
     """
-    return F.expr(
+    return (
         f"coalesce(try_cast({column} AS {sql_type}),"
         f" try_cast(regexp_replace(cast({column} AS STRING), '[.][0-9]*[ ]*$', '') AS {sql_type}))"
     )

@@ -114,7 +114,7 @@ def checkpoint_series(
     series = running_totals(
         grid.join(per_step, ["model_name", "step"], "left").fillna(0, sums)
         .withColumn("block", F.floor(F.col("step") / 1000)),
-        ["model_name", "model_ord"], "block", [F.col("step")], sums,
+        ["model_name", "model_ord"], "block", ["step"], sums,
     )
     if run_id is None:
         skipped = F.lit(0).cast("bigint")

@@ -40,7 +40,7 @@ def profile_cube(flows: DataFrame, rules: list[Rule] = RULES) -> DataFrame:
 
 
 def _is_suspect(rules: list[Rule]) -> Column:
-    return F.greatest(*[F.col(r.name) for r in rules]) == 1
+    return F.expr(" OR ".join(f"{r.name} = 1" for r in rules))
 
 
 def _total(cube: DataFrame) -> Column:
@@ -59,17 +59,12 @@ def labels_of_cube(cube: DataFrame, rules: list[Rule] = RULES, suspects_only: bo
 
 def rule_contributions(cube: DataFrame, rules: list[Rule] = RULES) -> DataFrame:
     """Hits per rule and their share of all rows."""
-    hits = cube.agg(
-        F.coalesce(F.sum("n"), F.lit(0)).alias("total"),
-        *[F.coalesce(F.sum(F.col("n") * F.col(r.name)), F.lit(0)).alias(r.name) for r in rules],
+    hits = cube.selectExpr("coalesce(sum(n), 0L) AS total", *[f"coalesce(sum(n * {r.name}), 0L) AS {r.name}" for r in rules])
+    facts = ", ".join(
+        f"named_struct('rule', '{r.name}', 'condition', '{r.text}', 'matched_records', {r.name})" for r in rules
     )
-    facts = F.array(*[
-        F.struct(F.lit(r.name).alias("rule"), F.lit(r.text).alias("condition"), F.col(r.name).alias("n"))
-        for r in rules
-    ])
-    return hits.select("total", F.inline(facts)).select(
-        "rule", "condition", F.col("n").alias("matched_records"),
-        safe_pct(F.col("n"), F.col("total")).alias("pct_of_full"),
+    return hits.selectExpr("total", f"inline(array({facts}))").select(
+        "rule", "condition", "matched_records", safe_pct(F.col("matched_records"), F.col("total")).alias("pct_of_full")
     )
 
 
@@ -94,25 +89,28 @@ def rule_overlap(cube: DataFrame, rules: list[Rule] = RULES) -> DataFrame:
 def profile_report(cube: DataFrame, rules: list[Rule] = RULES, suspect_labels: bool = True) -> DataFrame:
     """Every count as (section, key, n, pct), from one pass over the cube."""
 
-    def fact(section: str, key: Column, n: Column) -> Column:
-        return F.struct(F.lit(section).alias("section"), key.alias("key"), n.alias("n"))
+    def fact(section: str, key: str, n: str) -> str:
+        return f"named_struct('section', '{section}', 'key', {key}, 'n', {n})"
 
-    n, label = F.col("n"), F.coalesce("label", F.lit("None"))
-    of_suspects = F.when(_is_suspect(rules), n).otherwise(F.lit(0))
+    label, tagged = "coalesce(label, 'None')", "if(suspect_reason <> '', n, 0L)"
     facts = [
-        fact("total", F.lit("records"), n),
-        fact("suspects", F.lit("records"), of_suspects),
-        fact("label", label, n),
-        fact("rule_overlap", reasons_of_flags(rules), of_suspects),
-        *[fact("rule", F.lit(r.name), n * F.col(r.name)) for r in rules],
+        fact("total", "'records'", "n"),
+        fact("suspects", "'records'", tagged),
+        fact("label", label, "n"),
+        fact("rule_overlap", "suspect_reason", tagged),
+        *[fact("rule", f"'{r.name}'", f"n * {r.name}") for r in rules],
     ]
     if suspect_labels:
-        facts.append(fact("suspect_label", label, of_suspects))
-    counts = cube.select(F.inline(F.array(*facts))).groupBy("section", "key").agg(F.sum("n").alias("n"))
-    # single rules are listed without a hit too, as are the totals
-    counts = counts.filter((F.col("n") > 0) | F.col("section").isin("total", "suspects", "rule"))
+        facts.append(fact("suspect_label", label, tagged))
+    counts = (
+        cube.withColumn("suspect_reason", reasons_of_flags(rules))
+        .selectExpr(f"inline(array({', '.join(facts)}))")
+        .groupBy("section", "key").agg(F.sum("n").alias("n"))
+        # single rules are listed without a hit too, as are the totals
+        .filter("n > 0 OR section IN ('total', 'suspects', 'rule')")
+    )
     whole = F.when(
-        F.col("section").isin("rule_overlap", "suspect_label"), _suspect_total(cube, rules)
+        F.expr("section IN ('rule_overlap', 'suspect_label')"), _suspect_total(cube, rules)
     ).otherwise(_total(cube))
     return counts.select("section", "key", "n", safe_pct(F.col("n"), whole).alias("pct"))
 
@@ -130,20 +128,15 @@ def id_uniqueness(df: DataFrame) -> DataFrame:
 
 def nested_profile(sample: DataFrame, prefixes: dict[str, int]) -> DataFrame:
     """Rows per prefix and label, all prefixes in one pass over the ranked sample."""
-    within = F.array_compact(F.array(
-        *[F.when(F.col("sample_rank") <= k, F.lit(name)) for name, k in prefixes.items()]
-    ))
+    within = ", ".join(f"if(sample_rank <= {k}, '{name}', NULL)" for name, k in prefixes.items())
     return (
-        sample.select(F.explode(within).alias("sample"), F.coalesce("label", F.lit("None")).alias("label"))
+        sample.selectExpr(f"explode(array_compact(array({within}))) AS sample", "coalesce(label, 'None') AS label")
         .groupBy("sample", "label").agg(F.count("*").alias("n"))
     )
 
 
 def nested_counts(sample: DataFrame, prefixes: dict[str, int]) -> DataFrame:
     """Rows per prefix with the 95 % margin of error of that size."""
-    hits = sample.agg(*[F.count_if(F.col("sample_rank") <= k).alias(name) for name, k in prefixes.items()])
-    facts = F.array(*[
-        F.struct(F.lit(name).alias("sample"), F.lit(k).cast("bigint").alias("target"), F.col(name).alias("n"))
-        for name, k in prefixes.items()
-    ])
-    return hits.select(F.inline(facts)).withColumn("ci_margin_percent", ci_margin(F.col("n")))
+    hits = sample.selectExpr(*[f"count_if(sample_rank <= {k}) AS {name}" for name, k in prefixes.items()])
+    facts = ", ".join(f"named_struct('sample', '{name}', 'target', {k}L, 'n', {name})" for name, k in prefixes.items())
+    return hits.selectExpr(f"inline(array({facts}))").withColumn("ci_margin_percent", ci_margin(F.col("n")))

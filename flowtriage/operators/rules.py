@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from dataclasses import dataclass
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -13,10 +11,10 @@ from flowtriage.functions.numbers import lenient_integer
 
 @dataclass(frozen=True)
 class Rule:
-    """A named predicate over flow columns; a NULL predicate is no hit."""
+    """A named SQL predicate over flow columns; a NULL predicate is no hit."""
 
     name: str
-    condition: Callable[[], Column]
+    condition: str
     text: str
 
 
@@ -26,27 +24,31 @@ MAX_BYTES = 1_000_000
 SENSITIVE_PORTS = [22, 23, 445, 3389]
 
 RULES = [
-    Rule("high_packet_count", lambda: lenient_integer("total_pkts", "BIGINT") > MAX_PACKETS, "total_pkts > 1000"),
-    Rule("high_bytes", lambda: lenient_integer("total_bytes", "BIGINT") > MAX_BYTES, "total_bytes > 1000000"),
-    Rule("sensitive_port", lambda: lenient_integer("dst_port", "INT").isin(SENSITIVE_PORTS),
+    Rule("high_packet_count", f"{lenient_integer('total_pkts', 'BIGINT')} > {MAX_PACKETS}", "total_pkts > 1000"),
+    Rule("high_bytes", f"{lenient_integer('total_bytes', 'BIGINT')} > {MAX_BYTES}", "total_bytes > 1000000"),
+    Rule("sensitive_port", f"{lenient_integer('dst_port', 'INT')} IN ({', '.join(map(str, SENSITIVE_PORTS))})",
          "dst_port in [22,23,445,3389]"),
-    Rule("icmp_traffic", lambda: F.upper("protocol") == "ICMP", "upper(protocol) == ICMP"),
+    Rule("icmp_traffic", "upper(protocol) = 'ICMP'", "upper(protocol) == ICMP"),
 ]
 
 
 def rule_flags(rules: list[Rule] = RULES) -> list[Column]:
     """One 0/1 column per rule."""
-    return [F.when(r.condition(), F.lit(1)).otherwise(F.lit(0)).alias(r.name) for r in rules]
+    return [F.expr(f"CASE WHEN {r.condition} THEN 1 ELSE 0 END").alias(r.name) for r in rules]
+
+
+def _named_hits(conditions: dict[str, str]) -> str:
+    return ", ".join(f"CASE WHEN {condition} THEN '{name}' END" for name, condition in conditions.items())
 
 
 def reasons(rules: list[Rule] = RULES) -> Column:
     """Comma-joined names of the rules hit, in rule order; '' without a hit."""
-    return F.concat_ws(",", *[F.when(r.condition(), F.lit(r.name)) for r in rules])
+    return F.expr(f"concat_ws(',', {_named_hits({r.name: r.condition for r in rules})})")
 
 
 def reasons_of_flags(rules: list[Rule] = RULES) -> Column:
     """The same text from the columns rule_flags made."""
-    return F.concat_ws(",", *[F.when(F.col(r.name) == 1, F.lit(r.name)) for r in rules])
+    return F.expr(f"concat_ws(',', {_named_hits({r.name: f'{r.name} = 1' for r in rules})})")
 
 
 def tag_reasons(flows: DataFrame, rules: list[Rule] = RULES) -> DataFrame:
@@ -55,15 +57,13 @@ def tag_reasons(flows: DataFrame, rules: list[Rule] = RULES) -> DataFrame:
 
 def suspects(flows: DataFrame, rules: list[Rule] = RULES) -> DataFrame:
     """Rows hit by at least one rule; the text is only built for those."""
-    hit = reduce(lambda a, b: a | b, [r.condition() for r in rules])
-    return tag_reasons(flows.filter(hit), rules)
+    return tag_reasons(flows.filter(" OR ".join(f"({r.condition})" for r in rules)), rules)
 
 
 def rules_hit(flows: DataFrame, rules: list[Rule] = RULES) -> DataFrame:
     """The hits as an array column, for per-rule work on single rows."""
-    return flows.withColumn(
-        "rules", F.array_compact(F.array(*[F.when(r.condition(), F.lit(r.name)) for r in rules]))
-    )
+    hits = _named_hits({r.name: r.condition for r in rules})
+    return flows.withColumn("rules", F.expr(f"array_compact(array({hits}))"))
 
 
 def require_nonempty(df: DataFrame, what: str = "suspects") -> DataFrame:

@@ -13,7 +13,7 @@ from __future__ import annotations
 import math
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from flowtriage.functions.identity import record_id, row_hash
 from flowtriage.operators.running import running_totals
@@ -36,20 +36,23 @@ def stratum_filter(df: DataFrame, strata: list[str], column: str = "label") -> D
 
 
 def _leading_zeros() -> Column:
-    return F.lit(HASH_DIGITS) - F.length(F.ltrim(F.col("_hash"), F.lit("0")))
+    return F.expr(f"{HASH_DIGITS} - length(ltrim('0', _hash))")
 
 
 def _exact_zeros(hashed: DataFrame, targets: dict[str, int]) -> DataFrame:
     """(_stratum, _need) with the largest number of zeros that leaves the target; one row per stratum."""
-    upward = Window.partitionBy("_stratum").orderBy(F.desc("_zeros"))
-    enough = F.sum("_n").over(upward) >= _per_stratum(targets)
+    left = "sum(_n) OVER (PARTITION BY _stratum ORDER BY _zeros DESC)"
     return (
         hashed.groupBy("_stratum", "_zeros").agg(F.count("*").alias("_n"))
-        .select("_stratum", F.when(enough, F.col("_zeros")).otherwise(F.lit(0)).alias("_zeros"))
+        .selectExpr("_stratum", f"if({left} >= {_per_stratum(targets)}, _zeros, 0) AS _zeros")
         .groupBy("_stratum").agg(F.max("_zeros").alias("_need"))
     )
 
 
+def _literal_zeros(spark: SparkSession, zeros: dict[str, int]) -> DataFrame:
+    return spark.createDataFrame(list(zeros.items()), "_stratum string, _need int")
+
+
 def likely_zeros(pool: dict[str, int], targets: dict[str, int | None]) -> dict[str, int]:
     """Zeros per stratum from known pool sizes, with a wide margin below the expected count.
 
@@ -64,9 +67,14 @@ def likely_zeros(pool: dict[str, int], targets: dict[str, int | None]) -> dict[s
     return zeros
 
 
-def _per_stratum(values: dict[str, int]) -> Column:
-    pairs = [F.lit(x) for pair in values.items() for x in pair]
-    return F.try_element_at(F.create_map(*pairs), F.col("_stratum"))
+def _per_stratum(values: dict[str, int]) -> str:
+    """SQL that looks up the value of the row's stratum."""
+    pairs = ", ".join(f"{_quoted(stratum)}, {value}" for stratum, value in values.items())
+    return f"try_element_at(map({pairs}), _stratum)"
+
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
 def _lowest_hashes(pool: DataFrame, targets: dict[str, int], seed: int, zeros: dict[str, int] | None) -> DataFrame:
@@ -74,28 +82,28 @@ def _lowest_hashes(pool: DataFrame, targets: dict[str, int], seed: int, zeros: d
     columns = pool.columns
     hash_columns = [c for c in columns if c in FLOW_COLUMNS] or columns
     hashed = pool.withColumn("_hash", row_hash(seed, hash_columns)).withColumn("_zeros", _leading_zeros())
-    if zeros is None:
-        # one row per stratum named in targets
-        hashed = hashed.join(F.broadcast(_exact_zeros(hashed, targets)), "_stratum")
-    else:
-        hashed = hashed.withColumn("_need", _per_stratum(zeros))
-    survivors = hashed.filter(F.col("_zeros") >= F.col("_need")).drop("_zeros")
+    cut = _exact_zeros(hashed, targets) if zeros is None else _literal_zeros(pool.sparkSession, zeros)
+    # the cut has one row per stratum named in targets
+    survivors = hashed.join(F.broadcast(cut), "_stratum").filter(F.col("_zeros") >= F.col("_need")).drop("_zeros")
 
     # copies of a row share its hash and may be very many: count them instead of moving them
     distinct = survivors.groupBy(*columns, "_hash", "_need").agg(F.count("*").alias("_copies"))
     distinct = distinct.withColumn("_upto", F.col("_copies"))
-    order = [F.col("_hash"), *[F.col(c) for c in columns if c != "_stratum"]]
+    kept = [c for c in columns if c != "_stratum"]
+    order = ["_hash", *kept]
     if max(targets.values()) <= ONE_TASK_ROWS:
-        window = Window.partitionBy("_stratum").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        counted = distinct.withColumn("_upto", F.sum("_upto").over(window))
+        counted = distinct.withColumn("_upto", F.expr(
+            f"sum(_upto) OVER (PARTITION BY _stratum ORDER BY {', '.join(order)} ROWS UNBOUNDED PRECEDING)"
+        ))
     else:
         # the digits after the zeros spread the survivors evenly over 4096 blocks
-        blocks = distinct.withColumn("_block", F.substring(F.col("_hash"), F.lit(1), F.col("_need") + 3))
+        blocks = distinct.withColumn("_block", F.expr("substring(_hash, 1, _need + 3)"))
         counted = running_totals(blocks, ["_stratum"], "_block", order, ["_upto"])
-    room = _per_stratum(targets) - (F.col("_upto") - F.col("_copies"))
-    taken = counted.withColumn("_take", F.least(F.col("_copies"), room)).filter(F.col("_take") > 0)
-    kept = [c for c in columns if c != "_stratum"]
-    return taken.select(*kept, F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_take"))).alias("_copy")).select(*kept)
+    take = f"least(_copies, {_per_stratum(targets)} - (_upto - _copies))"
+    return (
+        counted.withColumn("_take", F.expr(take)).filter("_take > 0")
+        .withColumn("_copy", F.expr("explode(sequence(1L, _take))")).select(*kept)
+    )
 
 
 def take_all(df: DataFrame, strata: list[str], column: str = "label") -> DataFrame:
