@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from flowtriage import fixtures
 from flowtriage.functions import envelopes, identity, labels as label_functions, numbers, replies
 from flowtriage.functions.prompts import POLICIES, PROMPT_FIELDS, PROMPT_HEAD, PROMPT_TAIL
-from flowtriage.operators import callstats, evaluation, profile, ranking, rules, sampling, scoring
+from flowtriage.operators import calls, callstats, evaluation, profile, ranking, rules, sampling, scoring
 from flowtriage.operators.models import MODELS, PRICES
 from flowtriage.plans import evaluation_job, sampling_job
 from flowtriage.schema import (
@@ -817,7 +817,7 @@ def score_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole sample through four rule-based classifiers and all reply handling."""
     requests = scoring.record_requests(eval_view(_sample(spark, sf_dir)))
     todo = scoring.with_prompt(scoring.pending(requests), "balanced")
-    scored = scoring.score(todo, scoring.RuleScorer(_MIN_HITS), spark.sparkContext.defaultParallelism)
+    scored = scoring.score(todo, calls.RuleScorer(_MIN_HITS), spark.sparkContext.defaultParallelism)
     return scoring.predictions_of(scored).select(
         "record_id", "record_index", "model_name", "prediction", "confidence", "reason", "input_tokens",
         "output_tokens", "status",
@@ -840,7 +840,7 @@ def evaluation_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sample, score, log, read back and judge: the whole evaluation."""
     sample = materialise(_sample(spark, sf_dir))
     result = evaluation_job.run_evaluation(
-        api_view(sample), eval_view(sample), scratch_path(spark, "log"), scoring.RuleScorer(_MIN_HITS), "run1",
+        api_view(sample), eval_view(sample), scratch_path(spark, "log"), calls.RuleScorer(_MIN_HITS), "run1",
         policy="balanced", concurrency=spark.sparkContext.defaultParallelism,
     )
     return result.metrics.select(
@@ -897,7 +897,7 @@ def stream_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Records scored as they arrive; a second stream over all of them finds nothing left to do."""
     source, log = scratch_path(spark, "records"), scratch_path(spark, "log")
     eval_view(_sample(spark, sf_dir)).repartition(4, "record_id").write.parquet(source)
-    scorer, width = scoring.RuleScorer(_MIN_HITS), spark.sparkContext.defaultParallelism
+    scorer, width = calls.RuleScorer(_MIN_HITS), spark.sparkContext.defaultParallelism
     for run in ("run1", "run2"):
         records = spark.readStream.schema(SAMPLE_SCHEMA).option("maxFilesPerTrigger", 2).parquet(source)
         live.stream_scores(records, scorer, log, run, scratch_path(spark, "state"), policy="balanced",

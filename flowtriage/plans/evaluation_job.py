@@ -9,10 +9,11 @@ from typing import NamedTuple
 from pyspark.sql import DataFrame, functions as F
 
 from flowtriage.operators import callstats, evaluation
+from flowtriage.operators.calls import RetryPolicy, Scorer
 from flowtriage.operators.models import MODELS, PRICES, Model
 from flowtriage.operators.sampling import limit_records
 from flowtriage.operators.scoring import (
-    RetryPolicy, Scorer, missing_id_errors, pending, predictions_of, record_requests, score, with_prompt,
+    missing_id_errors, pending, predictions_of, record_requests, score, with_prompt,
 )
 from flowtriage.session import materialise
 from flowtriage.sources.predictions import (

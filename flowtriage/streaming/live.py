@@ -8,10 +8,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from flowtriage.operators.calls import RetryPolicy, Scorer
 from flowtriage.operators.callstats import call_counters
 from flowtriage.operators.models import MODELS, Model
 from flowtriage.operators.rules import RULES, Rule, suspects
-from flowtriage.operators.scoring import RetryPolicy, Scorer, pending, predictions_of, record_requests, score, with_prompt
+from flowtriage.operators.scoring import pending, predictions_of, record_requests, score, with_prompt
 from flowtriage.sources.predictions import LOG_SCHEMA, append_predictions, read_log
 
 
