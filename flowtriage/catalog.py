@@ -198,10 +198,23 @@ def _cube(spark: SparkSession, sf_dir: str) -> DataFrame:
     return profile.profile_cube(flows(spark, sf_dir))
 
 
-def _sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sampling_job.ranked_sample(flows(spark, sf_dir), materialise(_cube(spark, sf_dir)))
 
 
+_STORED: dict[tuple[str, str], str] = {}
+
+
+def _sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ranked sample as input of later steps, drawn once per session."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _STORED:
+        path = scratch_path(spark, "sample")
+        _ranked(spark, sf_dir).write.parquet(path)
+        _STORED[key] = path
+    return spark.read.parquet(_STORED[key])
+
+
 def _log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fixtures.prediction_log(spark, sf_dir)
 
@@ -281,7 +294,7 @@ def to_jsonl(spark: SparkSession, sf_dir: str) -> DataFrame:
     FROM nested, (VALUES ('api'), ('eval')) AS v(name) GROUP BY ALL"""))
 def export_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Six files, read back and counted."""
-    expected = exports.export_samples(materialise(_sample(spark, sf_dir)), scratch_path(spark, "export"))
+    expected = exports.export_samples(_sample(spark, sf_dir), scratch_path(spark, "export"))
     verified = exports.require_complete(exports.verify_export(spark, expected))
     return verified.select("file", "expected_lines", "line_count", "line_count_ok")
 
@@ -567,7 +580,7 @@ def seeded_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(_flow_sql("SELECT record_id, sample_rank FROM sample"))
 def global_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _sample(spark, sf_dir).select("record_id", "sample_rank")
+    return _ranked(spark, sf_dir).select("record_id", "sample_rank")
 
 
 @query(_flow_sql("""
@@ -580,7 +593,7 @@ def global_rank_distributed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(_flow_sql("SELECT sample, record_id, sample_rank FROM nested"))
 def nested_prefixes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sample = materialise(_sample(spark, sf_dir))
+    sample = _sample(spark, sf_dir)
     return sampling.union_strata([
         sampling.nested_prefix(sample, k).select(F.lit(name).alias("sample"), "record_id", "sample_rank")
         for name, k in sampling.PREFIXES.items()
@@ -838,7 +851,7 @@ def score_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     FROM confusion"""))
 def evaluation_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sample, score, log, read back and judge: the whole evaluation."""
-    sample = materialise(_sample(spark, sf_dir))
+    sample = _sample(spark, sf_dir)
     result = evaluation_job.run_evaluation(
         api_view(sample), eval_view(sample), scratch_path(spark, "log"), calls.RuleScorer(_MIN_HITS), "run1",
         policy="balanced", concurrency=spark.sparkContext.defaultParallelism,

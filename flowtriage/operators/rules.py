@@ -55,9 +55,14 @@ def tag_reasons(flows: DataFrame, rules: list[Rule] = RULES) -> DataFrame:
     return flows.withColumn("suspect_reason", reasons(rules))
 
 
+def hit_rows(flows: DataFrame, rules: list[Rule] = RULES) -> DataFrame:
+    """Rows hit by at least one rule, untagged."""
+    return flows.filter(" OR ".join(f"({r.condition})" for r in rules))
+
+
 def suspects(flows: DataFrame, rules: list[Rule] = RULES) -> DataFrame:
-    """Rows hit by at least one rule; the text is only built for those."""
-    return tag_reasons(flows.filter(" OR ".join(f"({r.condition})" for r in rules)), rules)
+    """Tagged rows with a hit; the text is only built for those."""
+    return tag_reasons(hit_rows(flows, rules), rules)
 
 
 def rules_hit(flows: DataFrame, rules: list[Rule] = RULES) -> DataFrame:

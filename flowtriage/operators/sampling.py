@@ -50,7 +50,8 @@ def _exact_zeros(hashed: DataFrame, targets: dict[str, int]) -> DataFrame:
 
 
 def _literal_zeros(spark: SparkSession, zeros: dict[str, int]) -> DataFrame:
-    return spark.createDataFrame(list(zeros.items()), "_stratum string, _need int")
+    rows = ", ".join(f"({_quoted(stratum)}, {need})" for stratum, need in zeros.items())
+    return spark.sql(f"SELECT * FROM VALUES {rows} AS t(_stratum, _need)")
 
 
 def likely_zeros(pool: dict[str, int], targets: dict[str, int | None]) -> dict[str, int]:

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, functions as F
 from flowtriage.functions.numbers import ci_margin, safe_pct
 from flowtriage.operators import profile
 from flowtriage.operators.ranking import global_rank
-from flowtriage.operators.rules import RULES, Rule, suspects
+from flowtriage.operators.rules import RULES, Rule, hit_rows, tag_reasons
 from flowtriage.operators.sampling import PREFIXES, SEED, TARGETS, draw_sample, with_record_id
 from flowtriage.session import materialise
 from flowtriage.sources.exports import export_samples, require_complete, verify_export
@@ -52,11 +52,14 @@ def ranked_sample(
     flows: DataFrame, cube: DataFrame, targets: dict[str, int | None] = TARGETS, seed: int = SEED,
     rules: list[Rule] = RULES,
 ) -> DataFrame:
-    """The stratified sample with record_id and sample_rank."""
+    """The stratified sample with suspect_reason, record_id and sample_rank.
+
+    Reasons and ids are made for sampled rows only.
+    """
     pool = suspect_pool(cube, list(targets))
     size = sum(pool.get(s, 0) if n is None else min(n, pool.get(s, 0)) for s, n in targets.items())
-    sample = draw_sample(suspects(flows, rules), pool, targets, seed)
-    return global_rank(with_record_id(sample), bound=size)
+    sample = draw_sample(hit_rows(flows, rules), pool, targets, seed)
+    return global_rank(with_record_id(tag_reasons(sample, rules)), bound=size)
 
 
 def sample_report(
@@ -103,6 +106,5 @@ def run_sampling(
     sample = materialise(ranked_sample(flows, cube, targets, seed, rules))
     expected = export_samples(sample, folder, prefixes)
     files = require_complete(verify_export(flows.sparkSession, expected))
-    report = materialise(sample_report(cube, sample, files, prefixes))
-    write_report(report, SECTIONS, folder, "processing_report")
+    report = write_report(sample_report(cube, sample, files, prefixes), SECTIONS, folder, "processing_report")
     return SamplingResult(cube, sample, files, report)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from flowtriage.operators.sampling import PREFIXES, nested_prefix
@@ -21,13 +23,11 @@ def export_samples(sample: DataFrame, folder: str, prefixes: dict[str, int] = PR
     if max(prefixes.values()) > SINGLE_FILE_ROWS:
         raise ValueError(f"prefixes over {SINGLE_FILE_ROWS} rows need export_sharded")
     rows = sample.count()
-    expected = {}
-    for name, k in prefixes.items():
-        for view, columns in VIEWS.items():
-            path = f"{folder}/{name}_{view}.jsonl"
-            write_single_jsonl(nested_prefix(sample, k), columns, path)
-            expected[path] = min(k, rows)
-    return expected
+    files = {f"{folder}/{name}_{view}.jsonl": (k, columns)
+             for name, k in prefixes.items() for view, columns in VIEWS.items()}
+    with ThreadPoolExecutor(len(files)) as jobs:  # one small job each, side by side
+        list(jobs.map(lambda f: write_single_jsonl(nested_prefix(sample, f[1][0]), f[1][1], f[0]), files.items()))
+    return {path: min(k, rows) for path, (k, _) in files.items()}
 
 
 def export_sharded(sample: DataFrame, folder: str, prefixes: dict[str, int] = PREFIXES) -> None:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from flowtriage.session import materialise
 from flowtriage.sources.jsonl import write_single_text
 
 REPORT_COLUMNS = ["section", "key", "n", "value", "text"]
@@ -59,8 +60,13 @@ def report_lines(report: DataFrame, sections: dict[str, str]) -> DataFrame:
     return headings.unionByName(rows)
 
 
-def write_report(report: DataFrame, sections: dict[str, str], folder: str, name: str) -> None:
-    """name.json (a row per line) and name.txt; both hold one line per counted class, a few hundred at most."""
+def write_report(report: DataFrame, sections: dict[str, str], folder: str, name: str) -> DataFrame:
+    """name.json (a row per line) and name.txt; both hold one line per counted class, a few hundred at most.
+
+    Returns the report, computed.
+    """
+    report = materialise(report)
     lines = report.select("section", "key", F.to_json(F.struct(*REPORT_COLUMNS)).alias("value"))
     write_single_text(lines, ["section", "key"], f"{folder}/{name}.json")
     write_single_text(report_lines(report, sections), ["section_no", "line_no"], f"{folder}/{name}.txt")
+    return report
