@@ -39,8 +39,8 @@ def truth_of(eval_rows: DataFrame, order: list[str] = ["sample_rank"]) -> DataFr
 
 
 def aligned_truth(truth: DataFrame, records: DataFrame) -> DataFrame:
-    """Truth of the processed records only."""
-    return truth.join(records.select("record_id"), "record_id", "left_semi")
+    """Truth of the processed records only; repeated ids are dropped before the shuffle."""
+    return truth.join(records.select("record_id").distinct(), "record_id", "left_semi")
 
 
 def truth_counts(truth: DataFrame) -> DataFrame:

@@ -87,7 +87,7 @@ def score(
 ) -> DataFrame:
     """Calls the scorer once per row; concurrency is the number of partitions calling at a time.
 
-    Rows spread by record and model, so no model's calls pile up in one partition.
+    Rows are dealt out evenly, so neither a model nor a repeated record piles up in one partition.
     Failures become rows with an error, never exceptions.
     """
     names = CALL_SCHEMA.names
@@ -111,7 +111,7 @@ def score(
             yield pd.DataFrame(rows, columns=names)
 
     asked = todo.select("record_index", "record_id", "model_name", "model_id", "provider", "prompt")
-    return asked.repartition(concurrency, "record_id", "model_name").mapInPandas(call_batches, CALL_SCHEMA)
+    return asked.repartition(concurrency).mapInPandas(call_batches, CALL_SCHEMA)
 
 
 def predictions_of(scored: DataFrame) -> DataFrame:

@@ -66,11 +66,11 @@ def to_jsonl(df: DataFrame, columns: list[str]) -> DataFrame:
 def write_single_text(lines: DataFrame, order: list[str], path: str) -> None:
     """Column value as one text file at path, in the given order; replaces what is there.
 
-    A single task reads all of lines, so they should be few and already computed.
+    The lines are made in parallel, then sorted and written by a single task.
     """
     spark = lines.sparkSession
     folder = f"{path}.parts-{uuid.uuid4().hex}"  # beside the target, so that the move is a rename
-    lines.coalesce(1).sortWithinPartitions(*order).select("value").write.text(folder)
+    lines.repartition(1).sortWithinPartitions(*order).select("value").write.text(folder)
     parts = storage.glob(spark, f"{folder}/part-*")
     if len(parts) != 1:
         raise RuntimeError(f"expected one part file for {path}, found {len(parts)}")
