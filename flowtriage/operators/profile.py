@@ -109,9 +109,9 @@ def profile_report(cube: DataFrame, rules: list[Rule] = RULES, suspect_labels: b
         # single rules are listed without a hit too, as are the totals
         .filter("n > 0 OR section IN ('total', 'suspects', 'rule')")
     )
-    whole = F.when(
-        F.expr("section IN ('rule_overlap', 'suspect_label')"), _suspect_total(cube, rules)
-    ).otherwise(_total(cube))
+    # no filter below the sums: it would reach the scan, and the cube could not be shared
+    suspect_total = cube.agg(F.sum(F.when(_is_suspect(rules), F.col("n")).otherwise(0))).scalar()
+    whole = F.when(F.expr("section IN ('rule_overlap', 'suspect_label')"), suspect_total).otherwise(_total(cube))
     return counts.select("section", "key", "n", safe_pct(F.col("n"), whole).alias("pct"))
 
 
