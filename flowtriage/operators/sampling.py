@@ -13,7 +13,7 @@ from __future__ import annotations
 import math
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from flowtriage.functions.identity import record_id, row_hash
 from flowtriage.operators.running import running_totals
