@@ -6,6 +6,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as driver
+from flowtriage.catalog import ORACLES, QUERIES
 
 TABLES = [
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings",
@@ -22,12 +23,12 @@ def duck(sf_dir):
     return connection
 
 
-@pytest.mark.parametrize("name", list(driver.queries()))
+@pytest.mark.parametrize("name", list(QUERIES))
 def test_query_equals_sql(spark, sf_dir, duck, name):
-    result = driver.queries()[name](spark, sf_dir)
+    result = QUERIES[name](spark, sf_dir)
     columns = sorted(result.columns)
     rows = sorted((tuple(r[c] for c in columns) for r in result.collect()), key=repr)
-    expected = duck.sql(driver.oracle_sql()[name])
+    expected = duck.sql(ORACLES[name])
     assert sorted(expected.columns) == columns
     types = dict(zip(expected.columns, map(str, expected.types)))
     assert {c: DUCK_TYPES[t] for c, t in result.dtypes} == types
@@ -35,5 +36,11 @@ def test_query_equals_sql(spark, sf_dir, duck, name):
     assert rows == sorted((tuple(row[i] for i in order) for row in expected.fetchall()), key=repr)
 
 
+def test_driver_gets_every_query():
+    assert QUERIES.items() <= driver.queries().items()
+    assert ORACLES.items() <= driver.oracle_sql().items()
+    assert driver.oracle_sql().keys() <= driver.queries().keys()
+
+
 def test_entry(spark):
     assert driver.entry(spark).count() > 0
