@@ -4,12 +4,19 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from flowtriage.llm import exactdedup, linededup, mixing
+from flowtriage.llm import bpe, decisionlist, exactdedup, linededup, mixing, simhash
 from flowtriage.llm.common import documents
 
 QUERIES, ORACLES = {}, {}
 
 
+def tokenizer_path() -> str:
+    """The public tokenizer file that the queries encode with."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
 def query(sql: str | None = None):
     """Registers a query under its function's name."""
 
@@ -96,3 +103,28 @@ FROM n
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with the one of its equals that stays."""
     return exactdedup.exact_groups(documents(spark, sf_dir)).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+
+
+@query()
+def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of every document."""
+    return simhash.near_groups(documents(spark, sf_dir))
+
+
+@query()
+def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of every text encoded and decoded again."""
+    path = tokenizer_path()
+    ids = bpe.encode(documents(spark, sf_dir).select("doc_id", "text"), path).select("doc_id", "ids")
+    return bpe.decode(ids, path).select(
+        "doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@query()
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of every text and the verdict of base and learned rules."""
+    docs = documents(spark, sf_dir)
+    rules = decisionlist.learned_rules(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return decisionlist.judge(docs, rules).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
