@@ -9,6 +9,7 @@ from flowtriage.llm.common import Plain, partitions, store
 #: Runs of white space that are not already one space.
 UNEVEN_SPACES = r"[\x09-\x0D][\x20\x09-\x0D]*|\x20[\x20\x09-\x0D]+"
 LEAST_CHUNK = 64
+SPLIT_CHARS = 32
 
 
 def normalised(text: Column) -> Column:
@@ -32,9 +33,10 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str) -> tuple[Plain, DataFr
         .join(F.broadcast(hot), "_sha", "left")
         .withColumn("_piece", F.when(F.col("_n").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64(key), pieces)).cast("int"))
     )
-    order = [F.col("_norm"), F.col("_piece"), F.col(key).asc_nulls_last()]
-    ranged = salted.repartitionByRange(F.col("_norm"), F.col("_piece")).sortWithinPartitions(*order)
-    equal = Window.partitionBy("_norm", "_piece")
+    # Sampled keys pass through the driver: of a text they hold its start, and its digest for texts that start alike.
+    names = ["_start", "_sha", "_piece"]
+    ranged = salted.withColumn("_start", F.substring("_norm", 1, SPLIT_CHARS)).repartitionByRange(*names).sortWithinPartitions(*names, "_norm", F.col(key).asc_nulls_last())
+    equal = Window.partitionBy(*names, "_norm")
     first = equal.orderBy(F.col(key).asc_nulls_last())
     cold = F.col("_n").isNull()
     # A hot text with null ids only has no least id: its first row stays (the hash of a null is its seed, 42).
@@ -55,8 +57,8 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str) -> tuple[Plain, DataFr
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """All rows, with `keep_id`, `group_size`, `kept` and `text_sha256` of their group of equal texts.
 
-    Sampled splitters deal the normalised texts out by range, each task sorts its range, and rows next to each
-    other are compared in full; the smallest id of equal texts stays. A text with more copies than an eighth of a
+    Sampled splitters deal the normalised texts out by range of their start and digest, each task sorts its range, and
+    rows next to each other are compared in full; the smallest id of equal texts stays. A text with more copies than an eighth of a
     mean partition is cut into pieces by the hash of the id, and its least id and size come from counts by digest,
     which are summed before they are shuffled. There are at most eight such texts per partition, so they are broadcast.
 
