@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from flowtriage.llm import bpe, decisionlist, exactdedup, linededup, mixing, simhash
-from flowtriage.llm.common import documents
+from flowtriage.llm import bpe, decisionlist, exactdedup, langid, linecrf, linededup, mixing, simhash, urlfilter
+from flowtriage.llm.common import crc_mod, documents
 
 QUERIES, ORACLES = {}, {}
 
@@ -128,3 +128,31 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = decisionlist.learned_rules(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return decisionlist.judge(docs, rules).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+@query()
+def op5_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document, learned from labels of four ids in five."""
+    docs = documents(spark, sf_dir)
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    field = linecrf.learned_field(docs, labels.filter(crc_mod(F.col("doc_id"), 5) != 0))
+    return linecrf.quality(docs, field).select("doc_id", (crc_mod(F.col("doc_id"), 5) == 0).alias("held_out"), "score", "predicted")
+
+
+@query()
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learned from two ids in three."""
+    docs = documents(spark, sf_dir)
+    held_out = crc_mod(F.col("doc_id"), 3) == 1
+    identifier = langid.learn(docs.filter(~held_out))
+    return langid.identify(docs, identifier).select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "rejected")
+
+
+URL_RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
+
+
+@query()
+def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict on every page's url."""
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    return urlfilter.judge(pages, URL_RULES).select("page_id", "host", "path", "rule", "verdict")
