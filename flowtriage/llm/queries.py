@@ -4,17 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from flowtriage.llm import bpe, decisionlist, exactdedup, langid, linecrf, linededup, mixing, simhash, urlfilter
-from flowtriage.llm.common import crc_mod, documents
+import corpus_pipeline
+from flowtriage.llm import bpe, decisionlist, exactdedup, hmm, langid, linecrf, linededup, mixing, simhash, urlfilter
+from flowtriage.llm.common import crc_mod, documents, tokenizer_path
 
-QUERIES, ORACLES = {}, {}
-
-
-def tokenizer_path() -> str:
-    """The public tokenizer file that the queries encode with."""
-    import public_tokenizers
-
-    return public_tokenizers.path("word_bpe_49k.json")
+QUERIES, ORACLES = {"pipeline": corpus_pipeline.run}, {}
 
 
 def query(sql: str | None = None):
@@ -156,3 +150,13 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verdict on every page's url."""
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     return urlfilter.judge(pages, URL_RULES).select("page_id", "host", "path", "rule", "verdict")
+
+
+@query()
+def op6_hidden_markov(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """log10 probability of every document, learned from six ids in seven."""
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    held_out = crc_mod(F.col("doc_id"), 7) == 2
+    language = hmm.learn(docs.filter(~held_out))
+    return hmm.score(docs, language).select(
+        "doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
