@@ -15,12 +15,12 @@ import regex
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, functions as F
 
-from flowtriage.llm.common import Plain
+from flowtriage.llm.common import Plain, bound_batches
 
 #: White space of the tokenizer's pattern language. Python's own split() adds the separators \x1c-\x1f.
 SPACE_RUN = regex.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
 ODD_SEPARATOR = regex.compile("[\x1c-\x1f]")
-CACHED_CHARS, CACHED_WORDS = 48, 400_000
+CACHED_CHARS, CACHED_WORDS = 48, 200_000
 
 
 def byte_symbols() -> list[str]:
@@ -41,7 +41,7 @@ class WordBpe:
         if model["type"] != "BPE" or model["end_of_word_suffix"] != "</w>" or steps != ["NFC", "Replace", "Lowercase"] or spec["decoder"]:
             raise ValueError("not a byte-level BPE file with word ends")
         vocab = model["vocab"]
-        self.merges = {}
+        self.merges: dict[tuple[int, int], tuple[int, int]] = {}
         for rank, (left, right) in enumerate(model["merges"]):
             self.merges.setdefault((vocab[left], vocab[right]), (rank, vocab[left + right]))
         symbols = byte_symbols()
@@ -50,10 +50,6 @@ class WordBpe:
         self.words = regex.compile(split["pattern"]["Regex"])
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.specials = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
-        named = vocab | self.special
-        self.strings = [""] * (max(named.values()) + 1)
-        for token, i in named.items():
-            self.strings[i] = token
         self.cache: dict[str, bytes] = {}
 
     def merge(self, word: str) -> list[int]:
@@ -114,10 +110,20 @@ class WordBpe:
         parts = self.specials.split(text)
         return b"".join(struct.pack("<I", self.special[p]) if i % 2 else self._plain(p) for i, p in enumerate(parts))
 
-    def decode(self, ids: bytes) -> str:
-        """Vocabulary strings of the ids, with one space between, as the file has no decoder."""
-        strings = self.strings
-        return " ".join([strings[i] for i in np.frombuffer(ids, "<u4").tolist()])
+
+def vocabulary(text: str) -> list[str]:
+    """The string of each id of a tokenizer file."""
+    spec = json.loads(text)
+    named = spec["model"]["vocab"] | {t["content"]: t["id"] for t in spec["added_tokens"]}
+    strings = [""] * (max(named.values()) + 1)
+    for token, i in named.items():
+        strings[i] = token
+    return strings
+
+
+def decoded_text(ids: bytes, strings: list[str]) -> str:
+    """Vocabulary strings of the ids, with one space between, as the file has no decoder."""
+    return " ".join([strings[i] for i in np.frombuffer(ids, "<u4").tolist()])
 
 
 def _tokenizer_text(path: str) -> str:
@@ -138,13 +144,12 @@ def _with_ids(docs: DataFrame, plain: Plain, text: str, path: str) -> DataFrame:
 
 
 def _decoded(docs: DataFrame, path: str):
-    shared = docs.sparkSession.sparkContext.broadcast(_tokenizer_text(path))
+    shared = docs.sparkSession.sparkContext.broadcast(vocabulary(_tokenizer_text(path)))
 
     @F.pandas_udf("string")
     def decoded(packed: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        tokenizer = WordBpe(shared.value)
         for batch in packed:
-            yield pd.Series([tokenizer.decode(b) for b in batch], dtype=object)
+            yield pd.Series([decoded_text(b, shared.value) for b in batch], dtype=object)
 
     return decoded
 
@@ -156,13 +161,13 @@ def encode(docs: DataFrame, path: str, text_col: str = "text", ids_col: str = "i
     to a fixed number. A null text counts as empty and has no ids; strings of special tokens in a text become those
     tokens. Repeated rows get equal ids, an empty table an empty result; a column named like the result is replaced.
     """
-    plain = Plain(docs)
+    plain = Plain(bound_batches(docs))
     return plain.restore(_with_ids(docs, plain, plain[text_col], path), **{ids_col: F.col("_ids")})
 
 
 def decode(rows: DataFrame, path: str, ids_col: str = "ids", text_col: str = "decoded") -> DataFrame:
     """All rows with `text_col`, the decoded ids; null ids count as none."""
-    plain = Plain(rows)
+    plain = Plain(bound_batches(rows))
     ids = F.coalesce(F.col(plain[ids_col]), F.lit(b""))
     return plain.restore(plain.df, **{text_col: _decoded(rows, path)(ids)})
 

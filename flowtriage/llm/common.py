@@ -12,6 +12,16 @@ STRIPPED = "\x20\x09\x0a\x0b\x0c\x0d"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+#: Bytes of rows that a Python worker gets at a time; a longer row goes alone.
+BATCH_BYTES = 2 << 20
+
+
+def bound_batches(df: DataFrame) -> DataFrame:
+    """Bounds by bytes what Python workers of the session get at once: 10,000 rows, the default, can be any amount of text."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+    return df
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, functions as F
 
-from flowtriage.llm.common import LOWER, UPPER, Plain
+from flowtriage.llm.common import UPPER, Plain, bound_batches
 
 STATS = [
     "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_distinct", "n_upper", "n_shouts", "n_digits",
@@ -129,7 +129,7 @@ def learned_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
 
     Rows with a null id or a null label teach nothing; of no labels come no rules.
     """
-    plain = Plain(docs)
+    plain = Plain(bound_batches(docs))
     chosen = (
         labels.select(F.col("doc_id").alias("_label_id"), F.col("quality").alias("_quality")).dropna()
         .orderBy(F.xxhash64("_label_id"), "_label_id", "_quality").limit(most_rows)
@@ -157,7 +157,7 @@ def judge(docs: DataFrame, rules: list[Rule], id_col: str = "doc_id", text_col:
     for those and for texts that a rule marks. Null and empty texts have no words, so the base fails them. Columns of
     the input whose name a result takes are replaced.
     """
-    plain = Plain(docs)
+    plain = Plain(bound_batches(docs))
     rows = plain.df.withColumn("_s", stats_of(F.col(plain[text_col]))).select("*", *[F.col(f"_s.{n}").alias(f"_{n}") for n in STATS])
     failed = (F.col("_n_words") < 50) | (100 * F.col("_n_repeat_words") > 50 * F.col("_n_words"))
     return plain.restore(

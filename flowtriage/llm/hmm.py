@@ -14,7 +14,7 @@ import xxhash
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, functions as F
 
-from flowtriage.llm.common import Plain, most_frequent, store
+from flowtriage.llm.common import Plain, bound_batches, most_frequent, store
 
 STATES, ROUNDS = 6, 3
 #: Words with an emission of their own, at most; all others share one of BUCKETS emissions by hash (a power of two).
@@ -23,7 +23,7 @@ MOST_WORDS, BUCKETS = 1 << 16, 1 << 10
 SEED_WORDS = 256
 SMOOTHING, SEED = 100.0, 42
 END = "\n"  # no word: words hold no white space
-FLUSHED_WORDS, HELD_TOKENS, GROUP_TOKENS = 1_000_000, 4_000_000, 500_000
+FLUSHED_WORDS, HELD_TOKENS, GROUP_TOKENS = 300_000, 4_000_000, 200_000
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -237,7 +237,7 @@ def learn(docs: DataFrame, text_col: str = "text", states: int = STATES, rounds:
     states share the words of a bucket in the same way. What reaches the driver and is broadcast is bounded by MOST_WORDS
     and BUCKETS, the counts of all words stay a distributed table. No rows give a model of unseen words.
     """
-    plain = Plain(docs)
+    plain = Plain(bound_batches(docs))
     rows = plain.df.select(F.col(plain[text_col]).alias("text"))
     words = store(word_counts(rows), "words")
     sums = words.agg(F.sum("n").alias("total"), F.count("*").alias("size"), F.sum(F.when(F.col("word") == END, F.col("n"))).alias("ends")).first()
@@ -267,7 +267,7 @@ def score(docs: DataFrame, language: Language, text_col: str = "text") -> DataFr
     meet their counts in a join by word, as a row for each word of a text. A null text is an end alone. Repeated rows
     are scored each. Columns of the input whose name a result takes are replaced.
     """
-    plain = Plain(docs)
+    plain = Plain(bound_batches(docs))
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast((language.classes, language.model))
     text = plain[text_col]

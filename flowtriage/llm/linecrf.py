@@ -11,14 +11,14 @@ import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, functions as F
 
-from flowtriage.llm.common import LOWER, UPPER, Plain
+from flowtriage.llm.common import LOWER, UPPER, Plain, bound_batches
 
 #: The field is fitted on so many labelled documents at most, the first by hash of their id, of at most so many lines.
 MOST_DOCS, MOST_LINES = 6_000, 128
 STEPS, RATE, PENALTY = 160, 0.1, 1e-3
 THRESHOLD = 0.3
 #: Texts are handled in groups of about so many characters.
-GROUP_CHARS = 4_000_000
+GROUP_CHARS = 1_000_000
 NOT_UPPER, NOT_LOWER, NOT_DIGIT, NOT_SYMBOL = UPPER.encode(), LOWER.encode(), b"0123456789", b"#*$%&<>~^=_{}[]\\@"
 OWN = 12
 
@@ -142,7 +142,7 @@ def learned_field(
 
     Labels without id or quality teach nothing. What reaches the driver is bounded by most_docs and MOST_LINES.
     """
-    plain = Plain(docs)
+    plain = Plain(bound_batches(docs))
     chosen = (
         labels.select(F.col("doc_id").alias("_label_id"), F.col("quality").alias("_quality")).dropna()
         .orderBy(F.xxhash64("_label_id"), "_label_id", "_quality").limit(most_docs)
@@ -179,14 +179,14 @@ def quality(docs: DataFrame, field: LineField, text_col: str = "text", threshold
     Every line of the whole text counts by its length in bytes, an empty line as one. Null and empty texts are one
     empty line. Equal texts have equal scores up to rounding. Columns of the input whose name a result takes are replaced.
     """
-    plain = Plain(docs)
+    plain = Plain(bound_batches(docs))
     rows = plain.df.withColumn("_score", _scored(field)(F.col(plain[text_col])))
     return plain.restore(rows, score=F.col("_score"), predicted=F.when(F.col("_score") >= threshold, 1).otherwise(0))
 
 
 def keep_good(docs: DataFrame, field: LineField, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """The rows whose score reaches the threshold, with the columns they came with."""
-    plain = Plain(docs)
+    plain = Plain(bound_batches(docs))
     return plain.restore(plain.df.filter(_scored(field)(F.col(plain[text_col])) >= threshold))
 
 

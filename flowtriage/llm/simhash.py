@@ -13,7 +13,7 @@ import xxhash
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from flowtriage.llm.common import Plain, store
+from flowtriage.llm.common import Plain, bound_batches, store
 from flowtriage.llm.components import components
 
 BITS, MOST_BITS, SHINGLE, SEED = 64, 2, 3, 42
@@ -192,7 +192,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     null ids only has a null `component_id`. Repeated rows are rows of the same component. An empty table gives an
     empty result. Links are between distinct fingerprints, so copies add no pairs.
     """
-    plain = Plain(docs)
+    plain = Plain(bound_batches(docs))
     key = plain[id_col]
     rows = plain.df.withColumn("_fp", _fingerprints(shingle)(F.col(plain[text_col])))
     marked = store(rows.select(F.col(key).alias("id"), F.col("_fp").alias("fp")), "fingerprints")
@@ -316,7 +316,7 @@ def drop_near_copies(
     words are alike. Null texts have no words. Null ids come after all others; of equal ids the least text stays, one
     of repeated rows. An empty table gives an empty result.
     """
-    plain = Plain(docs)
+    plain = Plain(bound_batches(docs))
     key, text = F.col(plain[id_col]), F.col(plain[text_col])
     rows = store(plain.df.withColumn("_row", F.monotonically_increasing_id()).withColumn("_b", _banks(shingle)(text)), "banks")
     links = similar_links(rows.select(F.col("_row").alias("row"), "_b.*"), similarity)

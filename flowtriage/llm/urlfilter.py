@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, functions as F
 
-from flowtriage.llm.common import Plain, ascii_lower, most_frequent, store
+from flowtriage.llm.common import Plain, ascii_lower, bound_batches, most_frequent, store
 
 Rules = list[tuple[str, str]]  # verdict, rule (host and path)
 #: Words of the unigram model and tokens of the classifier, at most; hosts that a task remembers.
@@ -139,7 +139,7 @@ def judge(pages: DataFrame, rules: Rules, id_col: str = "page_id", url_col: str
     rule, and is judged by the prior. Ties are allowed, and so is everything where no rule fits any page. Hosts may
     repeat without limit: each row is judged by itself. Columns of the input whose name a result takes are replaced.
     """
-    plain = Plain(pages)
+    plain = Plain(bound_batches(pages))
     host, path = host_and_path(F.col(plain[url_col]))
     words = word_counts(plain.df, plain[words_col])
     split = plain.df.withColumn("_host", host).withColumn("_path", path)
