@@ -20,8 +20,8 @@ BITS, MOST_BITS, SHINGLE, SEED = 64, 2, 3, 42
 #: Buckets up to this size are compared pair by pair; fingerprints of larger ones are linked over their neighbours.
 PAIRED_BUCKET = 64
 HASHES_AT_ONCE = 1 << 16
-#: Pieces that each bucket is cut into where rows meet their neighbours.
-PIECES = 16
+#: Rows of a bucket that go to one task where rows meet their neighbours; a larger bucket is cut into pieces.
+PIECE_ROWS = 256
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
@@ -246,15 +246,20 @@ def _banks(shingle: int):
     return made
 
 
-def _similar(similarity: float) -> Column:
-    """Whether rows with judges ja, jb and shingle numbers na, nb are that similar.
+JUDGED = [*[f"j{i}" for i in range(JUDGES)], "shingles"]
+
+
+def _similar(left: str, right: str, similarity: float) -> Column:
+    """Whether two rows, whose judges and shingle numbers stand under the prefixes, are that similar.
 
     The share of different bits tells the angle between the shingle sets, its cosine and their sizes the common part.
     """
-    differing = F.aggregate(F.zip_with("ja", "jb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-    common = F.cos(differing * F.lit(np.pi / (JUDGES * BITS))) * F.sqrt(F.col("na").cast("double") * F.col("nb"))
-    both = F.col("na") + F.col("nb") - common
-    return F.when(F.col("na") + F.col("nb") == 0, F.lit(True)).otherwise(common >= F.lit(similarity) * both)
+    differing = F.lit(0)
+    for name in JUDGED[:-1]:
+        differing = differing + F.bit_count(F.col(left + name).bitwiseXOR(F.col(right + name)))
+    n, m = F.col(left + "shingles"), F.col(right + "shingles")
+    common = F.cos(differing * F.lit(np.pi / (JUDGES * BITS))) * F.sqrt(n.cast("double") * m)
+    return F.when(n + m == 0, F.lit(True)).otherwise(common >= F.lit(similarity) * (n + m - common))
 
 
 def similar_links(marks: DataFrame, similarity: float) -> DataFrame:
@@ -262,8 +267,8 @@ def similar_links(marks: DataFrame, similarity: float) -> DataFrame:
 
     Candidates share a signature of the general pigeonhole search in one of the finders. First each row meets the row
     before it in each of its buckets. Then, in buckets that these links leave in several components, all rows outside
-    the bucket's largest component meet all others, so a large group of copies costs no more than a row per bucket,
-    and no pair in different components is left out.
+    the bucket's largest component meet all others, so rows that are linked already are not compared again, and no pair
+    in different components is left out. Pairs are judged where they meet: only similar ones leave the join.
     """
     prints = store(marks.select("row", F.posexplode("finders").alias("f", "fp")), "finders")
     signatures = []
@@ -275,33 +280,31 @@ def similar_links(marks: DataFrame, similarity: float) -> DataFrame:
     bucket = ["f", "g", "key"]
     keyed = prints.select("row", "f", F.explode(F.array(*signatures)).alias("s")).select("row", "f", "s.*")
     sizes = keyed.groupBy(*bucket).agg(F.count("*").alias("n")).filter("n > 1")
-    shared = store(keyed.join(sizes, bucket).drop("n"), "shared_signatures")
-    judges = marks.select("row", "judges", "shingles")
-
-    def judged(pairs: DataFrame) -> DataFrame:
-        pairs = pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).filter("u < v").distinct()
-        left = judges.toDF("u", "ja", "na")
-        right = judges.toDF("v", "jb", "nb")
-        return store(pairs.join(left, "u").join(right, "v").filter(_similar(similarity)).select("u", "v"), "similar_pairs")
-
-    # A bucket is cut into pieces by the hash of the row, so a large one is spread over tasks; each row meets the one
-    # before it in its piece, and the first of each piece meets the bucket's first row.
-    piece = F.pmod(F.xxhash64("row"), F.lit(PIECES))
+    judges = marks.select("row", *[F.col("judges")[i].alias(f"j{i}") for i in range(JUDGES)], "shingles")
+    shared = store(keyed.join(sizes, bucket).join(judges, "row"), "shared_signatures")
+
+    # A large bucket is cut into pieces by the hash of the row, so that it is spread over tasks; each row meets the one
+    # before it in its piece, and the first row of each piece meets the bucket's first row.
+    piece = F.pmod(F.xxhash64("row"), F.ceil(F.col("n") / PIECE_ROWS))
     inside = Window.partitionBy(*bucket, "piece").orderBy("row")
-    ordered = shared.withColumn("piece", piece).withColumn("before", F.lag("row").over(inside))
-    firsts = shared.groupBy(*bucket).agg(F.min("row").alias("least"))
-    heads = ordered.filter("before is null").join(firsts, bucket).select(F.col("row").alias("u"), F.col("least").alias("v"))
-    chained = judged(ordered.filter("before is not null").select(F.col("row").alias("u"), F.col("before").alias("v")).unionByName(heads))
+    ordered = shared.withColumn("piece", piece).withColumn("_before", F.lag(F.struct("row", *JUDGED)).over(inside))
+    before = ordered.select(*bucket, "row", *JUDGED, *[F.col(f"_before.{c}").alias(f"_{c}") for c in ("row", *JUDGED)])
+    near = before.filter("_row is not null").filter(_similar("", "_", similarity)).select(F.col("_row").alias("u"), F.col("row").alias("v"))
+    least = shared.filter(F.col("n") > PIECE_ROWS).groupBy(*bucket).agg(F.min_by(F.struct("row", *JUDGED), "row").alias("_m"))
+    least = least.select(*bucket, *[F.col(f"_m.{c}").alias(f"_{c}") for c in ("row", *JUDGED)])
+    heads = before.filter("_row is null").select(*bucket, "row", *JUDGED).join(least, bucket)
+    heads = heads.filter((F.col("_row") < F.col("row")) & _similar("", "_", similarity)).select(F.col("_row").alias("u"), F.col("row").alias("v"))
+    chained = store(near.unionByName(heads).distinct(), "similar_pairs")
 
     root = components(chained).select(F.col("node").alias("row"), F.col("root"))
-    rooted = store(shared.join(root, "row", "left").withColumn("root", F.coalesce("root", "row")), "rooted_signatures")
+    rooted = store(shared.select(*bucket, "row").join(root, "row", "left").withColumn("root", F.coalesce("root", "row")), "rooted")
     parts = rooted.groupBy(*bucket, "root").agg(F.count("*").alias("n"))
     split = parts.groupBy(*bucket).agg(F.count("*").alias("roots"), F.max_by("root", F.struct("n", "root")).alias("largest")).filter("roots > 1")
-    open_rows = store(rooted.join(split.select(*bucket, "largest"), bucket), "open_buckets")
-    outside = open_rows.filter("root <> largest").select(*bucket, F.col("row").alias("u"), F.col("root").alias("ru"))
-    others = open_rows.select(*bucket, F.col("row").alias("v"), F.col("root").alias("rv"))
-    rest = judged(outside.join(others, bucket).filter("ru <> rv").select("u", "v"))
-    return chained.unionByName(rest)
+    open_rows = store(rooted.join(split.select(*bucket, "largest"), bucket).join(judges, "row"), "open_buckets")
+    outside = open_rows.filter("root <> largest").select(*bucket, "row", "root", *JUDGED)
+    others = open_rows.select(*bucket, *[F.col(c).alias(f"_{c}") for c in ("row", "root", *JUDGED)])
+    rest = outside.join(others, bucket).filter((F.col("root") != F.col("_root")) & _similar("", "_", similarity))
+    return chained.unionByName(rest.select(F.col("row").alias("u"), F.col("_row").alias("v")).distinct())
 
 
 def drop_near_copies(
