@@ -9,7 +9,7 @@ from functools import reduce
 import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from flowtriage.llm.common import UPPER, Plain, bound_batches
 
@@ -45,7 +45,7 @@ def text_stats(text: str | None) -> tuple[int, ...]:
     )
 
 
-@F.pandas_udf(", ".join(f"{name} long" for name in STATS))
+@F.pandas_udf(T.StructType([T.StructField(name, T.LongType()) for name in STATS]))
 def stats_of(texts: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([text_stats(t) for t in texts], columns=STATS, dtype="int64")
 

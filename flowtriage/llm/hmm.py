@@ -21,9 +21,9 @@ STATES, ROUNDS = 6, 3
 MOST_WORDS, BUCKETS = 1 << 16, 1 << 10
 #: Frequent words whose company in documents sets the first emissions.
 SEED_WORDS = 256
-SMOOTHING, SEED = 100.0, 42
+SMOOTHING, SEED = 2000.0, 42
 END = "\n"  # no word: words hold no white space
-FLUSHED_WORDS, HELD_TOKENS, GROUP_TOKENS = 300_000, 4_000_000, 200_000
+FLUSHED_WORDS, HELD_TOKENS, GROUP_TOKENS = 300_000, 4_000_000, 500_000
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -84,40 +84,62 @@ class Model:
     def __init__(self, start: np.ndarray, moves: np.ndarray, emissions: np.ndarray):
         self.start, self.moves, self.emissions = start, moves, emissions
 
-    def forward(self, seq: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
-        """Scaled forward values and scales of each token of chains that lie one after another, emissions, and the tokens
-        of each step. Chains go step by step side by side, longest first."""
-        order = np.argsort(-sizes, kind="stable")
-        starts, long = (np.cumsum(sizes) - sizes)[order], sizes[order]
-        active = np.searchsorted(-long, -np.arange(int(long[0])), side="left")  # chains longer than t
-        e, scale = self.emissions[seq], np.empty(len(seq))
-        a, steps, before = np.empty_like(e), [], None
-        for t, n in enumerate(active):
-            at = starts[:n] + t
-            now = (before[:n] @ self.moves if t else self.start) * e[at]
-            c = now.sum(axis=1)
-            before = now / c[:, None]
-            a[at], scale[at] = before, c
-            steps.append(at)
-        return a, scale, e, steps
+    @staticmethod
+    def by_step(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where each token of chains that lie one after another goes when the chains, longest first, are laid out step by
+        step, and where each step begins. A step is then one piece of memory, and the chains it serves come first in it."""
+        rank = np.empty(len(sizes), np.int64)
+        rank[np.argsort(-sizes, kind="stable")] = np.arange(len(sizes))
+        chains = np.cumsum(np.bincount(sizes)[::-1])[::-1][1:]  # chains longer than t
+        steps = np.concatenate([[0], np.cumsum(chains)])
+        t = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        return steps[t] + np.repeat(rank, sizes), steps
+
+    def forward(self, seq: np.ndarray, steps: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Scaled forward values, scales and emissions of tokens laid out step by step."""
+        e = self.emissions[seq]
+        a, scale, moves, before = np.empty_like(e), np.empty(len(seq)), self.moves, None
+        ones = np.ones(e.shape[1])
+        for t, (start, end) in enumerate(zip(steps[:-1].tolist(), steps[1:].tolist())):
+            now = a[start:end]
+            if t:
+                np.matmul(before[: end - start], moves, out=now)
+                now *= e[start:end]
+            else:
+                np.multiply(self.start, e[start:end], out=now)
+            c = np.matmul(now, ones, out=scale[start:end])
+            now /= c[:, None]
+            before = now
+        return a, scale, e
 
     def log10_likelihood(self, seq: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-        _, scale, _, _ = self.forward(seq, sizes)
-        return np.add.reduceat(np.log10(scale), np.cumsum(sizes) - sizes)
+        place, steps = self.by_step(sizes)
+        laid = np.empty_like(seq)
+        laid[place] = seq
+        _, scale, _ = self.forward(laid, steps)
+        return np.add.reduceat(np.log10(scale)[place], np.cumsum(sizes) - sizes)
 
     def expected(self, seq: np.ndarray, sizes: np.ndarray, counts: "Counts") -> None:
         """Adds the expected starts, moves and emissions of the chains."""
-        a, scale, e, steps = self.forward(seq, sizes)
+        place, steps = self.by_step(sizes)
+        laid = np.empty_like(seq)
+        laid[place] = seq
+        a, scale, e = self.forward(laid, steps)
         ahead = np.ones_like(e)  # scaled backward values
-        for t in range(len(steps) - 1, 0, -1):
-            at = steps[t]
-            after = e[at] * ahead[at] / scale[at][:, None]
-            counts.moves += self.moves * (a[at - 1].T @ after)
-            ahead[at - 1] = after @ self.moves.T
+        back, moved, steps = np.ascontiguousarray(self.moves.T), np.zeros_like(self.moves), steps.tolist()
+        e /= scale[:, None]
+        for t in range(len(steps) - 2, 0, -1):
+            start, end = steps[t], steps[t + 1]
+            after = e[start:end]
+            after *= ahead[start:end]
+            first = steps[t - 1]
+            moved += a[first : first + end - start].T @ after
+            np.matmul(after, back, out=ahead[first : first + end - start])
+        counts.moves += self.moves * moved
         a *= ahead
-        counts.start += a[steps[0]].sum(axis=0)
+        counts.start += a[: steps[1]].sum(axis=0)
         for k in range(a.shape[1]):
-            counts.emissions[:, k] += np.bincount(seq, a[:, k], len(counts.emissions))
+            counts.emissions[:, k] += np.bincount(laid, a[:, k], len(counts.emissions))
 
 
 class Counts:

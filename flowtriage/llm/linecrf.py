@@ -9,7 +9,7 @@ from operator import eq
 import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from flowtriage.llm.common import LOWER, UPPER, Plain, bound_batches
 
@@ -128,7 +128,7 @@ def fit(chains: list[np.ndarray], good: np.ndarray) -> LineField:
     return field
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(T.BinaryType())
 def _packed_features(texts: pd.Series) -> pd.Series:
     """Features of short texts; null for those with too many lines to be fitted on."""
     return pd.Series([

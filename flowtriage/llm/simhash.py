@@ -150,7 +150,7 @@ def search_plan(prints: DataFrame, most: int = MOST_BITS) -> list[tuple[list[int
         at += len(groups)
         price, chosen = thresholds(costs, most - len(groups) + 1)
         plans.append((price, len(groups), list(zip(groups, chosen))))
-    return min(plans, key=lambda plan: plan[:2])[2]
+    return min(plans, key=lambda plan: (plan[0], -plan[1]))[2]  # of equals, as without rows, the most groups
 
 
 # ---------------------------------------------------------------- the search
