@@ -708,7 +708,11 @@ _SERIES = f"""
     , size AS (SELECT max(record_index) AS total FROM log),
     steps AS (SELECT m.*, unnest(generate_series(1, cast(ceil(total / 100.0) AS BIGINT))) AS step
               FROM models AS m, size),
-    sums AS (SELECT model_name, cast(ceil(record_index / 100.0) AS BIGINT) AS step, {_COUNTERS} FROM log GROUP BY 1, 2),
+    sums AS (
+        SELECT model_name, CASE WHEN record_index > total THEN cast(ceil(total / 100.0) AS BIGINT)
+                                WHEN record_index >= 1 THEN cast(ceil(record_index / 100.0) AS BIGINT) ELSE 1 END AS step,
+               {_COUNTERS}
+        FROM log, size GROUP BY 1, 2),
     running AS (
         SELECT model_name, model_ord, step, p_in, p_out, least(step * 100, total) AS completed, total,
                {", ".join(f"cast(sum(coalesce({c}, 0)) OVER w AS BIGINT) AS {c}" for c in

@@ -17,12 +17,16 @@ Scorer = Callable[[dict], tuple[int, str]]
 
 @dataclass(frozen=True)
 class RetryPolicy:
-    """Tries, seconds before the first retry, random extra, statuses to wait out."""
+    """Tries, seconds before the first retry, random extra, statuses to wait out.
+
+    Exceptions of the named types are failures of the connection; the usual HTTP clients derive theirs from OSError.
+    """
 
     max_tries: int = 5
     base_delay: float = 2.0
     jitter: float = 0.5
     statuses: tuple[int, ...] = (429, 500, 502, 503, 504)
+    exceptions: tuple[type[Exception], ...] = (OSError,)
 
     def delay(self, attempt: int, uniform: Callable[[float, float], float] = random.uniform) -> float:
         return self.base_delay * 2 ** (attempt - 1) + uniform(0, self.jitter)
@@ -40,7 +44,7 @@ def call_with_retries(
     for attempt in range(1, policy.max_tries + 1):
         try:
             status, body = scorer(request)
-        except (TimeoutError, ConnectionError) as exc:
+        except policy.exceptions as exc:
             failure = exc
         else:
             if status < 400:

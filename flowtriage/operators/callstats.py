@@ -94,6 +94,8 @@ def checkpoint_series(
 ) -> DataFrame:
     """What the counters stood at after every n records and after the last one, per model.
 
+    Records count from 1. No row is left out: a missing index or one below 1 counts in the first step, one above
+    total_records in the last, so the last step equals call_stats.
     Time is the latency summed over all models. Totals run over blocks of
     checkpoints, so a long log is not pulled into one task per model.
     """
@@ -102,7 +104,7 @@ def checkpoint_series(
     now = F.lit(True) if run_id is None else F.col("run_id") == run_id
     steps = math.ceil(total_records / every)
     per_step = (
-        log.withColumn("step", F.ceil(F.col("record_index") / every))
+        log.withColumn("step", F.greatest(F.lit(1), F.least(F.ceil(F.col("record_index") / every), F.lit(steps))))
         .groupBy("model_name", "step").agg(*_aggregates(now))
         .select("model_name", "step", *sums)
         .withColumns({c: F.col(c).cast("decimal(28,12)") for c in ("total_latency", "confidence_sum")})

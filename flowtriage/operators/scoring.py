@@ -12,7 +12,7 @@ from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from flowtriage.functions.envelopes import parse_body, unwrap_envelope
 from flowtriage.functions.prompts import record_json, render_prompt
@@ -51,8 +51,13 @@ def record_requests(records: DataFrame, index: str = "sample_rank") -> DataFrame
 def pending(
     requests: DataFrame, models: list[Model] = MODELS, log: DataFrame | None = None, retry_errors: bool = False
 ) -> DataFrame:
-    """Requests times models, less what the log already holds; failed calls count as done unless retried."""
+    """Requests times models, less what the log already holds; failed calls count as done unless retried.
+
+    A repeated id is called once per model, for its record of the smallest index.
+    """
     valid, _ = split_valid_ids(requests)
+    same_id = Window.partitionBy("record_id").orderBy("record_index", "record")
+    valid = valid.withColumn("_place", F.row_number().over(same_id)).filter("_place = 1").drop("_place")
     each = F.array(*[
         F.struct(F.lit(m.model_name).alias("model_name"), F.lit(m.provider).alias("provider"),
                  F.lit(m.model_id).alias("model_id"))
@@ -132,7 +137,7 @@ def predictions_of(scored: DataFrame) -> DataFrame:
         F.when(ok, F.col("_verdict.prediction")).otherwise("error").alias("prediction"),
         F.when(ok, F.col("_verdict.confidence")).alias("confidence"),
         F.when(ok, F.col("_verdict.reason")).otherwise("api_or_parse_error").alias("reason"),
-        F.when(ok, F.col("_envelope.reply")).otherwise(failure).alias("raw_response"),
+        F.coalesce("_envelope.reply", failure).alias("raw_response"),
         F.when(ok, F.col("_envelope.input_tokens")).otherwise(zero).alias("input_tokens"),
         F.when(ok, F.col("_envelope.output_tokens")).otherwise(zero).alias("output_tokens"),
         F.when(ok, F.col("latency_s")).otherwise(F.lit(0.0)).alias("latency_s"),

@@ -44,3 +44,11 @@ def test_driver_gets_every_query():
 
 def test_entry(spark):
     assert driver.entry(spark).count() > 0
+
+
+def test_last_checkpoint_holds_every_call(spark, sf_dir):
+    series = QUERIES["checkpoint_series"](spark, sf_dir).collect()
+    stats = {r["model_name"]: r for r in QUERIES["call_stats"](spark, sf_dir).collect()}
+    for row in series:
+        if row["completed"] == max(r["completed"] for r in series):
+            assert (row["calls"], row["errors"]) == (stats[row["model_name"]]["calls"], stats[row["model_name"]]["errors"])

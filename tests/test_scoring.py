@@ -191,3 +191,28 @@ def test_rule_scorer_reads_the_record(sample):
     for i in range(1, 41):
         hits = (900 + 10 * i > 1000) + (i % 2)
         assert found[f"id{i}"] == ("attack" if hits >= 2 else "normal")
+
+
+class ClientError(OSError):
+    """As HTTP clients derive their failures."""
+
+
+def test_retries_failures_of_clients():
+    tries = []
+
+    def scorer(request):
+        tries.append(1)
+        if len(tries) < 3:
+            raise ClientError("reset")
+        return 200, "{}"
+
+    assert call_with_retries(scorer, {}, FAST, sleep=lambda s: None) == "{}"
+    assert len(tries) == 3
+
+
+def test_repeated_ids_are_called_once_per_model(spark):
+    requests = spark.createDataFrame(
+        [(3, "x", "late"), (1, "x", "early"), (2, "y", "{}"), (2, "y", "{}")], "record_index long, record_id string, record string")
+    rows = scoring.pending(requests, MODELS[:2]).collect()
+    assert sorted((r["record_id"], r["record"], r["model_name"]) for r in rows) == sorted(
+        (i, record, m.model_name) for i, record in (("x", "early"), ("y", "{}")) for m in MODELS[:2])
