@@ -262,23 +262,35 @@ def _similar(left: str, right: str, similarity: float) -> Column:
     return F.when(n + m == 0, F.lit(True)).otherwise(common >= F.lit(similarity) * (n + m - common))
 
 
+def _size_classes(size: str, similarity: float) -> Column:
+    """The classes of sizes, by powers of two, in which a set meets all sets that can be that similar.
+
+    Of two such sets the smaller has `similarity` of the larger's size at least, so each goes to the class of its own
+    size and to that of the least size it can be similar to.
+    """
+    least = F.ceil(F.col(size) * F.lit(similarity) - F.lit(1e-6)).cast("long")
+    return F.array_distinct(F.array(F.length(F.bin(size)), F.length(F.bin(least))))
+
+
 def similar_links(marks: DataFrame, similarity: float) -> DataFrame:
     """Links u, v between rows of marks (row, finders, judges, shingles) that join all similar rows found.
 
-    Candidates share a signature of the general pigeonhole search in one of the finders. First each row meets the row
-    before it in each of its buckets. Then, in buckets that these links leave in several components, all rows outside
+    Candidates share a signature of the general pigeonhole search in one of the finders, and a class of sizes: sets that
+    are that similar differ no more in size. First each row meets the row before it in each of its buckets. Then, in buckets that these links leave in several components, all rows outside
     the bucket's largest component meet all others, so rows that are linked already are not compared again, and no pair
     in different components is left out. Pairs are judged where they meet: only similar ones leave the join.
     """
-    prints = store(marks.select("row", F.posexplode("finders").alias("f", "fp")), "finders")
+    sizes = _size_classes("shingles", similarity)
+    prints = store(marks.select("row", sizes.alias("sizes"), F.posexplode("finders").alias("f", "fp")), "finders")
     signatures = []
     for g, (bits, t) in enumerate(search_plan(prints.select("fp"), MOST_BITS)):
         value = F.col("fp").bitwiseAND(F.lit(_mask(bits)))
         for s in range(t + 1):
             for flips in combinations(bits, s):
                 signatures.append(F.struct(F.lit(g).alias("g"), value.bitwiseXOR(F.lit(_mask(flips))).alias("key")))
-    bucket = ["f", "g", "key"]
-    keyed = prints.select("row", "f", F.explode(F.array(*signatures)).alias("s")).select("row", "f", "s.*")
+    bucket = ["f", "g", "key", "size"]
+    keyed = prints.select("row", "f", "sizes", F.explode(F.array(*signatures)).alias("s"))
+    keyed = keyed.select("row", "f", "s.*", F.explode("sizes").alias("size"))
     sizes = keyed.groupBy(*bucket).agg(F.count("*").alias("n")).filter("n > 1")
     judges = marks.select("row", *[F.col("judges")[i].alias(f"j{i}") for i in range(JUDGES)], "shingles")
     shared = store(keyed.join(sizes, bucket).join(judges, "row"), "shared_signatures")
