@@ -330,6 +330,38 @@ def append_and_reset(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stored.groupBy("model_name", "run_id", "status").agg(F.count("*").alias("n"))
 
 
+@query(_log_sql("SELECT record_id, model_name, status FROM log WHERE run = 0"))
+def log_two_writers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One run, two writers that both begin with batch 0: neither replaces rows of the other."""
+    path, rows = scratch_path(spark, "log"), _log(spark, sf_dir).filter("run_id = 'r0'")
+    for writer, part in (("a", F.col("record_index") % 2 == 0), ("b", F.col("record_index") % 2 == 1)):
+        predictions.append_predictions(rows.filter(part), path, "r0", 0, writer)
+    return predictions.read_log(spark, path).select("record_id", "model_name", "status")
+
+
+@query(_log_sql("""
+    SELECT record_id, model_name, 'run' || cast(cast(substr(record_id, 2) AS BIGINT) % 12 AS VARCHAR) AS run_id
+    FROM log WHERE run = 0"""))
+def log_many_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Twelve runs, each over fewer records: the last run of a record counts, run11 after run9."""
+    path, rows = scratch_path(spark, "log"), _log(spark, sf_dir).filter("run_id = 'r0'")
+    last = F.substring("record_id", 2, 20).cast("bigint") % 12
+    for n in range(12):
+        predictions.append_predictions(rows.filter(last >= n), path, f"run{n}")
+    latest = predictions.latest_predictions(predictions.read_log(spark, path))
+    return latest.select("record_id", "model_name", "run_id")
+
+
+@query(_log_sql("SELECT record_id, model_name, prediction, confidence, status FROM latest"))
+def log_copied(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A JSON lines log whose older run was written to its folder last."""
+    path, log = scratch_path(spark, "log"), _log(spark, sf_dir)
+    for run in ("r1", "r0"):
+        jsonl.to_jsonl(log.filter(F.col("run_id") == run), predictions.LOG_SCHEMA.names).write.mode("append").text(path)
+    return predictions.read_prediction_log(spark, path).select(
+        "record_id", "model_name", "prediction", "confidence", "status")
+
+
 @query(_log_sql("SELECT record_id, model_name, record_index, run_id FROM log WHERE status = 'error'"))
 def error_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _log(spark, sf_dir).filter(F.col("status") == "error").select(
@@ -681,11 +713,12 @@ def call_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(_log_sql(f"""
     SELECT model_name, model_ord, {_COUNTERS},
-           (SELECT count(DISTINCT record_id) FROM log AS e WHERE e.run = 0 AND e.model_name = log.model_name)
+           (SELECT count(DISTINCT record_id) FROM log AS e WHERE e.run = 0 AND e.model_name = log.model_name
+            AND e.record_id NOT IN (SELECT c.record_id FROM log AS c WHERE c.run = 1 AND c.model_name = e.model_name))
                AS skipped_resume
     FROM log WHERE run = 1 GROUP BY model_name, model_ord"""))
 def call_stats_of_run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Counters of the second run; what the first run logged was skipped."""
+    """Counters of the second run; what only the first run logged was skipped."""
     return callstats.call_stats(_log(spark, sf_dir), run_id="r1")
 
 
@@ -909,6 +942,17 @@ def stream_call_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(target)
 
 
+@query(_log_sql("SELECT * EXCLUDE (skipped_resume, model_ord) FROM stats"))
+def stream_stats_replayed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Running counters of a log whose writer repeated a batch: its calls count once."""
+    path, target = scratch_path(spark, "log"), scratch_path(spark, "stats")
+    log, state = _log(spark, sf_dir), scratch_path(spark, "state")
+    for run in ("r0", "r0", "r1"):
+        predictions.append_predictions(log.filter(F.col("run_id") == run), path, run)
+        live.stream_call_stats(live.read_log_stream(spark, path), target, state).awaitTermination()
+    return spark.read.parquet(target)
+
+
 @query(_flow_sql(_SCORED + "SELECT record_id, model_name, prediction, 1 AS rows FROM verdicts"))
 def stream_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Records scored as they arrive; a second stream over all of them finds nothing left to do."""

@@ -142,7 +142,9 @@ def prediction_log(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(ok, F.col("latency_ms") / 1000.0).otherwise(F.lit(0.0)).alias("latency_s"),
         F.when(ok, "ok").otherwise("error").alias("status"),
         F.when(~ok, "no verdict").alias("error"),
+        F.col("run").cast("bigint").alias("run_seq"),
         F.concat(F.lit("r"), F.col("run")).alias("run_id"),
+        F.lit("main").alias("writer_id"),
         F.col("run").cast("bigint").alias("batch_id"),
     )
 

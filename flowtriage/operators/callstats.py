@@ -55,15 +55,21 @@ def call_counters(log: DataFrame) -> DataFrame:
 def call_stats(log: DataFrame, models: list[Model] = MODELS, run_id: str | None = None) -> DataFrame:
     """Counters per model: of the whole log, or of one run.
 
-    For a run, skipped_resume counts the ids logged by earlier runs, failed ones included.
+    For a run, skipped_resume counts the ids that earlier runs logged, failed ones included, and that it did not call
+    again. Runs follow each other by run_seq; to a run that has logged nothing, all others are earlier.
     """
     if run_id is None:
         stats = call_counters(log).withColumn("skipped_resume", F.lit(0).cast("bigint"))
     else:
-        earlier = F.when(F.col("run_id") < run_id, F.col("record_id"))
-        stats = log.groupBy("model_name").agg(
-            *_aggregates(F.col("run_id") == run_id), F.count_distinct(earlier).alias("skipped_resume")
+        now = F.col("run_id") == run_id
+        seq = log.filter(now).agg(F.max("run_seq")).scalar()
+        earlier = ~now & F.coalesce(F.col("run_seq") < seq, F.lit(True))
+        skipped = (
+            log.filter("record_id is not null").groupBy("model_name", "record_id")
+            .agg(F.bool_or(earlier).alias("earlier"), F.bool_or(now).alias("called"))
+            .groupBy("model_name").agg(F.count_if(F.col("earlier") & ~F.col("called")).alias("skipped_resume"))
         )
+        stats = log.groupBy("model_name").agg(*_aggregates(now)).join(skipped, "model_name", "left")
     return with_models(stats, models, COUNTS)
 
 

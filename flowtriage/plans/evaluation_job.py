@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import time
+import uuid
 from collections.abc import Callable
 from typing import NamedTuple
 
@@ -17,7 +18,7 @@ from flowtriage.operators.scoring import (
 )
 from flowtriage.session import materialise
 from flowtriage.sources.predictions import (
-    append_predictions, errors, latest_predictions, next_batch, read_log, reset_outputs,
+    append_predictions, errors, latest_predictions, read_log, reset_outputs, store_rejected,
 )
 from flowtriage.sources.reports import report_rows, unpivot_rows, write_report
 
@@ -85,19 +86,27 @@ def run_evaluation(
     pause: float = 0.0,
     sleep: Callable[[float], None] = time.sleep,
     report_folder: str | None = None,
+    wave: int = 10_000,
 ) -> EvaluationResult:
     """Scores pending records, appends them to the log and evaluates the log.
 
-    Run ids must sort in the order of the runs: later runs win over earlier ones.
+    Records are scored in waves of so many indices; each is in the log before the next begins, so a run that is stopped
+    loses one wave at most and resuming it calls the rest. Runs count in the order in which they first write to the log.
     """
     spark = api_records.sparkSession
     if not resume:
         reset_outputs(spark, log_path, [m.model_name for m in models])
     records = limit_records(api_records, limit)
     requests = record_requests(records)
-    todo = with_prompt(pending(requests, models, read_log(spark, log_path), retry_errors), policy)
-    rows = predictions_of(score(todo, scorer, concurrency, retries, pause, sleep))
-    append_predictions(rows, log_path, run_id, next_batch(spark, log_path, run_id))
+    writer = uuid.uuid4().hex
+    rejected = store_rejected(missing_id_errors(requests), log_path, run_id, writer)
+    # Kept as it is now: the log grows while the waves are scored.
+    of = F.coalesce(F.floor((F.col("record_index") - 1) / wave), F.lit(-1))
+    todo = materialise(pending(requests, models, read_log(spark, log_path), retry_errors).withColumn("_wave", of))
+    for batch, row in enumerate(todo.select("_wave").distinct().orderBy("_wave").collect()):
+        asked = with_prompt(todo.filter(F.col("_wave") == row["_wave"]), policy)
+        scored = score(asked, scorer, concurrency, retries, pause, sleep)
+        append_predictions(predictions_of(scored), log_path, run_id, batch, writer)
 
     log = read_log(spark, log_path)
     truth = evaluation.truth_of(eval_records)
@@ -108,5 +117,5 @@ def run_evaluation(
                      "evaluation_report")
     return EvaluationResult(
         evaluation.alignment_check(records, truth), aligned, measured, stats, comparison, errors(log),
-        missing_id_errors(requests),
+        rejected,
     )

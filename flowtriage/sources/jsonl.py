@@ -33,15 +33,14 @@ def read_jsonl_strict(spark: SparkSession, path: str, schema: T.StructType) -> D
 def read_jsonl_tolerant(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """Objects that parse, with log_position: where in the log a line stands.
 
-    Files count in the order they were last written, lines in file order (row
-    ids only grow within a split, so the split's offset goes before them).
+    Files count in the order of their names, which copying keeps, lines in file order
+    (row ids only grow within a split, so the split's offset goes before them).
     """
     if not storage.glob(spark, path):
         return spark.createDataFrame([], T.StructType([*schema.fields, T.StructField("log_position", T.StringType())]))
     lines = spark.read.text(path).select(
         strip(F.col("value")).alias("line"),
         F.struct(
-            F.col("_metadata.file_modification_time").alias("written"),
             F.col("_metadata.file_path").alias("file"),
             F.col("_metadata.file_block_start").alias("split"),
             F.monotonically_increasing_id().alias("line"),

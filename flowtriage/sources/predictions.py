@@ -1,7 +1,8 @@
 """The prediction log: appended in batches, read back with the last row per record and model.
 
-Layout: model_name= / run_id= / batch_id= folders of Parquet. A batch replaces
-its own folders, so writing it again after a failure adds nothing twice.
+Layout: model_name= / run_seq= / run_id= / writer_id= / batch_id= folders of Parquet. Runs are numbered in the order in
+which they first write. A batch replaces only what its own writer left under its number, so writing it again after a
+failure adds nothing twice, and no writer touches another's rows.
 """
 
 from __future__ import annotations
@@ -15,34 +16,45 @@ from flowtriage.schema import PREDICTION_SCHEMA
 from flowtriage.sources import storage
 from flowtriage.sources.jsonl import read_jsonl_tolerant
 
+FOLDERS = ["model_name", "run_seq", "run_id", "writer_id", "batch_id"]
 LOG_SCHEMA = T.StructType([
     *PREDICTION_SCHEMA.fields,
+    T.StructField("run_seq", T.LongType()),
     T.StructField("run_id", T.StringType()),
+    T.StructField("writer_id", T.StringType()),
     T.StructField("batch_id", T.LongType()),
 ])
-LOG_ORDER = ["run_id", "batch_id", "timestamp", "record_index"]
+LOG_ORDER = ["run_seq", "timestamp", "batch_id", "record_index", "writer_id"]
 LOG_KEYS = ["model_name", "record_id"]
 
 
-def next_batch(spark: SparkSession, path: str, run_id: str) -> int:
-    """The first batch number the run has not used."""
-    used = storage.glob(spark, f"{path}/model_name=*/run_id={_plain(run_id)}/batch_id=*")
-    return max((int(folder.rsplit("=", 1)[1]) + 1 for folder in used), default=0)
+def run_sequence(spark: SparkSession, path: str, run_id: str) -> int:
+    """The number of a run: the one it has in the log, or the next; lists a folder per model and run."""
+    numbers = {}
+    for folder in storage.glob(spark, f"{path}/model_name=*/run_seq=*/run_id=*"):
+        seq, run = folder.split("/")[-2:]
+        numbers[run.removeprefix("run_id=")] = int(seq.removeprefix("run_seq="))
+    return numbers.get(_plain(run_id), max(numbers.values(), default=-1) + 1)
 
 
-def _plain(run_id: str) -> str:
-    if not re.fullmatch(r"[A-Za-z0-9_.-]+", run_id):
-        raise ValueError(f"run ids become folder names: {run_id!r}")
-    return run_id
+def _plain(name: str) -> str:
+    if not re.fullmatch(r"[A-Za-z0-9_.-]+", name):
+        raise ValueError(f"run and writer ids become folder names: {name!r}")
+    return name
 
 
-def append_predictions(rows: DataFrame, path: str, run_id: str, batch_id: int = 0) -> None:
-    """OK and error rows of one batch, written once per batch rather than once per row."""
+def append_predictions(rows: DataFrame, path: str, run_id: str, batch_id: int = 0, writer_id: str = "main") -> None:
+    """OK and error rows of one batch, written once per batch rather than once per row.
+
+    Whoever writes at the same time, or starts to count batches anew, needs a writer_id of its own.
+    """
+    seq = run_sequence(rows.sparkSession, path, run_id)
     (
         rows.select(*PREDICTION_SCHEMA.names)
-        .withColumns({"run_id": F.lit(_plain(run_id)), "batch_id": F.lit(batch_id).cast("bigint")})
-        .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-        .partitionBy("model_name", "run_id", "batch_id").parquet(path)
+        .withColumns({
+            "run_seq": F.lit(seq).cast("bigint"), "run_id": F.lit(run_id), "writer_id": F.lit(_plain(writer_id)),
+            "batch_id": F.lit(batch_id).cast("bigint")})
+        .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*FOLDERS).parquet(path)
     )
 
 
@@ -53,6 +65,13 @@ def read_log(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(LOG_SCHEMA).parquet(path).select(*LOG_SCHEMA.names)
 
 
+def store_rejected(rows: DataFrame, path: str, run_id: str, writer_id: str) -> DataFrame:
+    """Error rows of records that could not be sent, kept beside the log (a folder that readers of the log pass over)."""
+    folder = f"{path}/_rejected/{_plain(run_id)}/{_plain(writer_id)}"
+    rows.write.mode("overwrite").parquet(folder)
+    return rows.sparkSession.read.schema(rows.schema).parquet(folder)
+
+
 def errors(log: DataFrame) -> DataFrame:
     return log.filter(F.col("status") == "error").select(
         "timestamp", "record_index", "record_id", "model_name", "model_id", "error", "status"
@@ -66,9 +85,13 @@ def latest_predictions(log: DataFrame, order: list[str] = LOG_ORDER) -> DataFram
 
 
 def read_prediction_log(spark: SparkSession, path: str) -> DataFrame:
-    """Last predictions out of JSON lines; lines that do not parse and missing files are skipped."""
-    rows = read_jsonl_tolerant(spark, path, PREDICTION_SCHEMA)
-    return latest_predictions(rows, ["log_position"]).drop("log_position")
+    """Last predictions out of JSON lines; lines that do not parse and missing files are skipped.
+
+    What the lines say of run, time and batch tells which is last, so copying files changes nothing; the place of a line
+    counts only between lines that agree in these.
+    """
+    rows = read_jsonl_tolerant(spark, path, LOG_SCHEMA)
+    return latest_predictions(rows, [*LOG_ORDER, "log_position"]).select(*PREDICTION_SCHEMA.names)
 
 
 def reset_outputs(spark: SparkSession, path: str, models: list[str]) -> None:

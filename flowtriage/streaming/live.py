@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import time
 from collections.abc import Callable
 
@@ -13,7 +14,7 @@ from flowtriage.operators.callstats import call_counters
 from flowtriage.operators.models import MODELS, Model
 from flowtriage.operators.rules import RULES, Rule, suspects
 from flowtriage.operators.scoring import pending, predictions_of, record_requests, score, with_prompt
-from flowtriage.sources.predictions import LOG_SCHEMA, append_predictions, read_log
+from flowtriage.sources.predictions import FOLDERS, LOG_SCHEMA, append_predictions, read_log
 
 
 def stream_suspects(
@@ -25,21 +26,22 @@ def stream_suspects(
 
 
 def read_log_stream(spark: SparkSession, path: str) -> DataFrame:
-    """The prediction log as a stream of its files; a batch must be written once only."""
+    """The prediction log as a stream of its files."""
     return spark.readStream.schema(LOG_SCHEMA).parquet(path)
 
 
 def stream_call_stats(log: DataFrame, target: str, checkpoint: str, until_caught_up: bool = True) -> StreamingQuery:
-    """Running counters per model; the state is one row per model.
+    """Running counters per model.
 
-    Every trigger replaces the table at target, which holds a row per model as well.
+    A batch that its writer repeats comes in new files; each of its calls counts once, as it was first logged. So the
+    state holds a key per call beside a row per model. Every trigger replaces the table at target, a row per model.
     """
 
     def replace(counters: DataFrame, _: int) -> None:
         counters.write.mode("overwrite").parquet(target)
 
     writer = (
-        call_counters(log).writeStream.outputMode("complete")
+        call_counters(log.dropDuplicates([*FOLDERS, "record_id"])).writeStream.outputMode("complete")
         .option("checkpointLocation", checkpoint).foreachBatch(replace)
     )
     return _trigger(writer, until_caught_up).start()
@@ -64,15 +66,18 @@ def stream_scores(
     """Scores what arrives and is not in the log yet.
 
     A batch that is repeated after a crash ignores its own earlier rows and
-    replaces them, so the log has every (record, model) once.
+    replaces them, so the log has every (record, model) once. The writer is
+    the stream's id, which its checkpoint keeps: another stream, or the same
+    one with a fresh checkpoint, never replaces these rows.
     """
 
     def score_batch(batch: DataFrame, batch_id: int) -> None:
-        own = (F.col("run_id") == run_id) & (F.col("batch_id") == batch_id)
+        writer = json.loads(batch.sparkSession.read.text(f"{checkpoint}/metadata").first()["value"])["id"]
+        own = (F.col("run_id") == run_id) & (F.col("writer_id") == writer) & (F.col("batch_id") == batch_id)
         log = read_log(batch.sparkSession, log_path).filter(~own)
         todo = with_prompt(pending(record_requests(batch, index), models, log, retry_errors), policy)
         append_predictions(
-            predictions_of(score(todo, scorer, concurrency, retries, pause, sleep)), log_path, run_id, batch_id
+            predictions_of(score(todo, scorer, concurrency, retries, pause, sleep)), log_path, run_id, batch_id, writer
         )
 
     writer = records.writeStream.option("checkpointLocation", checkpoint).foreachBatch(score_batch)

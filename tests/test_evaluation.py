@@ -73,7 +73,9 @@ def test_golden_metrics_and_costs(spark, run):
 def log_rows(spark, rows):
     base = dict.fromkeys(LOG_SCHEMA.names) | {"timestamp": "2026-01-01T00:00:00", "status": "ok", "run_id": "r1",
                                               "batch_id": 0, "latency_s": 1.0, "input_tokens": 1, "output_tokens": 1}
-    return spark.createDataFrame([tuple((base | r)[c] for c in LOG_SCHEMA.names) for r in rows], LOG_SCHEMA)
+    rows = [base | r for r in rows]
+    rows = [r | {"run_seq": int(r["run_id"][1:])} for r in rows]
+    return spark.createDataFrame([tuple(r[c] for c in LOG_SCHEMA.names) for r in rows], LOG_SCHEMA)
 
 
 @pytest.fixture(scope="module")
@@ -127,11 +129,20 @@ def test_models_without_rows_measure_zero(small):
 def test_call_statistics_of_a_run(small):
     log, _ = small
     row = callstats.call_stats(log, run_id="r2").filter("model_name = 'chatgpt'").first()
-    assert (row.calls, row.errors, row.skipped_resume, row.low_confidence) == (1, 0, 5, 0)
+    assert (row.calls, row.errors, row.skipped_resume, row.low_confidence) == (1, 0, 4, 0)  # b was called again
     whole = callstats.call_stats(log).filter("model_name = 'chatgpt'").first()
     assert (whole.calls, whole.errors, whole.skipped_resume, whole.low_confidence) == (5, 1, 0, 1)
 
 
+def test_runs_follow_by_number(spark):
+    log = log_rows(spark, [
+        {"model_name": "chatgpt", "record_id": "a", "prediction": p, "run_id": run}
+        for run, p in (("r10", "normal"), ("r9", "attack"))])
+    assert latest_predictions(log).first().prediction == "normal"
+    assert callstats.call_stats(log, run_id="r9").filter("model_name = 'chatgpt'").first().skipped_resume == 0
+    assert callstats.call_stats(log, run_id="r11").filter("model_name = 'chatgpt'").first().skipped_resume == 1
+
+
 def test_unknown_price_costs_nothing(small):
     models = [Model("unlisted", 9, "x", "x")]
     row = callstats.estimate_cost(callstats.call_stats(small[0], models)).first()
@@ -151,7 +162,7 @@ def test_checkpoints_cover_every_step(spark):
 def test_checkpoints_know_the_run(small):
     rows = callstats.checkpoint_series(small[0], 5, models=THREE, run_id="r2").collect()
     assert {(r.model_name, r.calls, r.skipped) for r in rows} == {
-        ("chatgpt", 1, 5), ("deepseek", 0, 0), ("claude", 0, 1)}
+        ("chatgpt", 1, 4), ("deepseek", 0, 0), ("claude", 0, 1)}
 
 
 def test_results_do_not_depend_on_partitions(spark, sf_dir):

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import json
+import os
 import sys
 
 import pytest
@@ -152,6 +153,27 @@ def test_failed_calls_count_as_done_unless_retried(sample, tmp_path, spark):
     assert latest_predictions(log).filter("status = 'error'").count() == 0
 
 
+class Ending:
+    """Ends the job at a record, as a machine that is lost does."""
+
+    def __call__(self, request):
+        if json.loads(request["prompt"].split("\n")[5])["record_id"] == "id25":
+            os._exit(1)
+        return RuleScorer()(request)
+
+
+def test_a_stopped_run_keeps_finished_waves(sample, tmp_path, spark):
+    path = str(tmp_path / "log")
+    with pytest.raises(Exception):
+        run(sample, path, Ending(), "run1", wave=10)
+    before = sorted(map(tuple, read_log(spark, path).collect()))
+    assert len(before) == 80
+    run(sample, path, RuleScorer(), "run1", wave=10)
+    log = read_log(spark, path)
+    assert log.count() == 160 == log.select("record_id", "model_name").distinct().count()
+    assert set(before) <= set(map(tuple, log.collect()))
+
+
 def test_no_resume_discards_the_selected_models(sample, tmp_path, spark):
     path = str(tmp_path / "log")
     run(sample, path, RuleScorer(), "run1")
@@ -168,6 +190,8 @@ def test_records_without_id_are_not_sent(spark, sample, tmp_path):
     result = run(sample.union(nameless), str(tmp_path / "log"), RuleScorer(), "run1")
     assert read_log(spark, str(tmp_path / "log")).count() == 160
     assert [(r.record_id, r.error) for r in result.rejected.collect()] == [(None, "missing record_id")]
+    stored = spark.read.parquet(*(str(p) for p in (tmp_path / "log" / "_rejected").glob("*/*"))).collect()
+    assert stored == result.rejected.collect()
 
 
 def test_calls_spread_over_partitions(sample):

@@ -82,9 +82,11 @@ def test_run_ids_are_plain(spark, sf_dir, tmp_path):
     log = fixtures.prediction_log(spark, sf_dir)
     with pytest.raises(ValueError):
         predictions.append_predictions(log, str(tmp_path / "log"), "a/b")
-    assert predictions.next_batch(spark, str(tmp_path / "log"), "r") == 0
-    predictions.append_predictions(log, str(tmp_path / "log"), "r", 4)
-    assert predictions.next_batch(spark, str(tmp_path / "log"), "r") == 5
+    assert predictions.run_sequence(spark, str(tmp_path / "log"), "r9") == 0
+    predictions.append_predictions(log, str(tmp_path / "log"), "r9", 4)
+    assert predictions.run_sequence(spark, str(tmp_path / "log"), "r10") == 1
+    predictions.append_predictions(log, str(tmp_path / "log"), "r10")
+    assert [predictions.run_sequence(spark, str(tmp_path / "log"), r) for r in ("r9", "r10", "r2")] == [0, 1, 2]
 
 
 @pytest.fixture(scope="module")

@@ -53,8 +53,21 @@ def test_scores_resume_without_doubles(spark, tmp_path):
     assert stored.count() == 40 == stored.select("record_id", "model_name").distinct().count()
 
 
-def test_a_repeated_batch_replaces_its_rows(spark, tmp_path):
-    """Two streams with fresh state but one run id replay batch 0: its rows are replaced, not doubled."""
+def test_two_sources_of_one_run_keep_all_rows(spark, tmp_path):
+    """Both streams begin with batch 0 under one run id; the second must not replace rows of the first."""
+    log = str(tmp_path / "log")
+    for n in (0, 10):
+        source = str(tmp_path / f"records{n}")
+        records(spark, n, n + 10).write.parquet(source)
+        stream = spark.readStream.schema(SAMPLE_SCHEMA).parquet(source)
+        live.stream_scores(stream, RuleScorer(), log, "run1", str(tmp_path / f"state{n}"), MODELS[:2], "balanced",
+                           2).awaitTermination()
+    stored = read_log(spark, log)
+    assert stored.count() == 40 == stored.select("record_id", "model_name").distinct().count()
+
+
+def test_a_replayed_stream_adds_nothing(spark, tmp_path):
+    """Two streams with fresh state but one run id: the second finds all in the log."""
     source, log = str(tmp_path / "records"), str(tmp_path / "log")
     records(spark, 0, 10).write.parquet(source)
     for attempt in ("first", "second"):
