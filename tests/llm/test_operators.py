@@ -12,6 +12,7 @@ import duckdb
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from flowtriage.llm import bpe, decisionlist, exactdedup, hmm, langid, linecrf, linededup, mixing, queries, simhash, urlfilter
@@ -419,3 +420,10 @@ def test_pipeline_keeps_what_its_stages_keep(spark, sf_dir, texts):
     assert Counter(r["doc_id"] for r in rows) == Counter(r["doc_id"] for r in kept.collect())
     tokenizer = bpe.WordBpe(open(tokenizer_path(), encoding="utf-8").read())
     assert all(tokenizer.encode(texts[r["doc_id"]]) == r["ids"] and len(r["ids"]) == 4 * r["n_tokens"] for r in rows)
+
+
+def test_sets_of_like_size_share_a_class(spark):
+    sizes = spark.range(300).select(F.col("id").alias("n"))
+    classes = {r["n"]: set(r["c"]) for r in sizes.select("n", simhash._size_classes("n", 0.8).alias("c")).collect()}
+    for m in range(300):
+        assert all(classes[n] & classes[m] for n in range(m + 1) if 10 * n >= 8 * m)
