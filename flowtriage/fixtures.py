@@ -86,10 +86,7 @@ _STORED: dict[tuple[str, str], str] = {}
 
 def derive_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Thirteen text columns over all of lineitem."""
-    lineitem = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
-    width = spark.sparkContext.defaultParallelism
-    if len(lineitem.inputFiles()) < width:  # a single file is read by a single task
-        lineitem = lineitem.repartition(width)
+    lineitem = spark.read.parquet(f"{sf_dir}/lineitem.parquet").repartition(spark.sparkContext.defaultParallelism)
     sql = FLOWS.format(
         date="date_format(l_shipdate, 'yyyy-MM-dd HH:mm:ss')", text="STRING", lineitem="{lineitem}"
     )

@@ -76,9 +76,9 @@ def outcomes(predictions: DataFrame, truth: DataFrame) -> DataFrame:
 
 
 def with_models(stats: DataFrame, models: list[Model], counts: list[str]) -> DataFrame:
-    """One row per listed model, also for models without any rows."""
+    """One row per model: those listed, also without any rows, then any other that stats hold."""
     listed = model_table(stats.sparkSession, models).select("model_name", "model_ord")
-    return listed.join(stats, "model_name", "left").fillna(0, counts)
+    return listed.join(stats, "model_name", "full").fillna(0, counts).fillna(len(models) + 1, ["model_ord"])
 
 
 def confusion_matrix(judged: DataFrame, models: list[Model] = MODELS) -> DataFrame:

@@ -2,10 +2,9 @@
 
 A sample of n rows is the n rows with the smallest seeded hash. Sorting all
 candidates, or keeping n per map task, would send far too much to one reducer.
-Instead, the number of leading zeros of the hash cuts the candidates down
-first: rows are counted per stratum and number of zeros (a few dozen counts
-however large the table), which tells how many zeros still leave n rows. About
-16 n rows pass that cut, and they hold the sample for certain.
+Instead, a bound on the hash cuts the candidates down first. It comes from the
+size of the pool, where that is known, or from counts per stratum and hash
+prefix (a few thousand counts however large the table). About 1.1 n rows pass.
 """
 
 from __future__ import annotations
@@ -13,7 +12,7 @@ from __future__ import annotations
 import math
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from flowtriage.functions.identity import record_id, row_hash
 from flowtriage.operators.running import running_totals
@@ -25,9 +24,8 @@ TARGETS = {"background": 4700, "blacklist": 290, "anomaly-sshscan": None}
 SEED = 42
 PREFIXES = {"sample_1000": 1000, "sample_3000": 3000, "sample_5000": 5000}
 
-HASH_DIGITS = 32
-# Samples up to this size are cut off and ranked by one task per stratum.
-ONE_TASK_ROWS = 200_000
+# Digits that a bound on the hash has, and a bound above all hashes.
+CUT_DIGITS, NO_CUT = 12, "g"
 
 
 def stratum_filter(df: DataFrame, strata: list[str], column: str = "label") -> DataFrame:
@@ -35,72 +33,72 @@ def stratum_filter(df: DataFrame, strata: list[str], column: str = "label") -> D
     return df.filter(F.col(column).isin(list(strata)))
 
 
-def _leading_zeros() -> Column:
-    return F.expr(f"{HASH_DIGITS} - length(ltrim('0', _hash))")
+def _exact_cuts(hashed: DataFrame, targets: dict[str, int]) -> dict[str, str]:
+    """The least hash prefix of each stratum up to which the target is there; one row per stratum reaches the driver.
 
-
-def _exact_zeros(hashed: DataFrame, targets: dict[str, int]) -> DataFrame:
-    """(_stratum, _need) with the largest number of zeros that leaves the target; one row per stratum."""
-    left = "sum(_n) OVER (PARTITION BY _stratum ORDER BY _zeros DESC)"
-    return (
-        hashed.groupBy("_stratum", "_zeros").agg(F.count("*").alias("_n"))
-        .selectExpr("_stratum", f"if({left} >= {_per_stratum(targets)}, _zeros, 0) AS _zeros")
-        .groupBy("_stratum").agg(F.max("_zeros").alias("_need"))
+    A prefix is the zeros a hash begins with and two more digits, so the last one adds a sixteenth at most.
+    """
+    upto = "sum(_n) OVER (PARTITION BY _stratum ORDER BY _prefix)"
+    found = (
+        hashed.filter(F.col("_stratum").isin(list(targets)))
+        .selectExpr("_stratum", "substring(_hash, 1, length(_hash) - length(ltrim('0', _hash)) + 2) AS _prefix")
+        .groupBy("_stratum", "_prefix").agg(F.count("*").alias("_n"))
+        .selectExpr("_stratum", f"if({upto} >= {_per_stratum(targets)}, _prefix, NULL) AS _prefix")
+        .groupBy("_stratum").agg(F.min("_prefix").alias("cut"))
     )
+    # no hash continues with a digit above f
+    return {r._stratum: r.cut + "g" for r in found.collect() if r.cut is not None}
 
 
-def _literal_zeros(spark: SparkSession, zeros: dict[str, int]) -> DataFrame:
-    rows = ", ".join(f"({_quoted(stratum)}, {need})" for stratum, need in zeros.items())
-    return spark.sql(f"SELECT * FROM VALUES {rows} AS t(_stratum, _need)")
+def likely_cuts(pool: dict[str, int], targets: dict[str, int | None]) -> dict[str, str]:
+    """Bounds per stratum from known pool sizes, with a wide margin above the wanted share.
 
-
-def likely_zeros(pool: dict[str, int], targets: dict[str, int | None]) -> dict[str, int]:
-    """Zeros per stratum from known pool sizes, with a wide margin below the expected count.
-
-    Not certain to leave enough rows, so whoever uses it has to count the sample.
+    Not certain to leave enough rows, so whoever uses them has to count the sample.
     """
-    zeros = {}
+    cuts = {}
     for stratum, target in targets.items():
-        if target is None:
-            continue
-        wanted = max(1.0, target + 10 * math.sqrt(target) + 50)
-        zeros[stratum] = max(0, int(math.log(max(pool.get(stratum, 0) / wanted, 1.0), 16)))
-    return zeros
+        wanted = math.inf if target is None else target + 10 * math.sqrt(target) + 50
+        if wanted < pool.get(stratum, 0):
+            cuts[stratum] = f"{wanted_share(wanted, pool[stratum]):0{CUT_DIGITS}x}"
+    return cuts
+
 
+def wanted_share(wanted: float, pool: int) -> int:
+    """wanted / pool of all hashes, in units of the last digit of a bound."""
+    return math.ceil(wanted / pool * 16**CUT_DIGITS)
 
-def _per_stratum(values: dict[str, int]) -> str:
-    """SQL that looks up the value of the row's stratum."""
-    pairs = ", ".join(f"{_quoted(stratum)}, {value}" for stratum, value in values.items())
-    return f"try_element_at(map({pairs}), _stratum)"
+
+def _per_stratum(values: dict[str, int | str], default: str = "NULL") -> str:
+    """SQL for the value of the row's stratum."""
+    cases = " ".join(
+        f"WHEN {_quoted(stratum)} THEN {_quoted(value) if isinstance(value, str) else value}" for stratum, value in values.items())
+    return f"CASE _stratum {cases} ELSE {default} END" if values else default
 
 
 def _quoted(text: str) -> str:
     return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def _lowest_hashes(pool: DataFrame, targets: dict[str, int], seed: int, zeros: dict[str, int] | None) -> DataFrame:
-    """Exactly targets[s] rows per value s of _stratum (all, where there are fewer)."""
+def _lowest_hashes(
+    pool: DataFrame, targets: dict[str, int | None], seed: int, cuts: dict[str, str] | None = None
+) -> DataFrame:
+    """Exactly targets[s] rows per value s of _stratum (all, where there are fewer or the target is None)."""
     columns = pool.columns
     hash_columns = [c for c in columns if c in FLOW_COLUMNS] or columns
-    hashed = pool.withColumn("_hash", row_hash(seed, hash_columns)).withColumn("_zeros", _leading_zeros())
-    cut = _exact_zeros(hashed, targets) if zeros is None else _literal_zeros(pool.sparkSession, zeros)
-    # the cut has one row per stratum named in targets
-    survivors = hashed.join(F.broadcast(cut), "_stratum").filter(F.col("_zeros") >= F.col("_need")).drop("_zeros")
+    hashed = pool.withColumn("_hash", row_hash(seed, hash_columns))
+    limited = {s: n for s, n in targets.items() if n is not None}
+    if cuts is None:
+        cuts = _exact_cuts(hashed, limited) if limited else {}
+    survivors = hashed.filter(f"_hash < {_per_stratum(cuts, _quoted(NO_CUT))}")
 
     # copies of a row share its hash and may be very many: count them instead of moving them
-    distinct = survivors.groupBy(*columns, "_hash", "_need").agg(F.count("*").alias("_copies"))
-    distinct = distinct.withColumn("_upto", F.col("_copies"))
+    distinct = survivors.groupBy(*columns, "_hash").agg(F.count("*").alias("_copies"))
     kept = [c for c in columns if c != "_stratum"]
-    order = ["_hash", *kept]
-    if max(targets.values()) <= ONE_TASK_ROWS:
-        counted = distinct.withColumn("_upto", F.expr(
-            f"sum(_upto) OVER (PARTITION BY _stratum ORDER BY {', '.join(order)} ROWS UNBOUNDED PRECEDING)"
-        ))
-    else:
-        # the digits after the zeros spread the survivors evenly over 4096 blocks
-        blocks = distinct.withColumn("_block", F.expr("substring(_hash, 1, _need + 3)"))
-        counted = running_totals(blocks, ["_stratum"], "_block", order, ["_upto"])
-    take = f"least(_copies, {_per_stratum(targets)} - (_upto - _copies))"
+    # three digits after the zeros of the bound spread the survivors evenly over 4096 blocks
+    zeros = {stratum: len(cut) - len(cut.lstrip("0")) for stratum, cut in cuts.items()}
+    blocks = distinct.selectExpr("*", "_copies AS _upto", f"substring(_hash, 1, 3 + {_per_stratum(zeros, '0')}) AS _block")
+    counted = running_totals(blocks, ["_stratum"], "_block", ["_hash", *kept], ["_upto"])
+    take = f"least(_copies, coalesce({_per_stratum(limited)} - (_upto - _copies), _copies))"
     return (
         counted.withColumn("_take", F.expr(take)).filter("_take > 0")
         .withColumn("_copy", F.expr("explode(sequence(1L, _take))")).select(*kept)
@@ -120,23 +118,19 @@ def stratified_sample(
     targets: dict[str, int | None] = TARGETS,
     seed: int = SEED,
     column: str = "label",
-    zeros: dict[str, int] | None = None,
+    cuts: dict[str, str] | None = None,
 ) -> DataFrame:
-    """The rows with the smallest hashes of each stratum; a target of None takes the whole stratum."""
-    limited = {s: n for s, n in targets.items() if n is not None}
-    whole = [s for s, n in targets.items() if n is None]
-    parts = []
-    if limited:
-        pool = stratum_filter(df, list(limited), column).withColumn("_stratum", F.col(column))
-        parts.append(_lowest_hashes(pool, limited, seed, zeros))
-    if whole:
-        parts.append(take_all(df, whole, column))
-    return union_strata(parts)
+    """The rows with the smallest hashes of each stratum; a target of None takes the whole stratum.
+
+    Without cuts a first pass over the table finds them, at once.
+    """
+    pool = stratum_filter(df, list(targets), column).withColumn("_stratum", F.col(column))
+    return _lowest_hashes(pool, targets, seed, cuts)
 
 
 def random_sample(df: DataFrame, n: int, seed: int = SEED) -> DataFrame:
     """n rows regardless of their label."""
-    return _lowest_hashes(df.withColumn("_stratum", F.lit("all")), {"all": n}, seed, None)
+    return _lowest_hashes(df.withColumn("_stratum", F.lit("all")), {"all": n}, seed)
 
 
 def seeded_order(df: DataFrame, seed: int = SEED) -> DataFrame:
@@ -153,13 +147,11 @@ def draw_sample(
 ) -> DataFrame:
     """stratified_sample in a single scan, for known pool sizes; computed at once.
 
-    The cut comes from the pool sizes, and a small stratum to be taken whole is
-    a target of its size. Should the cut leave too few rows of a stratum, which
-    only piles of equal rows can bring about, the exact cut is used.
+    The bounds come from the pool sizes. Should they leave too few rows of a
+    stratum, which only piles of equal rows can bring about, exact ones are used.
     """
     expected = {s: pool.get(s, 0) if n is None else min(n, pool.get(s, 0)) for s, n in targets.items()}
-    small = {s: max(n, 1) if targets[s] is None and n <= ONE_TASK_ROWS else targets[s] for s, n in expected.items()}
-    sample = materialise(stratified_sample(suspects, small, seed, column, likely_zeros(pool, small)))
+    sample = materialise(stratified_sample(suspects, targets, seed, column, likely_cuts(pool, targets)))
     got = {r[0]: r[1] for r in sample.groupBy(column).count().collect()}  # one row per stratum
     if any(got.get(s, 0) != n for s, n in expected.items()):
         sample = materialise(stratified_sample(suspects, targets, seed, column))

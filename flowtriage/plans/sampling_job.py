@@ -16,7 +16,7 @@ from flowtriage.operators.ranking import global_rank
 from flowtriage.operators.rules import RULES, Rule, hit_rows, tag_reasons
 from flowtriage.operators.sampling import PREFIXES, SEED, TARGETS, draw_sample, with_record_id
 from flowtriage.session import materialise
-from flowtriage.sources.exports import export_samples, require_complete, verify_export
+from flowtriage.sources.exports import export_samples, export_sharded, require_complete, verify_export
 from flowtriage.sources.reports import report_rows, write_report
 
 SECTIONS = {
@@ -59,7 +59,7 @@ def ranked_sample(
     pool = suspect_pool(cube, list(targets))
     size = sum(pool.get(s, 0) if n is None else min(n, pool.get(s, 0)) for s, n in targets.items())
     sample = draw_sample(hit_rows(flows, rules), pool, targets, seed)
-    return global_rank(with_record_id(tag_reasons(sample, rules)), bound=size)
+    return global_rank(with_record_id(tag_reasons(sample, rules)), rows=size)
 
 
 def sample_report(
@@ -98,13 +98,14 @@ def run_sampling(
     seed: int = SEED,
     prefixes: dict[str, int] = PREFIXES,
     rules: list[Rule] = RULES,
+    sharded: bool = False,
 ) -> SamplingResult:
-    """Profiles, samples, exports, verifies and reports."""
+    """Profiles, samples, exports, verifies and reports; sharded writes folders of many files instead of single files."""
     cube = materialise(profile.profile_cube(flows, rules))
     if not profile.suspect_ratio(cube, rules).first().suspect_records:
         raise ValueError("no suspects found")
     sample = materialise(ranked_sample(flows, cube, targets, seed, rules))
-    expected = export_samples(sample, folder, prefixes)
+    expected = (export_sharded if sharded else export_samples)(sample, folder, prefixes)
     files = require_complete(verify_export(flows.sparkSession, expected))
     report = write_report(sample_report(cube, sample, files, prefixes), SECTIONS, folder, "processing_report")
     return SamplingResult(cube, sample, files, report)

@@ -10,9 +10,6 @@ from flowtriage.functions.replies import STRICT, json_object
 from flowtriage.functions.text import strip
 from flowtriage.sources import storage
 
-# A single file is written by a single task; more rows belong in sharded files.
-SINGLE_FILE_ROWS = 1_000_000
-
 
 def _object_line(line: Column) -> Column:
     return json_object(F.when(line.startswith("{"), line))
@@ -80,5 +77,5 @@ def write_single_text(lines: DataFrame, order: list[str], path: str) -> None:
 
 
 def write_single_jsonl(df: DataFrame, columns: list[str], path: str, order: str = "sample_rank") -> None:
-    """Small exports only: the caller has checked the row count against SINGLE_FILE_ROWS."""
+    """One file, which one task writes row by row; large exports are better sharded."""
     write_single_text(df.select(json_line(columns).alias("value"), order), [order], path)

@@ -57,7 +57,7 @@ def test_a_cut_that_is_too_tight_is_noticed(suspects):
     many = suspects.unionByName(piled.drop("i"))
     pool["background"] += 200_000
     targets = {"background": 4700, "blacklist": 290}
-    assert sampling.likely_zeros(pool, targets)["background"] == 1
+    assert sampling.likely_cuts(pool, targets)["background"].startswith("0")
     expected = rows_of(sampling.stratified_sample(many, targets))
     assert len(expected) == 4990
     assert rows_of(sampling.draw_sample(many, pool, targets)) == expected
@@ -73,39 +73,47 @@ def test_copies_of_a_row_count_as_rows(spark, suspects):
     assert sum(r == first for r in sampling.random_sample(many, 40).collect()) == 40
 
 
-def test_large_targets_use_blocks(suspects, monkeypatch):
-    expected = rows_of(sampling.stratified_sample(suspects))
-    monkeypatch.setattr(sampling, "ONE_TASK_ROWS", 10)
-    assert rows_of(sampling.stratified_sample(suspects)) == expected
+def test_whole_strata_come_along_in_the_same_pass(suspects):
+    targets = {"background": 100, "blacklist": None, "anomaly-sshscan": None}
+    assert rows_of(sampling.stratified_sample(suspects, targets)) == brute_force(suspects.collect(), targets)
+    assert rows_of(sampling.stratified_sample(suspects, {"blacklist": None})) == brute_force(suspects.collect(), {"blacklist": None})
 
 
-def test_the_cut_leaves_few_rows(suspects):
-    hashed = suspects.withColumn("_hash", F.md5("src_ip")).withColumn("_zeros", sampling._leading_zeros())
-    rows = hashed.select("_hash", "_zeros").collect()
-    assert all(r._zeros == len(r._hash) - len(r._hash.lstrip("0")) for r in rows)
+def test_the_bound_leaves_few_rows_and_is_a_plain_filter(suspects):
+    hashes = sorted(seeded(r) for r in suspects.collect())
+    hashed = suspects.selectExpr("'all' AS _stratum", "*").withColumn("_hash", sampling.row_hash(42))
+    for n in (10, 1000, 3000):
+        cut = sampling._exact_cuts(hashed, {"all": n})["all"]
+        assert n <= sum(h < cut for h in hashes) <= 1.2 * n + 10
+    assert sampling._exact_cuts(hashed, {"all": len(hashes) + 1}) == {}
+    plan = sampling.stratified_sample(suspects, {"background": 100}, cuts={"background": "08"})._jdf.queryExecution().toString()
+    assert "NestedLoop" not in plan and "BroadcastHint" not in plan
 
 
-def test_rank_ways_agree(suspects):
+def test_rank_is_the_same_for_any_ranges(suspects, monkeypatch):
     found = sampling.with_record_id(suspects)
-    near, far = ranking.global_rank(found, bound=20_000), ranking.global_rank(found)
+    monkeypatch.setattr(ranking, "RANGE_ROWS", 500)
+    near, far = ranking.global_rank(found, rows=1), ranking.global_rank(found)
+    assert far.rdd.getNumPartitions() > near.rdd.getNumPartitions() == 1
     assert rows_of(near.select("record_id", "sample_rank")) == rows_of(far.select("record_id", "sample_rank"))
     ranks = far.orderBy("sample_rank").collect()
     assert [r.sample_rank for r in ranks] == list(range(1, len(ranks) + 1))
     assert [(r.timestamp, r.record_id) for r in ranks] == sorted((r.timestamp, r.record_id) for r in ranks)
 
 
-def test_rank_splits_equal_rows(spark):
+def test_rank_splits_equal_rows(spark, monkeypatch):
     """A third of the rows are equal: they spread over partitions and still get ranks of their own."""
     df = spark.range(3000).select(
         F.when(F.col("id") % 3 == 0, "same").otherwise(F.col("id").cast("string")).alias("timestamp"),
         F.when(F.col("id") % 3 == 0, "same").otherwise("r").alias("record_id"),
     )
+    monkeypatch.setattr(ranking, "RANGE_ROWS", 200)
     ranked = ranking.global_rank(df)
     assert [r[0] for r in ranked.select("sample_rank").orderBy("sample_rank").collect()] == list(range(1, 3001))
 
 
 def test_prefixes_are_nested(suspects):
-    ranked = ranking.global_rank(sampling.with_record_id(sampling.stratified_sample(suspects)), bound=5000)
+    ranked = ranking.global_rank(sampling.with_record_id(sampling.stratified_sample(suspects)), rows=5000)
     ids = {k: {r.record_id for r in sampling.nested_prefix(ranked, k).collect()} for k in (1000, 3000, 5000)}
     assert ids[1000] < ids[3000] < ids[5000] and [len(ids[k]) for k in ids] == [1000, 3000, 4994]
 

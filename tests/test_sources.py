@@ -136,6 +136,14 @@ def test_verification_finds_missing_and_short_files(spark, tmp_path):
     assert [r.line_count_ok for r in gone.collect()] == [False]
 
 
+def test_sharded_export_is_verified_by_folder(spark, tmp_path):
+    row = ", ".join(f"'x' AS {c}" for c in dict.fromkeys([*EVAL_COLUMNS, *API_COLUMNS]) if c != "sample_rank")
+    sample = spark.sql(f"SELECT id + 1 AS sample_rank, {row} FROM range(50)")
+    expected = exports.export_sharded(sample, str(tmp_path / "shards"), {"small": 20, "large": 80})
+    found = {r.file: (r.line_count, r.line_count_ok) for r in exports.verify_export(spark, expected).collect()}
+    assert found == {f"sample={s}/view={v}": (n, True) for s, n in (("small", 20), ("large", 50)) for v in exports.VIEWS}
+
+
 def test_export_replaces_files_and_leaves_no_parts(spark, tmp_path):
     path = str(tmp_path / "one.jsonl")
     for n in (5, 3):
