@@ -4,12 +4,11 @@ from __future__ import annotations
 
 import math
 import sys
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, functions as F
@@ -23,34 +22,42 @@ MOST_WORDS, BUCKETS = 1 << 16, 1 << 10
 SEED_WORDS = 256
 SMOOTHING, SEED = 2000.0, 42
 END = "\n"  # no word: words hold no white space
-FLUSHED_WORDS, HELD_TOKENS, GROUP_TOKENS = 300_000, 4_000_000, 500_000
+#: Tokens that a task counts, holds and runs through the model at a time, at least.
+COUNTED_TOKENS, HELD_TOKENS, GROUP_TOKENS = 2_500_000, 4_000_000, 500_000
 
 
-def words_of(text: str | None) -> list[bytes]:
-    return (text or "").encode().lower().split()  # of bytes: A-Z and the six ASCII white space characters
+def words_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The lower-cased words of all texts, one text after another, and how many each has; none for a null."""
+    trimmed = pc.ascii_trim_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+    lists = pc.ascii_split_whitespace(trimmed)
+    words, blank = lists.flatten(), pc.equal(trimmed, "").to_numpy(zero_copy_only=False)
+    if blank.any():  # splits into one empty word
+        words = words.filter(pc.not_equal(words, ""))
+    return words, np.where(blank, 0, pc.list_value_length(lists).to_numpy()).astype(np.int64)
 
 
 def word_counts(rows: DataFrame) -> DataFrame:
     """word and n over all texts, with one end per text; summed in each task before they are shuffled."""
 
-    def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        counts: Counter = Counter()
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, tokens, ends = [], 0, 0
 
-        def flush() -> pd.DataFrame:
-            frame = pd.DataFrame({"word": [w.decode() for w in counts], "n": np.fromiter(counts.values(), np.int64, len(counts))})
-            counts.clear()
-            return frame
+        def flush() -> pa.RecordBatch:
+            counts = pa.chunked_array(held, held[0].type).value_counts()
+            n = pa.concat_arrays([counts.field("counts"), pa.array([ends], pa.int64())])
+            return pa.RecordBatch.from_arrays([pa.concat_arrays([counts.field("values").cast(pa.string()), pa.array([END])]), n], names=["word", "n"])
 
         for batch in batches:
-            for text in batch["text"]:
-                counts.update(words_of(text))
-                counts[END.encode()] += 1
-                if len(counts) >= FLUSHED_WORDS:
-                    yield flush()
-        if counts:
+            words, sizes = words_of(batch.column(0))
+            held.append(words)
+            tokens, ends = tokens + len(words), ends + len(sizes)
+            if tokens >= COUNTED_TOKENS:
+                yield flush()
+                held, tokens, ends = [], 0, 0
+        if ends:
             yield flush()
 
-    return rows.select("text").mapInPandas(counted, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return rows.select("text").mapInArrow(counted, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 class Classes:
@@ -59,7 +66,7 @@ class Classes:
     def __init__(self, counts: dict[str, int], ends: int, bucket_mass: np.ndarray, total: int, size: int):
         """bucket_mass: the sum of count + 1 over the words of each bucket, and 1 for those it has not seen."""
         words = sorted(counts, key=lambda w: (-counts[w], w))
-        self.ids = {w.encode(): i for i, w in enumerate(words, 1)}
+        self.words = pa.array(words, pa.string())
         self.first_bucket = len(words) + 1
         self.n = self.first_bucket + BUCKETS
         seen = np.array([ends, *[counts[w] for w in words]], np.float64)
@@ -68,14 +75,21 @@ class Classes:
         self.shares = np.concatenate([seen + 1, bucket_mass])
         self.shares /= self.shares.sum()
 
-    def of(self, words: list[bytes]) -> np.ndarray:
-        get, first = self.ids.get, self.first_bucket
-        found = [get(w, -1) for w in words]
-        found.append(0)
-        ids = np.array(found, np.int64)
-        for i in np.flatnonzero(ids < 0).tolist():
-            ids[i] = first + (xxhash.xxh64_intdigest(words[i], SEED) & (BUCKETS - 1))
-        return ids
+    def of(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array, np.ndarray]:
+        """The classes of all words and the end of each text, one text after another; how many each text has; the distinct
+        words without an emission of their own, and for each place of such a word which of them it is."""
+        words, sizes = words_of(texts)
+        sizes += 1
+        ids = pc.fill_null(pc.index_in(words, value_set=self.words.cast(words.type)), -1).to_numpy() + 1
+        missing = np.flatnonzero(ids == 0)
+        others = words.take(pa.array(missing)).dictionary_encode()
+        distinct, which = others.dictionary, others.indices.to_numpy()
+        buckets = [xxhash.xxh64_intdigest(w, SEED) & (BUCKETS - 1) for w in distinct.cast(pa.binary()).to_pylist()]
+        ids[missing] = self.first_bucket + np.array(buckets, np.int32)[which]
+        classes, ends = np.zeros(len(ids) + len(sizes), np.int32), np.ones(len(ids) + len(sizes), bool)
+        ends[np.cumsum(sizes) - 1] = False
+        classes[ends] = ids
+        return classes, sizes, distinct, which
 
 
 class Model:
@@ -153,7 +167,7 @@ class Counts:
         return Model(start / start.sum(), moves / moves.sum(axis=1, keepdims=True), emissions / emissions.sum(axis=0))
 
 
-def _chains(batches: Iterator[list[str | None]], classes: Classes) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _chains(batches: Iterator[pa.Array], classes: Classes) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Class sequences in groups, those of like length together, so that few steps serve few chains."""
     held, tokens = [], 0
 
@@ -171,34 +185,37 @@ def _chains(batches: Iterator[list[str | None]], classes: Classes) -> Iterator[t
         held.clear()
 
     for texts in batches:
-        for text in texts:
-            held.append(classes.of(words_of(text)).astype(np.int32))
-            tokens += len(held[-1])
-            if tokens >= HELD_TOKENS:
-                yield from groups()
-                tokens = 0
+        if not len(texts):
+            continue
+        seq, sizes, _, _ = classes.of(texts)
+        held.extend(np.split(seq, np.cumsum(sizes)[:-1]))
+        tokens += len(seq)
+        if tokens >= HELD_TOKENS:
+            yield from groups()
+            tokens = 0
     if held:
         yield from groups()
 
 
 def _company(rows: DataFrame, classes: Classes) -> np.ndarray:
     """In how many documents two of the most frequent words stand together, over all documents."""
-    n = min(SEED_WORDS, len(classes.ids))
-    frequent = {w: i - 1 for w, i in classes.ids.items() if i <= n}
-    shared = rows.sparkSession.sparkContext.broadcast(frequent)
+    frequent = classes.words.slice(0, SEED_WORDS)
+    n = len(frequent)
 
-    def met(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        index, both = shared.value, np.zeros((n, n))
+    def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        both = np.zeros((n, n))
         for batch in batches:
-            held = np.zeros((len(batch), n), np.float32)
-            for i, text in enumerate(batch["text"]):
-                held[i, [index[w] for w in index.keys() & words_of(text)]] = 1
+            words, sizes = words_of(batch.column(0))
+            found = pc.fill_null(pc.index_in(words, value_set=frequent.cast(words.type)), -1).to_numpy()
+            place = np.flatnonzero(found >= 0)
+            held = np.zeros((len(sizes), n), np.float32)
+            held[np.repeat(np.arange(len(sizes)), sizes)[place], found[place]] = 1
             both += held.T @ held
         i, j = np.nonzero(both)
-        yield pd.DataFrame({"i": i, "j": j, "n": both[i, j]})
+        yield pa.RecordBatch.from_arrays([pa.array(i, pa.int32()), pa.array(j, pa.int32()), pa.array(both[i, j])], names=["i", "j", "n"])
 
     both = np.zeros((n, n))
-    for row in rows.select("text").mapInPandas(met, "i int, j int, n double").groupBy("i", "j").agg(F.sum("n").alias("n")).collect():
+    for row in rows.select("text").mapInArrow(met, "i int, j int, n double").groupBy("i", "j").agg(F.sum("n").alias("n")).collect():
         both[row["i"], row["j"]] = row["n"]
     return both
 
@@ -228,15 +245,17 @@ def _round(rows: DataFrame, classes, model: Model, n: int, states: int) -> Count
     shared = rows.sparkSession.sparkContext.broadcast(model)
     columns = [f"s{k}" for k in range(states)]
 
-    def expected(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def expected(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = Counts(n, states)
-        for seq, sizes in _chains((b["text"] for b in batches), classes.value):
+        for seq, sizes in _chains((b.column(0) for b in batches), classes.value):
             shared.value.expected(seq, sizes, counts)
         used = np.flatnonzero(counts.emissions.any(axis=1))
         for kind, places, table in ((0, used, counts.emissions[used]), (1, range(states), counts.moves), (2, [0], counts.start[None])):
-            yield pd.DataFrame(np.asarray(table), columns=columns).assign(kind=kind, place=list(places))
+            yield pa.RecordBatch.from_arrays(
+                [*[pa.array(table[:, k]) for k in range(states)], pa.array([kind] * len(table), pa.int32()), pa.array(list(places), pa.int32())],
+                names=[*columns, "kind", "place"])
 
-    found = rows.select("text").mapInPandas(expected, ", ".join(f"{c} double" for c in columns) + ", kind int, place int")
+    found = rows.select("text").mapInArrow(expected, ", ".join(f"{c} double" for c in columns) + ", kind int, place int")
     total = found.groupBy("kind", "place").agg(*[F.sum(c).alias(c) for c in columns]).toPandas()
     counts = Counts(n, states)
     for kind, table in ((0, counts.emissions), (1, counts.moves), (2, counts.start[None])):
@@ -297,32 +316,23 @@ def score(docs: DataFrame, language: Language, text_col: str = "text") -> DataFr
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         classes, model = shared.value
         for batch in batches:
-            texts = batch.column(0).to_pylist()
-            at = 0
-            while at < len(texts):  # groups of whole texts
-                seqs, sizes, known, base, rare, counts, offsets, tokens, first = [], [], [], [], [], [], [0], 0, at
-                while at < len(texts) and tokens < GROUP_TOKENS:
-                    words = words_of(texts[at])
-                    ids = classes.of(words)
-                    own = ids < classes.first_bucket
-                    base.append(float(classes.base_logs[ids[own]].sum()))
-                    known.append(int(own.sum()) - (not classes.known_end))
-                    others = Counter([words[i] for i in np.flatnonzero(~own).tolist()])
-                    rare.extend(others.keys())
-                    counts.extend(others.values())
-                    offsets.append(len(rare))
-                    seqs.append(ids)
-                    sizes.append(len(ids))
-                    tokens += len(ids)
-                    at += 1
-                logs = model.log10_likelihood(np.concatenate(seqs), np.array(sizes))
-                places = pa.array(offsets, pa.int32())
-                yield pa.RecordBatch.from_arrays([
-                    *[batch.column(i).slice(first, at - first) for i in range(1, batch.num_columns)],
-                    pa.array(sizes, pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(logs, pa.float64()),
-                    pa.ListArray.from_arrays(places, pa.array(rare, pa.binary()).cast(pa.string())),
-                    pa.ListArray.from_arrays(places, pa.array(counts, pa.int64())),
-                ], names=[*batch.schema.names[1:], "_tokens", "_own", "_base", "_logs", "_rare", "_counts"])
+            if not len(batch):
+                continue
+            seq, sizes, distinct, which = classes.of(batch.column(0))
+            starts, own = np.cumsum(sizes) - sizes, seq < classes.first_bucket
+            known = np.add.reduceat(own.astype(np.int64), starts) - (not classes.known_end)
+            base = np.add.reduceat(np.where(own, classes.base_logs[np.where(own, seq, 0)], 0.0), starts)
+            logs = model.log10_likelihood(seq, sizes)
+            # each rarer word once per text, with how often it is there
+            text_of = np.repeat(np.arange(len(sizes)), sizes)[~own]
+            pairs, times = np.unique(text_of * max(len(distinct), 1) + which, return_counts=True)
+            in_text, word = np.divmod(pairs, max(len(distinct), 1))
+            places = pa.array(np.searchsorted(in_text, np.arange(len(sizes) + 1)), pa.int32())
+            yield pa.RecordBatch.from_arrays([
+                *batch.columns[1:], pa.array(sizes), pa.array(known), pa.array(base), pa.array(logs),
+                pa.ListArray.from_arrays(places, distinct.take(pa.array(word)).cast(pa.string())),
+                pa.ListArray.from_arrays(places, pa.array(times, pa.int64())),
+            ], names=[*batch.schema.names[1:], "_tokens", "_own", "_base", "_logs", "_rare", "_counts"])
 
     carried = plain.df.withColumn("_row", F.monotonically_increasing_id()).select(F.col(text).alias("_text"), "*")
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in carried.schema.fields[1:])

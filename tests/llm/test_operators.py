@@ -5,11 +5,13 @@ from __future__ import annotations
 import itertools
 import math
 import re
+import string
 import zlib
 from collections import Counter
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -334,6 +336,18 @@ def test_hidden_markov_model(spark, sf_dir, texts, odd, empty):
     assert hmm.score(empty, blank).count() == 0
 
 
+def test_words_of_whole_columns():
+    texts = [None, "", " \t\n", "A b\x0b\x0cC\r\nd ", "Ä\xa0É \x1c x", "one", "one two ONE"]
+    words, sizes = hmm.words_of(pa.array(texts))
+    expected = [[w.translate(str.maketrans(string.ascii_uppercase, string.ascii_lowercase)) for w in WORD.findall(t or "")] for t in texts]
+    assert sizes.tolist() == [len(w) for w in expected] and words.to_pylist() == sum(expected, [])
+    classes = hmm.Classes({"one": 2, "x": 1}, 7, np.ones(hmm.BUCKETS), 20, 9)
+    ids, lengths, rare, which = classes.of(pa.array(texts))
+    assert lengths.tolist() == [len(w) + 1 for w in expected] and (ids == 0).sum() == len(texts) and (ids == 1).sum() == 3
+    assert [rare[i].as_py() for i in which] == [w for w in sum(expected, []) if w not in ("one", "x")]
+    assert hmm.words_of(pa.array([], pa.string()))[1].tolist() == []
+
+
 def test_forward_recursion_equals_all_paths():
     rnd = np.random.default_rng(4)
     start, moves, emissions = rnd.random(3), rnd.random((3, 3)), rnd.random((5, 3))
