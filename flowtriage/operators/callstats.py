@@ -52,8 +52,8 @@ def call_counters(log: DataFrame) -> DataFrame:
     return log.groupBy("model_name").agg(*_aggregates(F.lit(True)))
 
 
-def call_stats(log: DataFrame, models: list[Model] = MODELS, run_id: str | None = None) -> DataFrame:
-    """Counters per model: of the whole log, or of one run.
+def call_stats(log: DataFrame, models: list[Model] = MODELS, run_id: str | None = None, others: bool = False) -> DataFrame:
+    """Counters per listed model (with others, of all models): of the whole log, or of one run.
 
     For a run, skipped_resume counts the ids that earlier runs logged, failed ones included, and that it did not call
     again. Runs follow each other by run_seq; to a run that has logged nothing, all others are earlier.
@@ -70,7 +70,7 @@ def call_stats(log: DataFrame, models: list[Model] = MODELS, run_id: str | None
             .groupBy("model_name").agg(F.count_if(F.col("earlier") & ~F.col("called")).alias("skipped_resume"))
         )
         stats = log.groupBy("model_name").agg(*_aggregates(now)).join(skipped, "model_name", "left")
-    return with_models(stats, models, COUNTS)
+    return with_models(stats, models, COUNTS, others)
 
 
 def estimate_cost(stats: DataFrame, prices: dict[str, tuple[float, float]] = PRICES) -> DataFrame:

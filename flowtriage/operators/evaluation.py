@@ -75,17 +75,20 @@ def outcomes(predictions: DataFrame, truth: DataFrame) -> DataFrame:
     return predictions.join(truth, "record_id", "left").withColumn("outcome", outcome)
 
 
-def with_models(stats: DataFrame, models: list[Model], counts: list[str]) -> DataFrame:
-    """One row per model: those listed, also without any rows, then any other that stats hold."""
+def with_models(stats: DataFrame, models: list[Model], counts: list[str], others: bool = False) -> DataFrame:
+    """One row per listed model, also for models without any rows; with others, then those that only stats hold."""
     listed = model_table(stats.sparkSession, models).select("model_name", "model_ord")
-    return listed.join(stats, "model_name", "full").fillna(0, counts).fillna(len(models) + 1, ["model_ord"])
+    last = max((m.model_ord for m in models), default=0) + 1
+    full = listed.join(stats, "model_name", "full" if others else "left")
+    return full.fillna(0, counts).fillna(last, ["model_ord"])
 
 
-def confusion_matrix(judged: DataFrame, models: list[Model] = MODELS) -> DataFrame:
+def confusion_matrix(judged: DataFrame, models: list[Model] = MODELS, others: bool = False) -> DataFrame:
+    """Outcomes per listed model; with others, of all models judged."""
     counts = judged.groupBy("model_name").agg(
         *[F.count_if(F.col("outcome") == o).alias(o) for o in OUTCOMES]
     )
-    full = with_models(counts, models, OUTCOMES)
+    full = with_models(counts, models, OUTCOMES, others)
     valid = reduce(lambda a, b: a + b, [F.col(o) for o in OUTCOMES[:4]])
     return full.withColumn("total_valid", valid)
 

@@ -207,6 +207,6 @@ def test_hot_key_is_reduced_before_the_shuffle(spark):
 
 def test_models_that_are_not_listed_are_shown(spark):
     judged = spark.createDataFrame([("chatgpt", "TP"), ("other", "FN")], "model_name string, outcome string")
-    found = {r.model_name: r for r in evaluation.confusion_matrix(judged).collect()}
+    found = {r.model_name: r for r in evaluation.confusion_matrix(judged, others=True).collect()}
     assert (found["chatgpt"].TP, found["other"].FN) == (1, 1)
     assert found["other"].model_ord > max(r.model_ord for n, r in found.items() if n != "other")
