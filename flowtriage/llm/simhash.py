@@ -9,12 +9,14 @@ from math import comb
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from flowtriage.llm.common import Plain, bound_batches, store
 from flowtriage.llm.components import components
+from flowtriage.llm.hmm import words_of
 
 BITS, MOST_BITS, SHINGLE, SEED = 64, 2, 3, 42
 #: Buckets up to this size are compared pair by pair; fingerprints of larger ones are linked over their neighbours.
@@ -209,57 +211,114 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 # ---------------------------------------------------------------- copies by similarity
 
-#: Fingerprints over distinct words that find candidates, and those over distinct shingles that judge them.
-FINDERS, JUDGES = 16, 16
-ROWS_AT_ONCE = 255 * 16
+#: Places of the table of shingle counts; many shingles share a place, which costs time but loses no pair.
+PLACES = 1 << 20
+#: Rows that each row is compared with before all rows of open buckets meet.
+TRIED = 3
+ODD = (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    for shift, odd in zip((30, 27), ODD[1:]):
+        x = (x ^ (x >> np.uint64(shift))) * np.uint64(odd)
+    return x ^ (x >> np.uint64(31))
+
+
+def shingle_hashes(texts: pa.Array, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the distinct shingles of all texts, one text after another, and how many each has."""
+    words, sizes = words_of(texts)
+    coded = words.dictionary_encode()
+    known = np.array([xxhash.xxh64_intdigest(w, SEED) for w in coded.dictionary.cast(pa.binary()).to_pylist()], np.uint64)
+    hashes = known[coded.indices.to_numpy()]
+    places = np.maximum(sizes - shingle + 1, (sizes > 0).astype(np.int64))
+    text_of = np.repeat(np.arange(len(sizes)), places)
+    at = np.arange(len(text_of)) + np.repeat(np.cumsum(sizes) - sizes - np.cumsum(places) + places, places)
+    width = np.minimum(sizes, shingle)[text_of]  # a text with fewer words than a shingle is one shingle
+    x = width.astype(np.uint64)
+    for i in range(shingle if len(at) else 0):
+        x = np.where(i < width, x * np.uint64(ODD[0]) + hashes[np.minimum(at + i, len(hashes) - 1)], x)
+    x = _mixed(x)
+    order = np.lexsort((x, text_of))
+    x, first = x[order], np.ones(len(x), bool)
+    first[1:] = (x[1:] != x[:-1]) | (text_of[1:] != text_of[:-1])
+    return x[first], np.bincount(text_of[first], minlength=len(sizes))
+
+
+def _counts(rows: DataFrame, shingle: int) -> np.ndarray:
+    """In how many documents the shingles of each place stand, over all documents (PLACES numbers reach the driver)."""
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(PLACES, np.int64)
+        for batch in batches:
+            hashes, _ = shingle_hashes(batch.column(0), shingle)
+            n += np.bincount((hashes & np.uint64(PLACES - 1)).astype(np.int64), minlength=PLACES)
+        used = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(n[used])], names=["place", "n"])
+
+    found = rows.select("text").mapInArrow(counted, "place int, n long").groupBy("place").agg(F.sum("n").alias("n")).toArrow()
+    counts = np.zeros(PLACES, np.int64)
+    counts[found["place"].to_numpy()] = found["n"].to_numpy()
+    return counts
 
 
-def bank(features: set[bytes], n: int) -> list[int]:
-    """n independent fingerprints of a set of features; zeros for an empty set."""
-    hashes = np.fromiter((xxhash.xxh64_intdigest(f, SEED) for f in features), np.uint64, len(features))
-    salts = np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    counts = np.zeros(n * BITS, np.int64)
-    for at in range(0, len(hashes), ROWS_AT_ONCE):
-        x = hashes[at : at + ROWS_AT_ONCE, None] + salts  # a mixing step of its own for each fingerprint
-        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-        x ^= x >> np.uint64(31)
-        bits = np.unpackbits(x.view(np.uint8).reshape(len(x), -1), axis=1, bitorder="little")
-        for part in range(0, len(bits), 255):  # sums of 255 rows fit a byte
-            counts += np.add.reduce(bits[part : part + 255], axis=0, dtype=np.uint8)
-    return np.packbits(2 * counts > len(hashes), bitorder="little").view("<i8").tolist()
+def _prefixes(rows: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """Of each row its number n of distinct shingles, a digest (d, e) of their set, and the first of them, rarest first.
 
+    Two sets that are that similar have `similarity` of either in common at least, so one of the common shingles is
+    among the first n - ceil(similarity * n) + 1 of both, whatever the order, if it is one for all sets.
+    """
+    shared = rows.sparkSession.sparkContext.broadcast(_counts(rows, shingle))
 
-def banks(text: str | None, shingle: int) -> tuple[list[int], list[int], int]:
-    """Finders, judges and the number of distinct shingles of a text."""
-    words = (text or "").encode().lower().split()
-    parts = zip(*[words[i:] for i in range(shingle)]) if len(words) >= shingle else [words] if words else []
-    shingles = {b" ".join(s) for s in parts}
-    return bank(set(words), FINDERS), bank(shingles, JUDGES), len(shingles)
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hashes, sizes = shingle_hashes(batch.column(1), shingle)
+            text_of, starts = np.repeat(np.arange(len(sizes)), sizes), np.cumsum(sizes) - sizes
+            digests = []
+            for x in (hashes, _mixed(hashes + np.uint64(ODD[0]))):
+                sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(x, dtype=np.uint64)])
+                digests.append((sums[starts + sizes] - sums[starts]).view(np.int64))
+            count = shared.value[(hashes & np.uint64(PLACES - 1)).astype(np.int64)]
+            ordered = hashes[np.lexsort((hashes, count, text_of))]
+            wanted = np.where(sizes > 0, sizes - np.ceil(sizes * similarity - 1e-9).astype(np.int64) + 1, 0)
+            kept = np.arange(len(hashes)) - starts[text_of] < wanted[text_of]
+            places = pa.array(np.concatenate([[0], np.cumsum(wanted)]), pa.int32())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(sizes, pa.int64()), *map(pa.array, digests),
+                 pa.ListArray.from_arrays(places, pa.array(ordered[kept].view(np.int64)))],
+                names=["row", "n", "d", "e", "first"])
 
+    return rows.select("row", "text").mapInArrow(first, "row long, n long, d long, e long, first array<long>")
 
-def _banks(shingle: int):
-    @F.pandas_udf("finders array<long>, judges array<long>, shingles long")
-    def made(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([banks(t, shingle) for t in texts], columns=["finders", "judges", "shingles"])
 
-    return made
+def _least_common(n: Column, m: Column, similarity: float) -> Column:
+    """How many shingles sets of n and m have in common at least if they are that similar."""
+    return F.ceil((n + m) * F.lit(similarity / (1 + similarity)) - F.lit(1e-9))
 
 
-JUDGED = [*[f"j{i}" for i in range(JUDGES)], "shingles"]
+def _may_be_similar(similarity: float) -> Column:
+    """Whether a common shingle stands early enough in both rows; true for the first common one of any similar rows."""
+    least = _least_common(F.col("n"), F.col("_n"), similarity)
+    return (F.col("at") <= F.col("n") - least) & (F.col("_at") <= F.col("_n") - least)
 
 
-def _similar(left: str, right: str, similarity: float) -> Column:
-    """Whether two rows, whose judges and shingle numbers stand under the prefixes, are that similar.
+def _similar(pairs: DataFrame, rows: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """The pairs u, v whose texts are that similar, by the shingles they really have in common."""
 
-    The share of different bits tells the angle between the shingle sets, its cosine and their sizes the common part.
-    """
-    differing = F.lit(0)
-    for name in JUDGED[:-1]:
-        differing = differing + F.bit_count(F.col(left + name).bitwiseXOR(F.col(right + name)))
-    n, m = F.col(left + "shingles"), F.col(right + "shingles")
-    common = F.cos(differing * F.lit(np.pi / (JUDGES * BITS))) * F.sqrt(n.cast("double") * m)
-    return F.when(n + m == 0, F.lit(True)).otherwise(common >= F.lit(similarity) * (n + m - common))
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hashes, sizes = shingle_hashes(batch.column(1), shingle)
+            places = pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32())
+            sets = pa.ListArray.from_arrays(places, pa.array(hashes.view(np.int64)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), sets], names=["row", "hashes"])
+
+    pairs = store(pairs, "candidates")
+    wanted = pairs.select(F.explode(F.array("u", "v")).alias("row")).distinct()
+    sets = rows.select("row", "text").join(wanted, "row", "left_semi").mapInArrow(hashed, "row long, hashes array<long>")
+    sets = store(sets, "shingle_sets")
+    met = pairs.join(sets.select(F.col("row").alias("u"), F.col("hashes").alias("_a")), "u")
+    met = met.join(sets.select(F.col("row").alias("v"), F.col("hashes").alias("_b")), "v")
+    least = _least_common(F.size("_a"), F.size("_b"), similarity)
+    return store(met.filter(F.size(F.array_intersect("_a", "_b")) >= least).select("u", "v"), "similar_pairs")
 
 
 def _size_classes(size: str, similarity: float) -> Column:
@@ -272,51 +331,55 @@ def _size_classes(size: str, similarity: float) -> Column:
     return F.array_distinct(F.array(F.length(F.bin(size)), F.length(F.bin(least))))
 
 
-def similar_links(marks: DataFrame, similarity: float) -> DataFrame:
-    """Links u, v between rows of marks (row, finders, judges, shingles) that join all similar rows found.
+def similar_links(rows: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """Links u, v between rows (row, text) that join all similar rows and no others.
 
-    Candidates share a signature of the general pigeonhole search in one of the finders, and a class of sizes: sets that
-    are that similar differ no more in size. First each row meets the row before it in each of its buckets. Then, in buckets that these links leave in several components, all rows outside
-    the bucket's largest component meet all others, so rows that are linked already are not compared again, and no pair
-    in different components is left out. Pairs are judged where they meet: only similar ones leave the join.
+    Rows with the same set of shingles are linked to the first of them. Of different sets, any two that are similar
+    share a bucket: one of their first shingles and a class of sizes. First each row meets the rows that stand before
+    it in most of its buckets. Then, in buckets that these links leave in several components, all rows outside the
+    bucket's largest component meet all others, so rows that are linked already are not compared again, and no pair
+    in different components is left out. All pairs that meet are judged by the shingles they have in common.
     """
-    sizes = _size_classes("shingles", similarity)
-    prints = store(marks.select("row", sizes.alias("sizes"), F.posexplode("finders").alias("f", "fp")), "finders")
-    signatures = []
-    for g, (bits, t) in enumerate(search_plan(prints.select("fp"), MOST_BITS)):
-        value = F.col("fp").bitwiseAND(F.lit(_mask(bits)))
-        for s in range(t + 1):
-            for flips in combinations(bits, s):
-                signatures.append(F.struct(F.lit(g).alias("g"), value.bitwiseXOR(F.lit(_mask(flips))).alias("key")))
-    bucket = ["f", "g", "key", "size"]
-    keyed = prints.select("row", "f", "sizes", F.explode(F.array(*signatures)).alias("s"))
-    keyed = keyed.select("row", "f", "s.*", F.explode("sizes").alias("size"))
-    sizes = keyed.groupBy(*bucket).agg(F.count("*").alias("n")).filter("n > 1")
-    judges = marks.select("row", *[F.col("judges")[i].alias(f"j{i}") for i in range(JUDGES)], "shingles")
-    shared = store(keyed.join(sizes, bucket).join(judges, "row"), "shared_signatures")
+    prefixes = store(_prefixes(rows, shingle, similarity), "prefixes")
+    marks = prefixes.select("row", "n", "d", "e")
+    repeated = marks.groupBy("n", "d", "e").agg(F.min("row").alias("u"), F.count("*").alias("k")).filter("k > 1").drop("k")
+    same = marks.join(repeated, ["n", "d", "e"]).filter("row <> u").select("u", F.col("row").alias("v"))
+    same = store(same, "same_sets")
+    sets = prefixes.join(same.select(F.col("v").alias("row")), "row", "left_anti")
+    entries = sets.select("row", "n", F.posexplode("first").alias("at", "key"))
+    sizes = entries.groupBy("key").agg(F.count("*").alias("k")).filter("k > 1")
+    bucket, row = ["key", "size"], ["row", "n", "at"]
+    shared = entries.join(sizes, "key").withColumn("size", F.explode(_size_classes("n", similarity)))
+    shared = store(shared.select(*bucket, *row, "k"), "shared_shingles")
 
     # A large bucket is cut into pieces by the hash of the row, so that it is spread over tasks; each row meets the one
-    # before it in its piece, and the first row of each piece meets the bucket's first row.
-    piece = F.pmod(F.xxhash64("row"), F.ceil(F.col("n") / PIECE_ROWS))
-    inside = Window.partitionBy(*bucket, "piece").orderBy("row")
-    ordered = shared.withColumn("piece", piece).withColumn("_before", F.lag(F.struct("row", *JUDGED)).over(inside))
-    before = ordered.select(*bucket, "row", *JUDGED, *[F.col(f"_before.{c}").alias(f"_{c}") for c in ("row", *JUDGED)])
-    near = before.filter("_row is not null").filter(_similar("", "_", similarity)).select(F.col("_row").alias("u"), F.col("row").alias("v"))
-    least = shared.filter(F.col("n") > PIECE_ROWS).groupBy(*bucket).agg(F.min_by(F.struct("row", *JUDGED), "row").alias("_m"))
-    least = least.select(*bucket, *[F.col(f"_m.{c}").alias(f"_{c}") for c in ("row", *JUDGED)])
-    heads = before.filter("_row is null").select(*bucket, "row", *JUDGED).join(least, bucket)
-    heads = heads.filter((F.col("_row") < F.col("row")) & _similar("", "_", similarity)).select(F.col("_row").alias("u"), F.col("row").alias("v"))
-    chained = store(near.unionByName(heads).distinct(), "similar_pairs")
+    # before it in its piece, and the first row of each piece meets the bucket's first row. As the number of pieces is a
+    # power of two, buckets of like size are cut alike.
+    pieces = F.pow(F.lit(2.0), F.ceil(F.log2(F.greatest(F.col("k") / PIECE_ROWS, F.lit(1.0))))).cast("long")
+    inside = Window.partitionBy(*bucket, "piece").orderBy("n", "row")
+    ordered = shared.withColumn("piece", F.pmod(F.xxhash64("row"), pieces)).withColumn("_b", F.lag(F.struct(*row)).over(inside))
+    renamed = [F.col(f"_b.{c}").alias(f"_{c}") for c in row]
+    before = ordered.select(*bucket, *row, *renamed)
+    heads = before.filter("_row is null").select(*bucket, *row)
+    first = shared.filter(F.col("k") > PIECE_ROWS).groupBy(*bucket).agg(F.min_by(F.struct(*row), F.struct("n", "row")).alias("_b"))
+    heads = heads.join(first.select(*bucket, *renamed), bucket).filter("row <> _row")
+    met = before.filter("_row is not null").unionByName(heads).filter(_may_be_similar(similarity))
+    times = met.groupBy(F.col("row").alias("v"), F.col("_row").alias("u")).agg(F.count("*").alias("times"))
+    best = times.groupBy("v").agg(F.slice(F.sort_array(F.collect_list(F.struct("times", "u")), False), 1, TRIED).alias("_b"))
+    chained = _similar(best.select("v", F.explode("_b").alias("_b")).select("_b.u", "v"), rows, shingle, similarity)
 
     root = components(chained).select(F.col("node").alias("row"), F.col("root"))
-    rooted = store(shared.select(*bucket, "row").join(root, "row", "left").withColumn("root", F.coalesce("root", "row")), "rooted")
-    parts = rooted.groupBy(*bucket, "root").agg(F.count("*").alias("n"))
-    split = parts.groupBy(*bucket).agg(F.count("*").alias("roots"), F.max_by("root", F.struct("n", "root")).alias("largest")).filter("roots > 1")
-    open_rows = store(rooted.join(split.select(*bucket, "largest"), bucket).join(judges, "row"), "open_buckets")
-    outside = open_rows.filter("root <> largest").select(*bucket, "row", "root", *JUDGED)
-    others = open_rows.select(*bucket, *[F.col(c).alias(f"_{c}") for c in ("row", "root", *JUDGED)])
-    rest = outside.join(others, bucket).filter((F.col("root") != F.col("_root")) & _similar("", "_", similarity))
-    return chained.unionByName(rest.select(F.col("row").alias("u"), F.col("_row").alias("v")).distinct())
+    rooted = store(shared.select(*bucket, *row).join(root, "row", "left").withColumn("root", F.coalesce("root", "row")), "rooted")
+    parts = rooted.groupBy(*bucket, "root").agg(F.count("*").alias("k"))
+    split = parts.groupBy(*bucket).agg(F.count("*").alias("roots"), F.max_by("root", F.struct("k", "root")).alias("largest")).filter("roots > 1")
+    open_rows = store(rooted.join(split.select(*bucket, "largest"), bucket), "open_buckets")
+    outside = open_rows.filter("root <> largest").select(*bucket, *row, "root", "largest")
+    others = open_rows.select(*bucket, *[F.col(c).alias(f"_{c}") for c in (*row, "root")])
+    # of two rows outside the largest component, the one of the lesser root finds the other
+    apart = (F.col("root") < F.col("_root")) | ((F.col("root") > F.col("_root")) & (F.col("_root") == F.col("largest")))
+    rest = outside.join(others, bucket).filter(apart & _may_be_similar(similarity))
+    rest = rest.select(F.least("row", "_row").alias("u"), F.greatest("row", "_row").alias("v")).distinct()
+    return same.unionByName(chained).unionByName(_similar(rest, rows, shingle, similarity))
 
 
 def drop_near_copies(
@@ -324,23 +387,22 @@ def drop_near_copies(
 ) -> DataFrame:
     """One row of each group of similar texts, that of the least id, with the columns it came with.
 
-    Texts are linked if the share of distinct shingles they have in common (of all that either has) is estimated at
-    `similarity` or more. The estimate comes from 1,024 bits of SimHash and is off by about 0.01 near 0.8; candidates
-    come from 16 fingerprints over the distinct words, which miss about one pair in 500 at a similarity of 0.8 and
-    fewer above. Words are lower-cased (A-Z); a text with fewer words than a shingle is one shingle, and texts without
-    words are alike. Null texts have no words. Null ids come after all others; of equal ids the least text stays, one
-    of repeated rows. An empty table gives an empty result.
+    Texts are linked if the share of distinct shingles they have in common (of all that either has) is `similarity` or
+    more. Both the search and the judgement are exact at any size, but for shingles of equal 64-bit hash. Words are
+    lower-cased (A-Z); a text with fewer words than a shingle is one shingle, and texts without words are alike. Null
+    texts have no words. Null ids come after all others; of equal ids the least text stays, one of repeated rows. An
+    empty table gives an empty result.
     """
     plain = Plain(bound_batches(docs))
     key, text = F.col(plain[id_col]), F.col(plain[text_col])
-    rows = store(plain.df.withColumn("_row", F.monotonically_increasing_id()).withColumn("_b", _banks(shingle)(text)), "banks")
-    links = similar_links(rows.select(F.col("_row").alias("row"), "_b.*"), similarity)
+    rows = store(plain.df.withColumn("_row", F.monotonically_increasing_id()), "numbered")
+    links = similar_links(rows.select(F.col("_row").alias("row"), text.alias("text")), shingle, similarity)
     root = components(links).select(F.col("node").alias("_row"), F.col("root").alias("_root"))
-    grouped = rows.drop("_b").join(root, "_row", "left")
+    grouped = rows.join(root, "_row", "left")
     order = F.struct(key.isNull(), key, text, "_row")
     best = grouped.filter("_root is not null").groupBy("_root").agg(F.min_by("_row", order).alias("_best"))
     lost = root.join(best, "_root").filter("_row <> _best").select("_row")
-    return plain.restore(rows.drop("_b").join(lost, "_row", "left_anti"))
+    return plain.restore(rows.join(lost, "_row", "left_anti"))
 
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -21,6 +21,7 @@ from flowtriage.llm import bpe, decisionlist, exactdedup, hmm, langid, linecrf,
 from flowtriage.llm.common import most_frequent, tokenizer_path
 from flowtriage.llm.components import components
 
+LOWERED = str.maketrans(string.ascii_uppercase, string.ascii_lowercase)
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 # doc_id, text, lang, source, n_chars and columns that clash with names the operators use.
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score string, _size long, kept string, c0 string"
@@ -242,6 +243,53 @@ def test_near_copies_by_similarity(spark, odd, empty):
     assert simhash.near_groups(odd).count() == len(ROWS)
 
 
+def brute_force_kept(docs, shingle=5, similarity=0.8):
+    """The least id of each group of similar texts, all pairs compared."""
+    sets = {}
+    for i, text in docs:
+        words = [w.translate(LOWERED) for w in WORD.findall(text or "")]
+        sets[i] = {tuple(words[at : at + shingle]) for at in range(max(len(words) - shingle + 1, min(len(words), 1)))}
+    root = {i: i for i in sets}
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, j in itertools.combinations(sorted(sets), 2):
+        common, both = len(sets[i] & sets[j]), len(sets[i] | sets[j])
+        if common >= similarity * both:
+            root[max(top(i), top(j))] = min(top(i), top(j))
+    return sorted(i for i in root if root[i] == i)
+
+
+def test_near_copies_are_judged_by_common_shingles(spark):
+    rnd = np.random.default_rng(5)
+    words = lambda n, kind="w": [f"{kind}{rnd.integers(1 << 40)}" for _ in range(n)]
+    docs = []
+    for n in (3, 8, 9, 10, 14, 30):  # one word more or less, around the limit
+        base = words(n)
+        docs += [base, [*base, *words(1)], [*base, *words(2)], base[1:]]
+    for common, own in ((200, 24), (200, 26), (200, 30), (240, 30), (240, 27), (60, 8), (60, 7)):  # 0.77 to 0.83
+        for _ in range(12):
+            base = words(common + 4)
+            docs += [[*base, *words(own)], [*base, *words(own)]]
+    passage = words(60)
+    docs += [[*passage, *words(n)] for n in (1, 5, 5, 6, 7, 8, 40, 40) for _ in range(3)]
+    docs = [(i, " ".join(d)) for i, d in enumerate(docs)] + [(9_000, None), (9_001, " "), (9_002, ""), (9_003, "Of Two"), (9_004, "of two")]
+    left = simhash.drop_near_copies(spark.createDataFrame(docs, "doc_id long, text string"))
+    assert sorted(r["doc_id"] for r in left.collect()) == brute_force_kept(docs)
+
+
+def test_near_copies_of_the_tables_equal_brute_force(spark, texts, monkeypatch):
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    kept = brute_force_kept(texts.items())
+    for rows, tried in ((256, 3), (2, 1)):  # also with every bucket in pieces
+        monkeypatch.setattr(simhash, "PIECE_ROWS", rows)
+        monkeypatch.setattr(simhash, "TRIED", tried)
+        assert sorted(r["doc_id"] for r in simhash.drop_near_copies(docs).collect()) == kept
+
+
 # ---------------------------------------------------------------- learned models
 
 
