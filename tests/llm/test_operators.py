@@ -462,6 +462,17 @@ def test_url_filter(spark, sf_dir):
     assert queries.op9_url_filter(spark, sf_dir).count() == spark.read.parquet(f"{sf_dir}/pages.parquet").count()
 
 
+def test_every_language_is_learned_whatever_its_texts_hash_to(spark):
+    made = spark.range(60).select(F.concat(F.lit("żółw pływa powoli w jeziorze "), "id").alias("text"))
+    only = made.filter(F.pmod(F.xxhash64("text"), F.lit(10)) == 0).first()["text"]
+    docs = [(f"the quick brown fox number {i} runs over the hill", "en") for i in range(30)] + [(only, "pl")] * 15
+    docs = spark.createDataFrame(docs, "text string, lang string")
+    identifier = langid.learn(docs)
+    assert identifier.models.langs == ["en", "pl"]
+    found = {(r["lang"], r["lang_pred"]) for r in langid.identify(docs, identifier).collect()}
+    assert found == {("en", "en"), ("pl", "pl")}
+
+
 # ---------------------------------------------------------------- the pipeline
 
 
