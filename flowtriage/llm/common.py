@@ -84,7 +84,8 @@ def most_frequent(counts: DataFrame, n_col: str, limit: int) -> DataFrame:
     sees a few thousand numbers, and no task sorts all rows. Rows of the step that crosses the limit go.
     """
     n = F.col(n_col).cast("double")
-    step = F.when(n <= 1024, n).otherwise(F.pow(F.lit(1.01), F.floor(F.log(n) / F.log(F.lit(1.01)))))
+    power = F.pow(F.lit(1.01), F.floor(F.log(n) / F.log(F.lit(1.01))))
+    step = F.when(n <= 1024, n).otherwise(F.greatest(F.lit(1024.0), power))  # never falls as counts rise
     total, least = 0, float("inf")
     for row in sorted(counts.groupBy(step.alias("_step")).count().collect(), key=lambda r: -r["_step"]):
         total += row["count"]

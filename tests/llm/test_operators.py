@@ -473,6 +473,22 @@ def test_every_language_is_learned_whatever_its_texts_hash_to(spark):
     assert found == {("en", "en"), ("pl", "pl")}
 
 
+def test_all_words_around_the_cut_are_counted(spark, monkeypatch):
+    counts = spark.range(1017, 1031).select(F.col("id").alias("n"))
+    for limit in range(1, 15):
+        kept = sorted(r["n"] for r in most_frequent(counts, "n", limit).collect())
+        assert kept == list(range(1031 - len(kept), 1031)) and len(kept) <= limit
+    monkeypatch.setattr(hmm, "MOST_WORDS", 8)
+    docs = spark.createDataFrame([(n, f"w{n} " * n) for n in range(1017, 1031)], "doc_id long, text string")
+    language = hmm.learn(docs, rounds=0)
+    assert len(language.classes.words) + language.words.count() == 14
+    total = sum(range(1017, 1031)) + 14
+    for r in hmm.score(docs, language).collect():
+        n = r["doc_id"]
+        assert r["n_known"] == n + 1 and r["train_tokens"] == total
+        assert math.isclose(r["base_score"], n * math.log10((n + 1) / (total + 16)) + math.log10(15 / (total + 16)))
+
+
 # ---------------------------------------------------------------- the pipeline
 
 
