@@ -281,6 +281,21 @@ def test_near_copies_are_judged_by_common_shingles(spark):
     assert sorted(r["doc_id"] for r in left.collect()) == brute_force_kept(docs)
 
 
+def test_all_copies_with_new_passages_are_found(spark):
+    rnd = np.random.default_rng(6)
+    words = lambda n: [f"w{rnd.integers(1 << 40)}" for _ in range(n)]
+    docs = []
+    for front, back, own in ((0, 80, 20), (80, 0, 18), (50, 40, 9), (10, 0, 1), (200, 200, 40), (30, 70, 20)):
+        for _ in range(15):
+            start, end = words(front), words(back)
+            docs += [[*start, *end], [*start, *words(own), *end]]  # a passage put before, behind or between
+            docs += [[*start, *words(own // 2 + 1), *end], [*start, *words(own // 2 + 1), *end]]  # or replaced
+    docs = [(i, " ".join(d)) for i, d in enumerate(docs)]
+    for some in (docs, docs[:40]):  # the links do not depend on how many rows there are
+        left = simhash.drop_near_copies(spark.createDataFrame(some, "doc_id long, text string"))
+        assert sorted(r["doc_id"] for r in left.collect()) == brute_force_kept(some)
+
+
 def test_near_copies_of_the_tables_equal_brute_force(spark, texts, monkeypatch):
     docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
     kept = brute_force_kept(texts.items())
