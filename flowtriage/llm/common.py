@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from flowtriage.session import scratch_path
+from flowtriage.session import stored
 
 SPACES = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -33,14 +33,7 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-def store(df: DataFrame, name: str) -> DataFrame:
-    """Computes a table once and reads it back from the shared folder.
-
-    The rows then survive the loss of executors, and the planner knows the size of the table.
-    """
-    path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+store = stored
 
 
 class Plain:
