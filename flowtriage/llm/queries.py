@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import corpus_pipeline
-from flowtriage.llm import bpe, decisionlist, exactdedup, hmm, langid, linecrf, linededup, mixing, simhash, urlfilter
+from flowtriage.llm import bpe, decisionlist, divergence, exactdedup, hmm, langid, linecrf, linededup, mixing, simhash, urlfilter
 from flowtriage.llm.common import crc_mod, documents, tokenizer_path
 
 QUERIES, ORACLES = {"pipeline": corpus_pipeline.run}, {}
@@ -160,3 +160,40 @@ def op6_hidden_markov(spark: SparkSession, sf_dir: str) -> DataFrame:
     language = hmm.learn(docs.filter(~held_out))
     return hmm.score(docs, language).select(
         "doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+DIVERGENCE_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS terms
+  FROM documents),
+o AS (SELECT lang, source, r, unnest(terms) AS term FROM d),
+k AS (SELECT lang, term, count(*) AS n_lang FROM o GROUP BY lang, term HAVING count(DISTINCT r) >= 10),
+v AS (SELECT lang, count(*) AS terms, sum(n_lang) AS total FROM k GROUP BY lang),
+c AS (SELECT lang, source, term, count(*) AS n FROM o JOIN k USING (lang, term) GROUP BY lang, source, term),
+g AS (
+  SELECT s.lang, s.source, coalesce(any_value(v.terms), 0) AS terms, coalesce(any_value(v.total), 0) AS lang_total, coalesce(sum(c.n), 0) AS total
+  FROM (SELECT DISTINCT lang, source FROM d) s LEFT JOIN v USING (lang) LEFT JOIN c USING (lang, source) GROUP BY s.lang, s.source),
+p AS (
+  SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n,
+         1 + 1000000000::HUGEINT * (coalesce(c.n, 0) + 2) // (g.total + 2 * g.terms)::HUGEINT AS p,
+         1 + 1000000000::HUGEINT * (k.n_lang + 2) // (g.lang_total + 2 * g.terms)::HUGEINT AS q
+  FROM g JOIN k USING (lang) LEFT JOIN c USING (lang, source, term)),
+s AS (
+  SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS value
+  FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+f AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(s.value, 0) AS value
+  FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN s ON a.lang = s.lang AND a.source = s.source AND b.source = s.item
+  UNION ALL
+  SELECT lang, source, 'term', term, (p - q) * (p - q) // (p + q) FROM p WHERE n > 0 AND p > q)
+SELECT lang, source, part, item, value::BIGINT AS value,
+       (row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item))::INTEGER AS rank
+FROM f QUALIFY part = 'pair' OR rank <= 10
+"""
+
+
+@query(DIVERGENCE_SQL)
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How far each source of a language is from the others, and the terms that set it apart."""
+    return divergence.audit(documents(spark, sf_dir))
