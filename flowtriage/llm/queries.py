@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import corpus_pipeline
-from flowtriage.llm import bpe, decisionlist, divergence, exactdedup, hmm, langid, linecrf, linededup, mixing, simhash, urlfilter
+from flowtriage.llm import bpe, decisionlist, divergence, exactdedup, hmm, langid, linecrf, linededup, mixing, simhash, urlfilter, variants
 from flowtriage.llm.common import crc_mod, documents, tokenizer_path
 
 QUERIES, ORACLES = {"pipeline": corpus_pipeline.run}, {}
@@ -162,6 +162,12 @@ def op6_hidden_markov(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+@query()
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of all texts, some with a letter lost, with the more frequent words that are one edit away."""
+    return variants.variants(variants.word_counts(documents(spark, sf_dir), slip=31))
+
+
 DIVERGENCE_SQL = r"""
 WITH d AS (
   SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
