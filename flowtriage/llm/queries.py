@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import corpus_pipeline
-from flowtriage.llm import bpe, decisionlist, divergence, exactdedup, hmm, langid, linecrf, linededup, mixing, simhash, urlfilter, variants
+from flowtriage.llm import bpe, decisionlist, divergence, exactdedup, hmm, langid, linecrf, linededup, mixing, simhash, substrings, urlfilter, variants
 from flowtriage.llm.common import crc_mod, documents, tokenizer_path
 
 QUERIES, ORACLES = {"pipeline": corpus_pipeline.run}, {}
@@ -168,6 +168,34 @@ def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return variants.variants(variants.word_counts(documents(spark, sf_dir), slip=31))
 
 
+SUBSTRING_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, coalesce(doc_id, 9223372036854775807) AS k,
+         regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words
+  FROM documents),
+w AS (SELECT r, k, unnest(words) AS word, generate_subscripts(words, 1) AS pos, words FROM d),
+s AS (SELECT r, k, pos, array_to_string(list_slice(words, pos, pos + 12), ' ') AS win FROM w WHERE pos + 12 <= len(words)),
+f AS (SELECT win, min(k) AS least FROM s GROUP BY win),
+h AS (SELECT r, pos FROM s JOIN f USING (win) WHERE least < k),
+c AS (
+  SELECT w.r, w.word, w.pos,
+         coalesce(max(h.pos) OVER (PARTITION BY w.r ORDER BY w.pos ROWS BETWEEN 12 PRECEDING AND CURRENT ROW), 0) > 0 AS gone
+  FROM w LEFT JOIN h ON w.r = h.r AND w.pos = h.pos),
+g AS (
+  SELECT r, count(*) AS n_words, count(*) FILTER (gone) AS n_removed, string_agg(word, ' ' ORDER BY pos) FILTER (NOT gone) AS kept
+  FROM c GROUP BY r)
+SELECT doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN g USING (r)
+"""
+
+
+@query(SUBSTRING_SQL)
+def op12_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What stays of each document without passages that a document of smaller id has."""
+    cleaned = substrings.drop_repeats(documents(spark, sf_dir).select("doc_id", "text"))
+    return cleaned.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
 DIVERGENCE_SQL = r"""
 WITH d AS (
   SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
