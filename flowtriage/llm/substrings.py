@@ -111,7 +111,9 @@ def _shared_pieces(rows: DataFrame, window: int, gram: int) -> DataFrame:
     """The pieces whose anchor stands in documents of two ids or more."""
     pieces = store(rows.mapInArrow(_cut(window, gram), PIECE), "pieces")
     anchors = pieces.groupBy("anchor").agg(F.min("key").alias("_least"), F.max("key").alias("_most")).filter("_least < _most")
-    return store(pieces.join(anchors.select("anchor"), "anchor").select(*pieces.columns), "shared_pieces")
+    # as a table of its own, so that the pieces of a frequent anchor can be split over tasks where they meet it
+    anchors = store(anchors.select("anchor"), "shared_anchors")
+    return store(pieces.join(anchors, "anchor").select(*pieces.columns), "shared_pieces")
 
 
 def _spelled(window: int, shards: int):
