@@ -19,13 +19,19 @@ COUNTS = [
 ]
 
 
-def _exact_sum(value: Column, digits: int) -> Column:
-    """Sum as DECIMAL, so that the result does not depend on the order of the rows."""
-    return F.coalesce(F.sum(value.cast(f"decimal(18,{digits})")), F.lit(0)).cast("double")
+#: Sums of these have so many decimals.
+EXACT = {"total_latency": 3, "confidence_sum": 12}
 
 
-def _aggregates(now: Column) -> list[Column]:
-    """The counters of all rows for which now holds."""
+def _exact_sum(value: Column, name: str, kind: str | None) -> Column:
+    """Sum as DECIMAL, so that the result does not depend on the order of the rows; handed on as the kind asked for."""
+    total = F.coalesce(F.sum(value.cast(f"decimal(18,{EXACT[name]})")), F.lit(0))
+    return (total if kind is None else total.cast(kind)).alias(name)
+
+
+def counter_parts(now: Column | None = None, fractions: str | None = None) -> list[Column]:
+    """The counters of all rows for which now holds; sums of fractions stay decimals unless another type is asked for."""
+    now = F.lit(True) if now is None else now
     ok = now & (F.col("status") == "ok")
     failed = now & (F.col("status") == "error")
     confidence = F.when(ok, F.col("confidence"))
@@ -35,18 +41,31 @@ def _aggregates(now: Column) -> list[Column]:
         F.count_if(failed).alias("errors"),
         F.coalesce(F.sum(F.when(ok, F.col("input_tokens"))), F.lit(0)).alias("input_tokens"),
         F.coalesce(F.sum(F.when(ok, F.col("output_tokens"))), F.lit(0)).alias("output_tokens"),
-        _exact_sum(latency, 3).alias("total_latency"),
+        _exact_sum(latency, "total_latency", fractions),
         F.min(latency).alias("min_latency"),
         F.max(latency).alias("max_latency"),
         F.count_if(ok & (F.col("prediction") == "attack")).alias("pred_attack"),
         F.count_if(ok & (F.col("prediction") == "normal")).alias("pred_normal"),
         F.count_if(failed).alias("pred_error"),
-        _exact_sum(confidence, 12).alias("confidence_sum"),
+        _exact_sum(confidence, "confidence_sum", fractions),
         F.count(confidence).alias("confidence_count"),
         F.count_if(confidence < LOW_CONFIDENCE).alias("low_confidence"),
     ]
 
 
+def added_counters(parts: DataFrame) -> DataFrame:
+    """Counters per model from those of parts of its rows."""
+    sums = [c for c in COUNTS if c in parts.columns]
+    return parts.groupBy("model_name").agg(
+        *[F.sum(c).cast("double" if c in EXACT else "bigint").alias(c) for c in sums],
+        F.min("min_latency").alias("min_latency"), F.max("max_latency").alias("max_latency"))
+
+
+def _aggregates(now: Column) -> list[Column]:
+    """The counters of all rows for which now holds."""
+    return counter_parts(now, "double")
+
+
 def call_counters(log: DataFrame) -> DataFrame:
     """All counters but skipped_resume, for the models met; also on a stream."""
     return log.groupBy("model_name").agg(*_aggregates(F.lit(True)))

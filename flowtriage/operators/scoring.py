@@ -12,7 +12,7 @@ from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, Window, functions as F, types as T
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from flowtriage.functions.envelopes import parse_body, unwrap_envelope
 from flowtriage.functions.prompts import record_json, render_prompt
@@ -56,8 +56,10 @@ def pending(
     A repeated id is called once per model, for its record of the smallest index.
     """
     valid, _ = split_valid_ids(requests)
-    same_id = Window.partitionBy("record_id").orderBy("record_index", "record")
-    valid = valid.withColumn("_place", F.row_number().over(same_id)).filter("_place = 1").drop("_place")
+    # the least of equal ids is found before the shuffle, so a row per id and task is sent
+    rest = [c for c in valid.columns if c not in ("record_id", "record_index", "record")]
+    first = F.min(F.struct("record_index", "record", *rest)).alias("_first")
+    valid = valid.groupBy("record_id").agg(first).select("record_id", "_first.*").select(*valid.columns)
     each = F.array(*[
         F.struct(F.lit(m.model_name).alias("model_name"), F.lit(m.provider).alias("provider"),
                  F.lit(m.model_id).alias("model_id"))

@@ -12,11 +12,13 @@ from pyspark.sql import DataFrame, functions as F
 from flowtriage.operators import callstats, evaluation
 from flowtriage.operators.calls import RetryPolicy, Scorer
 from flowtriage.operators.models import MODELS, PRICES, Model
+from flowtriage.operators.running import running_totals
 from flowtriage.operators.sampling import limit_records
 from flowtriage.operators.scoring import (
     missing_id_errors, pending, predictions_of, record_requests, score, with_prompt,
 )
-from flowtriage.session import materialise
+from flowtriage.session import materialise, scratch, scratch_path
+from flowtriage.sources import storage
 from flowtriage.sources.predictions import (
     append_predictions, errors, latest_predictions, read_log, reset_outputs, store_rejected,
 )
@@ -70,6 +72,22 @@ def evaluation_report(truth: DataFrame, measured: DataFrame, stats: DataFrame, c
     )
 
 
+def in_waves(todo: DataFrame, wave: int) -> DataFrame:
+    """Adds _wave: rows by record_index, about `wave` indices that occur to each; those without an index come first.
+
+    Indices are counted by blocks of `wave`, so however far apart they lie, a wave is not left nearly empty.
+    """
+    block = F.coalesce(F.floor((F.col("record_index") - 1) / wave), F.lit(-1))
+    marked = todo.withColumn("_block", block)
+    counts = (
+        marked.select("_block", "record_index").distinct().groupBy("_block").agg(F.count("*").alias("_n"))
+        .withColumns({"_all": F.lit(0), "_thousand": F.floor(F.col("_block") / 1000), "_upto": F.col("_n")})
+    )
+    before = running_totals(counts, ["_all"], "_thousand", ["_block"], ["_upto"])
+    waves = before.select("_block", F.floor((F.col("_upto") - F.col("_n")) / wave).alias("_wave"))
+    return marked.join(waves, "_block").drop("_block")
+
+
 def run_evaluation(
     api_records: DataFrame,
     eval_records: DataFrame,
@@ -90,7 +108,7 @@ def run_evaluation(
 ) -> EvaluationResult:
     """Scores pending records, appends them to the log and evaluates the log.
 
-    Records are scored in waves of so many indices; each is in the log before the next begins, so a run that is stopped
+    Records are scored in waves of about so many indices; each is in the log before the next begins, so a run that is stopped
     loses one wave at most and resuming it calls the rest. Runs count in the order in which they first write to the log.
     """
     spark = api_records.sparkSession
@@ -100,13 +118,16 @@ def run_evaluation(
     requests = record_requests(records)
     writer = uuid.uuid4().hex
     rejected = store_rejected(missing_id_errors(requests), log_path, run_id, writer)
-    # Kept as it is now: the log grows while the waves are scored.
-    of = F.coalesce(F.floor((F.col("record_index") - 1) / wave), F.lit(-1))
-    todo = materialise(pending(requests, models, read_log(spark, log_path), retry_errors).withColumn("_wave", of))
-    for batch, row in enumerate(todo.select("_wave").distinct().orderBy("_wave").collect()):
-        asked = with_prompt(todo.filter(F.col("_wave") == row["_wave"]), policy)
-        scored = score(asked, scorer, concurrency, retries, pause, sleep)
-        append_predictions(predictions_of(scored), log_path, run_id, batch, writer)
+    # Kept as it is now, a folder per wave: the log grows while the waves are scored, each of which reads its own rows.
+    with scratch(spark):
+        folder = scratch_path(spark, "waves")
+        todo = in_waves(pending(requests, models, read_log(spark, log_path), retry_errors), wave)
+        todo.repartition("_wave").write.partitionBy("_wave").parquet(folder)
+        parts = [int(f.rpartition("=")[2]) for f in storage.glob(spark, f"{folder}/_wave=*")]
+        for batch, part in enumerate(sorted(parts)):
+            asked = with_prompt(spark.read.schema(todo.drop("_wave").schema).parquet(f"{folder}/_wave={part}"), policy)
+            scored = score(asked, scorer, concurrency, retries, pause, sleep)
+            append_predictions(predictions_of(scored), log_path, run_id, batch, writer)
 
     log = read_log(spark, log_path)
     truth = evaluation.truth_of(eval_records)

@@ -1,7 +1,7 @@
 """The prediction log: appended in batches, read back with the last row per record and model.
 
 Layout: model_name= / run_seq= / run_id= / writer_id= / batch_id= folders of Parquet. Runs are numbered in the order in
-which they first write. A batch replaces only what its own writer left under its number, so writing it again after a
+which they first write; a run's number is claimed by creating a file that must not exist. A batch replaces only what its own writer left under its number, so writing it again after a
 failure adds nothing twice, and no writer touches another's rows.
 """
 
@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from flowtriage.operators.evaluation import last_rows, split_valid_ids
 from flowtriage.schema import PREDICTION_SCHEMA
-from flowtriage.sources import storage
+from flowtriage.sources import done, storage
 from flowtriage.sources.jsonl import read_jsonl_tolerant
 
 FOLDERS = ["model_name", "run_seq", "run_id", "writer_id", "batch_id"]
@@ -29,12 +29,27 @@ LOG_KEYS = ["model_name", "record_id"]
 
 
 def run_sequence(spark: SparkSession, path: str, run_id: str) -> int:
-    """The number of a run: the one it has in the log, or the next; lists a folder per model and run."""
-    numbers = {}
-    for folder in storage.glob(spark, f"{path}/model_name=*/run_seq=*/run_id=*"):
-        seq, run = folder.split("/")[-2:]
-        numbers[run.removeprefix("run_id=")] = int(seq.removeprefix("run_seq="))
-    return numbers.get(_plain(run_id), max(numbers.values(), default=-1) + 1)
+    """The number of a run: the one it has, or the next, which it then has for good.
+
+    A number belongs to the run whose file was created first, so runs that begin at the same time get different ones.
+    """
+    run, claims = _plain(run_id), f"{path}/_runs"
+
+    def known() -> int | None:
+        found = storage.glob(spark, f"{claims}/run_id={run}/run_seq=*")
+        found = found or storage.glob(spark, f"{path}/model_name=*/run_seq=*/run_id={run}")  # of logs without claims
+        numbers = [int(m) for f in found for m in re.findall(r"run_seq=(\d+)", f)]
+        return min(numbers, default=None)
+
+    number = known()
+    if number is None:
+        taken = storage.glob(spark, f"{claims}/taken/*") + storage.glob(spark, f"{path}/model_name=*/run_seq=*")
+        number = max((int(f.rpartition("/")[2].removeprefix("run_seq=")) for f in taken), default=-1) + 1
+        while not storage.create_new(spark, f"{claims}/taken/{number}", run):
+            number += 1
+        storage.create_new(spark, f"{claims}/run_id={run}/run_seq={number}", "")
+        number = known()  # of two writers of one run that begin together both take the lower number
+    return number
 
 
 def _plain(name: str) -> str:
@@ -56,6 +71,7 @@ def append_predictions(rows: DataFrame, path: str, run_id: str, batch_id: int =
             "batch_id": F.lit(batch_id).cast("bigint")})
         .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*FOLDERS).parquet(path)
     )
+    done.add(rows.sparkSession, path, run_id, writer_id, batch_id)
 
 
 def read_log(spark: SparkSession, path: str) -> DataFrame:
@@ -100,3 +116,6 @@ def reset_outputs(spark: SparkSession, path: str, models: list[str]) -> None:
         folder = f"{path}/model_name={model}"
         if storage.exists(spark, folder):
             storage.delete(spark, folder)
+    if storage.exists(spark, f"{path}/{done.FOLDER}"):
+        storage.delete(spark, f"{path}/{done.FOLDER}")
+        done.catch_up(spark, path)

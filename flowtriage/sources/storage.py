@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import os
+
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import SparkSession
 
 
@@ -29,3 +32,26 @@ def glob(spark: SparkSession, pattern: str) -> list[str]:
 def move(spark: SparkSession, source: str, target: str) -> None:
     if not _file_system(spark, source).rename(_path(spark, source), _path(spark, target)):
         raise OSError(f"could not move {source} to {target}")
+
+
+def create_new(spark: SparkSession, path: str, text: str) -> bool:
+    """Makes a file that must not exist yet: of all who try, one succeeds."""
+    system = _file_system(spark, path)
+    if system.getScheme() == "file":  # whose Hadoop client looks first and creates then
+        local = system.makeQualified(_path(spark, path)).toUri().getPath()
+        os.makedirs(os.path.dirname(local), exist_ok=True)
+        try:
+            with open(local, "x", encoding="utf-8") as file:
+                file.write(text)
+        except FileExistsError:
+            return False
+        return True
+    try:
+        stream = system.create(_path(spark, path), False)
+    except Py4JJavaError as refused:
+        if "AlreadyExists" not in refused.java_exception.getClass().getName():
+            raise
+        return False
+    stream.write(bytearray(text.encode()))
+    stream.close()
+    return True

@@ -6,15 +6,16 @@ import json
 import time
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from flowtriage.operators.calls import RetryPolicy, Scorer
-from flowtriage.operators.callstats import call_counters
+from flowtriage.operators.callstats import added_counters, counter_parts
 from flowtriage.operators.models import MODELS, Model
 from flowtriage.operators.rules import RULES, Rule, suspects
 from flowtriage.operators.scoring import pending, predictions_of, record_requests, score, with_prompt
-from flowtriage.sources.predictions import FOLDERS, LOG_SCHEMA, append_predictions, read_log
+from flowtriage.sources import done
+from flowtriage.sources.predictions import LOG_SCHEMA, append_predictions
 
 
 def stream_suspects(
@@ -26,24 +27,27 @@ def stream_suspects(
 
 
 def read_log_stream(spark: SparkSession, path: str) -> DataFrame:
-    """The prediction log as a stream of its files."""
-    return spark.readStream.schema(LOG_SCHEMA).parquet(path)
+    """The prediction log as a stream of its files, each row with the write (`_write`) and the time (`_written`) of its file."""
+    write = F.regexp_extract("_metadata.file_name", r"^part-\d+-([0-9a-f-]{36})", 1)
+    return spark.readStream.schema(LOG_SCHEMA).parquet(path).select(
+        "*", write.alias("_write"), F.col("_metadata.file_modification_time").alias("_written"))
 
 
 def stream_call_stats(log: DataFrame, target: str, checkpoint: str, until_caught_up: bool = True) -> StreamingQuery:
-    """Running counters per model.
+    """Running counters per model, of the rows that the log holds; log as read_log_stream gives it.
 
-    A batch that its writer repeats comes in new files; each of its calls counts once, as it was first logged. So the
-    state holds a key per call beside a row per model. Every trigger replaces the table at target, a row per model.
+    A batch that its writer repeats comes in new files, which replace the old: of each batch the counters of its last
+    write stand. State is a row per batch and write, however many calls they have. Every trigger replaces the table at
+    target, a row per model.
     """
+    place = ["run_seq", "run_id", "writer_id", "batch_id"]
 
-    def replace(counters: DataFrame, _: int) -> None:
-        counters.write.mode("overwrite").parquet(target)
+    def replace(parts: DataFrame, _: int) -> None:
+        last = F.max(F.struct("_written", "_write")).over(Window.partitionBy(*place))["_write"]
+        added_counters(parts.withColumn("_last", last).filter("_write = _last")).write.mode("overwrite").parquet(target)
 
-    writer = (
-        call_counters(log.dropDuplicates([*FOLDERS, "record_id"])).writeStream.outputMode("complete")
-        .option("checkpointLocation", checkpoint).foreachBatch(replace)
-    )
+    parts = log.groupBy("model_name", *place, "_write").agg(*counter_parts(), F.max("_written").alias("_written"))
+    writer = parts.writeStream.outputMode("complete").option("checkpointLocation", checkpoint).foreachBatch(replace)
     return _trigger(writer, until_caught_up).start()
 
 
@@ -63,7 +67,8 @@ def stream_scores(
     index: str = "sample_rank",
     until_caught_up: bool = True,
 ) -> StreamingQuery:
-    """Scores what arrives and is not in the log yet.
+    """Scores what arrives and is not in the log yet. A batch looks its own ids up in the table of calls made, and does
+    not read the log, so its cost does not grow with what was scored before.
 
     A batch that is repeated after a crash ignores its own earlier rows and
     replaces them, so the log has every (record, model) once. The writer is
@@ -73,13 +78,14 @@ def stream_scores(
 
     def score_batch(batch: DataFrame, batch_id: int) -> None:
         writer = json.loads(batch.sparkSession.read.text(f"{checkpoint}/metadata").first()["value"])["id"]
-        own = (F.col("run_id") == run_id) & (F.col("writer_id") == writer) & (F.col("batch_id") == batch_id)
-        log = read_log(batch.sparkSession, log_path).filter(~own)
-        todo = with_prompt(pending(record_requests(batch, index), models, log, retry_errors), policy)
+        requests = record_requests(batch, index)
+        called = done.lookup(requests, log_path, (run_id, writer, batch_id))
+        todo = with_prompt(pending(requests, models, called, retry_errors), policy)
         append_predictions(
             predictions_of(score(todo, scorer, concurrency, retries, pause, sleep)), log_path, run_id, batch_id, writer
         )
 
+    done.catch_up(records.sparkSession, log_path)
     writer = records.writeStream.option("checkpointLocation", checkpoint).foreachBatch(score_batch)
     return _trigger(writer, until_caught_up).start()
 

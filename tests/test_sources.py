@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 import json
 
 import pytest
@@ -155,3 +157,14 @@ def test_export_replaces_files_and_leaves_no_parts(spark, tmp_path):
 def test_no_suspects_stop_the_job(spark, tmp_path):
     with pytest.raises(ValueError, match="no suspects"):
         sampling_job.run_sampling(spark.createDataFrame([], FLOW_SCHEMA), str(tmp_path))
+
+
+def test_runs_that_begin_together_get_numbers_of_their_own(spark, tmp_path):
+    path = str(tmp_path / "log")
+    with ThreadPoolExecutor(8) as pool:
+        runs = [f"r{i // 2}" for i in range(16)]  # two writers each
+        numbers = list(pool.map(lambda run: predictions.run_sequence(spark, path, run), runs))
+    by_run = {}
+    for run, n in zip(runs, numbers):
+        by_run.setdefault(run, set()).add(predictions.run_sequence(spark, path, run))
+    assert all(len(n) == 1 for n in by_run.values()) and len({min(n) for n in by_run.values()}) == 8

@@ -1,13 +1,17 @@
 from __future__ import annotations
 
 import json
+from urllib.parse import urlparse
+
+import pyarrow.parquet as pq
 
 from flowtriage import fixtures
 from flowtriage.operators import callstats, rules
 from flowtriage.operators.calls import RuleScorer
 from flowtriage.operators.models import MODELS
-from flowtriage.schema import FLOW_SCHEMA, SAMPLE_SCHEMA
-from flowtriage.sources.predictions import append_predictions, read_log
+from flowtriage.schema import FLOW_SCHEMA, PREDICTION_SCHEMA, SAMPLE_SCHEMA
+from flowtriage.sources import done, storage
+from flowtriage.sources.predictions import append_predictions, read_log, reset_outputs
 from flowtriage.streaming import live
 
 
@@ -77,3 +81,62 @@ def test_a_replayed_stream_adds_nothing(spark, tmp_path):
     stored = read_log(spark, log)
     assert stored.count() == 20
     assert {json.loads(r.raw_response)["label"] for r in stored.collect()} == {"attack"}
+
+
+def prediction(i, model="claude", status="ok", index=None):
+    row = {"timestamp": "2024-01-01T00:00:00", "record_index": index or i, "record_id": f"id{i}", "model_name": model, "model_id": "m",
+           "prediction": "attack", "confidence": 0.5, "input_tokens": 3, "output_tokens": 1, "latency_s": 0.25, "status": status}
+    return tuple(row.get(c) for c in PREDICTION_SCHEMA.names)
+
+
+def test_live_state_is_a_row_per_batch_and_follows_repeats(spark, tmp_path):
+    path, target, state = (str(tmp_path / n) for n in ("log", "stats", "state"))
+    sizes = []
+    for rows, batch in ((200, 0), (50, 1), (400, 1), (10, 2)):  # the second write of batch 1 replaces the first
+        made = spark.createDataFrame([prediction(1000 * batch + i) for i in range(rows)], PREDICTION_SCHEMA)
+        append_predictions(made, path, "run", batch)
+        query = live.stream_call_stats(live.read_log_stream(spark, path), target, state)
+        query.awaitTermination()
+        sizes.append(query.lastProgress["stateOperators"][0]["numRowsTotal"])
+        expected = callstats.call_counters(read_log(spark, path))
+        assert rows_of(spark.read.parquet(target).select(*expected.columns)) == rows_of(expected)
+    assert sizes == [1, 2, 3, 4]  # a row per write of a batch, not per call
+
+
+def test_lookups_do_not_grow_with_the_log(spark, tmp_path, monkeypatch):
+    """50 batches of 40 calls: what a lookup opens stays what a few buckets hold, and every call is found."""
+    monkeypatch.setattr(done, "BUCKET_ROWS", 20)
+    monkeypatch.setattr(done, "FANOUT", 4)
+    path, opened = str(tmp_path / "log"), []
+    spark.conf.set("spark.sql.shuffle.partitions", "2")
+    for batch in range(50):
+        rows = [prediction(40 * batch + i) for i in range(40)]
+        append_predictions(spark.createDataFrame(rows, PREDICTION_SCHEMA).coalesce(1), path, "run", batch)
+        asked = spark.createDataFrame([(f"id{40 * batch}",), ("id7",), ("new",)], "record_id string")
+        found = done.lookup(asked, path)
+        opened.append(sum(pq.ParquetFile(urlparse(f).path).metadata.num_rows for f in found.inputFiles()))
+        assert {r.record_id for r in found.join(asked, "record_id").collect()} == {f"id{40 * batch}", "id7"}
+    spark.conf.set("spark.sql.shuffle.partitions", "8")
+    assert max(opened[25:]) <= 1.5 * max(opened[8:25]) and max(opened) < 0.35 * 50 * 40
+    spans = done.spans(spark, path)
+    assert len(spans) <= 3 * 3 and sum(s.last - s.first + 1 for s in spans) == 50
+    # also without the table: it is made again from the log
+    storage.delete(spark, f"{path}/{done.FOLDER}")
+    done.catch_up(spark, path)
+    every = done.lookup(spark.createDataFrame([(f"id{i}",) for i in range(2000)], "record_id string"), path)
+    assert every.count() == 2000 and len(done.spans(spark, path)) == 1
+
+
+def test_a_batch_whose_writer_stopped_is_entered_at_the_next_start(spark, tmp_path):
+    path = str(tmp_path / "log")
+    for batch, status in ((0, "ok"), (1, "error"), (5, "ok")):
+        append_predictions(spark.createDataFrame([prediction(batch, status=status)], PREDICTION_SCHEMA), path, "run", batch, "w")
+    for span in done.spans(spark, path):
+        if span.first != 0:
+            storage.delete(spark, span.folder(path))
+    done.catch_up(spark, path)
+    ids = spark.createDataFrame([(f"id{i}",) for i in range(9)], "record_id string")
+    assert sorted((r.record_id, r.status) for r in done.lookup(ids, path).collect()) == [("id0", "ok"), ("id1", "error"), ("id5", "ok")]
+    assert [r.record_id for r in done.lookup(ids, path, ("run", "w", 5)).collect() if r.record_id == "id5"] == []
+    reset_outputs(spark, path, ["claude"])
+    assert done.lookup(ids, path).count() == 0
