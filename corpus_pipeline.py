@@ -9,6 +9,10 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from flowtriage.llm import bpe, exactdedup, linecrf, mixing, simhash
 from flowtriage.llm.common import documents, store, tokenizer_path
+from flowtriage.session import released
+
+#: Bits in which the fingerprints of near copies may differ.
+NEAR_BITS = 4
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -23,8 +27,8 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents that SimHash links, the one with the smallest id: shingles of five words, similarity 0.8."""
-    return simhash.drop_near_copies(docs, shingle=5, similarity=0.8)
+    """Of documents that SimHash links (at most NEAR_BITS of 64 bits apart), directly or over others, the one with the smallest id."""
+    return simhash.drop_near_copies(docs, most=NEAR_BITS)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,9 +54,18 @@ STAGES = [
 ORACLE_SQL = None
 
 
+@released
+def stored_stage(docs: DataFrame, spark: SparkSession, sf_dir: str, name: str, stage) -> DataFrame:
+    """The rows of a stage as a table of its own; all that the stage has stored besides is gone."""
+    return store(stage(spark, docs, sf_dir), name)
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The rows of the last stage; every stage is written as Parquet and read again by the next."""
+    """The rows of the last stage; every stage is written as Parquet and read again by the next.
+
+    Within a scratch block the tables of the stages go with it.
+    """
     docs = documents(spark, sf_dir)
     for name, stage in STAGES[:-1]:
-        docs = store(stage(spark, docs, sf_dir), name)
+        docs = stored_stage(docs, spark, sf_dir, name, stage)
     return STAGES[-1][1](spark, docs, sf_dir)

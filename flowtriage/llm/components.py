@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from flowtriage.llm.common import store
+from flowtriage.session import released
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -29,6 +30,7 @@ def _toward_least(edges: DataFrame, up: bool) -> DataFrame:
     return linked.filter("u <> v").distinct()
 
 
+@released
 def components(links: DataFrame) -> DataFrame:
     """`node` and `root`, the least node it can reach, for each node of links (columns u and v, any comparable type).
 

@@ -9,21 +9,18 @@ from math import comb
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 import xxhash
 from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from flowtriage.llm.common import Plain, bound_batches, store
 from flowtriage.llm.components import components
-from flowtriage.llm.hmm import words_of
+from flowtriage.session import released
 
 BITS, MOST_BITS, SHINGLE, SEED = 64, 2, 3, 42
-#: Buckets up to this size are compared pair by pair; fingerprints of larger ones are linked over their neighbours.
+#: Buckets up to this size, for two bits, are compared pair by pair; fingerprints of larger ones are linked over their neighbours.
 PAIRED_BUCKET = 64
 HASHES_AT_ONCE = 1 << 16
-#: Rows of a bucket that go to one task where rows meet their neighbours; a larger bucket is cut into pieces.
-PIECE_ROWS = 256
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
@@ -96,12 +93,17 @@ def _mask(bits) -> int:
     return value - (1 << 64) if value >> 63 else value
 
 
-def _same_value_pairs(prints: DataFrame, groups: list[list[int]]) -> dict[int, float]:
+def paired_bucket(most: int) -> int:
+    """Up to which size buckets are compared pair by pair: it grows as a fingerprint has more neighbours to be linked over."""
+    return PAIRED_BUCKET * (most // 2) ** 3
+
+
+def _same_value_pairs(prints: DataFrame, groups: list[list[int]], most: int) -> dict[int, float]:
     """For each group of bits the pairs of fingerprints equal in it that bounded buckets give, over all fingerprints."""
     keyed = prints.select(F.explode(F.array(*[
         F.struct(F.lit(g).alias("g"), F.col("fp").bitwiseAND(F.lit(_mask(bits))).alias("key")) for g, bits in enumerate(groups)])).alias("s"))
     sizes = keyed.groupBy("s.g", "s.key").agg(F.count("*").cast("double").alias("n"))
-    pairs = sizes.groupBy("g").agg(F.sum(F.col("n") * F.least(F.col("n") - 1, F.lit(float(PAIRED_BUCKET))) / 2).alias("pairs"))
+    pairs = sizes.groupBy("g").agg(F.sum(F.col("n") * F.least(F.col("n") - 1, F.lit(float(paired_bucket(most)))) / 2).alias("pairs"))
     return {r["g"]: r["pairs"] for r in pairs.collect()}
 
 
@@ -144,7 +146,7 @@ def search_plan(prints: DataFrame, most: int = MOST_BITS) -> list[tuple[list[int
     p = np.diag(both) / max(rows, 1)
     chance = 2 * p * (1 - p)
     choices = [correlated_groups(rows, both, m) for m in range(1, most + 2)]
-    pairs = _same_value_pairs(prints, [g for groups in choices for g in groups])
+    pairs = _same_value_pairs(prints, [g for groups in choices for g in groups], most)
     plans, at = [], 0
     for groups in choices:
         costs = [
@@ -159,7 +161,9 @@ def search_plan(prints: DataFrame, most: int = MOST_BITS) -> list[tuple[list[int
 
 
 def _links(prints: DataFrame, most: int) -> DataFrame:
-    """Links u, v of distinct fingerprints: enough to join all that differ in `most` (two) bits or fewer."""
+    """Links u, v of distinct fingerprints: enough to join all that differ in `most` bits or fewer, an even number."""
+    if most < 2 or most % 2:
+        raise ValueError(f"an even number of bits, not {most}")
     signatures = []
     for g, (bits, t) in enumerate(search_plan(prints, most)):
         value = F.col("fp").bitwiseAND(F.lit(_mask(bits)))
@@ -171,36 +175,46 @@ def _links(prints: DataFrame, most: int) -> DataFrame:
     sizes = keyed.groupBy("g", "key").agg(F.count("*").alias("n"), F.min("probe").alias("_probes")).filter("n > 1 and not _probes")
     shared = store(keyed.join(sizes.drop("_probes"), ["g", "key"]), "shared_signatures")
 
-    small = shared.filter(F.col("n") <= PAIRED_BUCKET)
+    small = shared.filter(F.col("n") <= paired_bucket(most))
     left = small.select("g", "key", F.col("fp").alias("u"), F.col("probe").alias("_probe"))
     right = small.select("g", "key", F.col("fp").alias("v"), "probe")
     near = F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= most
     pairs = left.join(right, ["g", "key"]).filter((F.col("u") < F.col("v")) & ~(F.col("_probe") & F.col("probe")) & near).select("u", "v")
 
-    # Two fingerprints differ in two bits or fewer just if some value is within one bit of both. At most 65 distinct
-    # fingerprints are within one bit of a value, so its group is small, however large the bucket they came from.
-    crowded = shared.filter(F.col("n") > PAIRED_BUCKET).select("fp").distinct()
-    around = F.array(F.col("fp"), *[F.col("fp").bitwiseXOR(F.lit(_mask([b]))) for b in range(BITS)])
+    # Two fingerprints differ in `most` bits or fewer just if some value is within half as many bits of both. No more
+    # distinct fingerprints are that near to a value than values to a fingerprint (65 for one bit, 2,081 for two), so
+    # the group of a value is small, however large the bucket that its fingerprints came from.
+    crowded = shared.filter(F.col("n") > paired_bucket(most)).select("fp").distinct()
+    flips = [_mask(f) for n in range(most // 2 + 1) for f in combinations(range(BITS), n)]
+    around = F.transform(F.array(*[F.lit(f) for f in flips]), lambda f: F.col("fp").bitwiseXOR(f))
     meeting = crowded.select("fp", F.explode(around).alias("value")).groupBy("value").agg(F.collect_set("fp").alias("near"))
     stars = meeting.filter(F.size("near") > 1).select(F.array_min("near").alias("u"), F.explode("near").alias("v")).filter("u <> v")
     return pairs.unionByName(stars)
 
 
-def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
+def _rooted(prints: DataFrame, most: int) -> DataFrame:
+    """Each distinct fingerprint with the least one that it reaches."""
+    linked = components(_links(prints.select("fp"), most)).withColumnRenamed("node", "fp")
+    return prints.join(linked, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+
+
+@released
+def near_groups(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, most: int = MOST_BITS
+) -> DataFrame:
     """A row per document: its id, `fingerprint` (16 hex digits) and `component_id`, the least id that links reach.
 
-    Words are lower-cased (A-Z) and taken in shingles; fingerprints that differ in two bits or fewer are linked. A null
-    or blank text has fingerprint zero, which links like any other. Null ids come after all others: a component of
-    null ids only has a null `component_id`. Repeated rows are rows of the same component. An empty table gives an
-    empty result. Links are between distinct fingerprints, so copies add no pairs.
+    Words are lower-cased (A-Z) and taken in shingles; fingerprints that differ in `most` bits or fewer (an even number)
+    are linked. A null or blank text has fingerprint zero, which links like any other. Null ids come after all others: a
+    component of null ids only has a null `component_id`. Repeated rows are rows of the same component. An empty table
+    gives an empty result. Links are between distinct fingerprints, so copies add no pairs.
     """
     plain = Plain(bound_batches(docs))
     key = plain[id_col]
     rows = plain.df.withColumn("_fp", _fingerprints(shingle)(F.col(plain[text_col])))
     marked = store(rows.select(F.col(key).alias("id"), F.col("_fp").alias("fp")), "fingerprints")
     prints = store(marked.groupBy("fp").agg(F.min("id").alias("least")), "distinct_fingerprints")
-    linked = components(_links(prints.select("fp"), MOST_BITS)).withColumnRenamed("node", "fp")
-    rooted = store(prints.join(linked, "fp", "left").withColumn("root", F.coalesce("root", "fp")), "rooted_fingerprints")
+    rooted = store(_rooted(prints, most), "rooted_fingerprints")
     ids = rooted.groupBy("root").agg(F.min("least").alias("component"))
     found = rooted.join(ids, "root").select(F.col("fp").alias("_print"), "component")
     joined = marked.join(found, marked["fp"] == found["_print"])
@@ -209,200 +223,33 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         F.col("component").alias("component_id"))
 
 
-# ---------------------------------------------------------------- copies by similarity
-
-#: Places of the table of shingle counts; many shingles share a place, which costs time but loses no pair.
-PLACES = 1 << 20
-#: Rows that each row is compared with before all rows of open buckets meet.
-TRIED = 3
-ODD = (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
-
-
-def _mixed(x: np.ndarray) -> np.ndarray:
-    for shift, odd in zip((30, 27), ODD[1:]):
-        x = (x ^ (x >> np.uint64(shift))) * np.uint64(odd)
-    return x ^ (x >> np.uint64(31))
-
-
-def shingle_hashes(texts: pa.Array, shingle: int) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of the distinct shingles of all texts, one text after another, and how many each has."""
-    words, sizes = words_of(texts)
-    coded = words.dictionary_encode()
-    known = np.array([xxhash.xxh64_intdigest(w, SEED) for w in coded.dictionary.cast(pa.binary()).to_pylist()], np.uint64)
-    hashes = known[coded.indices.to_numpy()]
-    places = np.maximum(sizes - shingle + 1, (sizes > 0).astype(np.int64))
-    text_of = np.repeat(np.arange(len(sizes)), places)
-    at = np.arange(len(text_of)) + np.repeat(np.cumsum(sizes) - sizes - np.cumsum(places) + places, places)
-    width = np.minimum(sizes, shingle)[text_of]  # a text with fewer words than a shingle is one shingle
-    x = width.astype(np.uint64)
-    for i in range(shingle if len(at) else 0):
-        x = np.where(i < width, x * np.uint64(ODD[0]) + hashes[np.minimum(at + i, len(hashes) - 1)], x)
-    x = _mixed(x)
-    order = np.lexsort((x, text_of))
-    x, first = x[order], np.ones(len(x), bool)
-    first[1:] = (x[1:] != x[:-1]) | (text_of[1:] != text_of[:-1])
-    return x[first], np.bincount(text_of[first], minlength=len(sizes))
-
-
-def _counts(rows: DataFrame, shingle: int) -> np.ndarray:
-    """In how many documents the shingles of each place stand, over all documents (PLACES numbers reach the driver)."""
-
-    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n = np.zeros(PLACES, np.int64)
-        for batch in batches:
-            hashes, _ = shingle_hashes(batch.column(0), shingle)
-            n += np.bincount((hashes & np.uint64(PLACES - 1)).astype(np.int64), minlength=PLACES)
-        used = np.flatnonzero(n)
-        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(n[used])], names=["place", "n"])
-
-    found = rows.select("text").mapInArrow(counted, "place int, n long").groupBy("place").agg(F.sum("n").alias("n")).toArrow()
-    counts = np.zeros(PLACES, np.int64)
-    counts[found["place"].to_numpy()] = found["n"].to_numpy()
-    return counts
-
-
-def _prefixes(rows: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """Of each row its number n of distinct shingles, a digest (d, e) of their set, and the first of them, rarest first.
-
-    Two sets that are that similar have `similarity` of either in common at least, so one of the common shingles is
-    among the first n - ceil(similarity * n) + 1 of both, whatever the order, if it is one for all sets.
-    """
-    shared = rows.sparkSession.sparkContext.broadcast(_counts(rows, shingle))
-
-    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            hashes, sizes = shingle_hashes(batch.column(1), shingle)
-            text_of, starts = np.repeat(np.arange(len(sizes)), sizes), np.cumsum(sizes) - sizes
-            digests = []
-            for x in (hashes, _mixed(hashes + np.uint64(ODD[0]))):
-                sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(x, dtype=np.uint64)])
-                digests.append((sums[starts + sizes] - sums[starts]).view(np.int64))
-            count = shared.value[(hashes & np.uint64(PLACES - 1)).astype(np.int64)]
-            ordered = hashes[np.lexsort((hashes, count, text_of))]
-            wanted = np.where(sizes > 0, sizes - np.ceil(sizes * similarity - 1e-9).astype(np.int64) + 1, 0)
-            kept = np.arange(len(hashes)) - starts[text_of] < wanted[text_of]
-            places = pa.array(np.concatenate([[0], np.cumsum(wanted)]), pa.int32())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes, pa.int64()), *map(pa.array, digests),
-                 pa.ListArray.from_arrays(places, pa.array(ordered[kept].view(np.int64)))],
-                names=["row", "n", "d", "e", "first"])
-
-    return rows.select("row", "text").mapInArrow(first, "row long, n long, d long, e long, first array<long>")
-
-
-def _least_common(n: Column, m: Column, similarity: float) -> Column:
-    """How many shingles sets of n and m have in common at least if they are that similar."""
-    return F.ceil((n + m) * F.lit(similarity / (1 + similarity)) - F.lit(1e-9))
-
-
-def _may_be_similar(similarity: float) -> Column:
-    """Whether a common shingle stands early enough in both rows; true for the first common one of any similar rows."""
-    least = _least_common(F.col("n"), F.col("_n"), similarity)
-    return (F.col("at") <= F.col("n") - least) & (F.col("_at") <= F.col("_n") - least)
-
-
-def _similar(pairs: DataFrame, rows: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """The pairs u, v whose texts are that similar, by the shingles they really have in common."""
-
-    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            hashes, sizes = shingle_hashes(batch.column(1), shingle)
-            places = pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32())
-            sets = pa.ListArray.from_arrays(places, pa.array(hashes.view(np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), sets], names=["row", "hashes"])
-
-    pairs = store(pairs, "candidates")
-    wanted = pairs.select(F.explode(F.array("u", "v")).alias("row")).distinct()
-    sets = rows.select("row", "text").join(wanted, "row", "left_semi").mapInArrow(hashed, "row long, hashes array<long>")
-    sets = store(sets, "shingle_sets")
-    met = pairs.join(sets.select(F.col("row").alias("u"), F.col("hashes").alias("_a")), "u")
-    met = met.join(sets.select(F.col("row").alias("v"), F.col("hashes").alias("_b")), "v")
-    least = _least_common(F.size("_a"), F.size("_b"), similarity)
-    return store(met.filter(F.size(F.array_intersect("_a", "_b")) >= least).select("u", "v"), "similar_pairs")
-
-
-def _size_classes(size: str, similarity: float) -> Column:
-    """The classes of sizes, by powers of two, in which a set meets all sets that can be that similar.
-
-    Of two such sets the smaller has `similarity` of the larger's size at least, so each goes to the class of its own
-    size and to that of the least size it can be similar to.
-    """
-    least = F.ceil(F.col(size) * F.lit(similarity) - F.lit(1e-6)).cast("long")
-    return F.array_distinct(F.array(F.length(F.bin(size)), F.length(F.bin(least))))
-
-
-def similar_links(rows: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """Links u, v between rows (row, text) that join all similar rows and no others.
-
-    Rows with the same set of shingles are linked to the first of them. Of different sets, any two that are similar
-    share a bucket: one of their first shingles and a class of sizes. First each row meets the rows that stand before
-    it in most of its buckets. Then, in buckets that these links leave in several components, all rows outside the
-    bucket's largest component meet all others, so rows that are linked already are not compared again, and no pair
-    in different components is left out. All pairs that meet are judged by the shingles they have in common.
-    """
-    prefixes = store(_prefixes(rows, shingle, similarity), "prefixes")
-    marks = prefixes.select("row", "n", "d", "e")
-    repeated = marks.groupBy("n", "d", "e").agg(F.min("row").alias("u"), F.count("*").alias("k")).filter("k > 1").drop("k")
-    same = marks.join(repeated, ["n", "d", "e"]).filter("row <> u").select("u", F.col("row").alias("v"))
-    same = store(same, "same_sets")
-    sets = prefixes.join(same.select(F.col("v").alias("row")), "row", "left_anti")
-    entries = sets.select("row", "n", F.posexplode("first").alias("at", "key"))
-    sizes = entries.groupBy("key").agg(F.count("*").alias("k")).filter("k > 1")
-    bucket, row = ["key", "size"], ["row", "n", "at"]
-    shared = entries.join(sizes, "key").withColumn("size", F.explode(_size_classes("n", similarity)))
-    shared = store(shared.select(*bucket, *row, "k"), "shared_shingles")
-
-    # A large bucket is cut into pieces by the hash of the row, so that it is spread over tasks; each row meets the one
-    # before it in its piece, and the first row of each piece meets the bucket's first row. As the number of pieces is a
-    # power of two, buckets of like size are cut alike.
-    pieces = F.pow(F.lit(2.0), F.ceil(F.log2(F.greatest(F.col("k") / PIECE_ROWS, F.lit(1.0))))).cast("long")
-    inside = Window.partitionBy(*bucket, "piece").orderBy("n", "row")
-    ordered = shared.withColumn("piece", F.pmod(F.xxhash64("row"), pieces)).withColumn("_b", F.lag(F.struct(*row)).over(inside))
-    renamed = [F.col(f"_b.{c}").alias(f"_{c}") for c in row]
-    before = ordered.select(*bucket, *row, *renamed)
-    heads = before.filter("_row is null").select(*bucket, *row)
-    first = shared.filter(F.col("k") > PIECE_ROWS).groupBy(*bucket).agg(F.min_by(F.struct(*row), F.struct("n", "row")).alias("_b"))
-    heads = heads.join(first.select(*bucket, *renamed), bucket).filter("row <> _row")
-    met = before.filter("_row is not null").unionByName(heads).filter(_may_be_similar(similarity))
-    times = met.groupBy(F.col("row").alias("v"), F.col("_row").alias("u")).agg(F.count("*").alias("times"))
-    best = times.groupBy("v").agg(F.slice(F.sort_array(F.collect_list(F.struct("times", "u")), False), 1, TRIED).alias("_b"))
-    chained = _similar(best.select("v", F.explode("_b").alias("_b")).select("_b.u", "v"), rows, shingle, similarity)
-
-    root = components(chained).select(F.col("node").alias("row"), F.col("root"))
-    rooted = store(shared.select(*bucket, *row).join(root, "row", "left").withColumn("root", F.coalesce("root", "row")), "rooted")
-    parts = rooted.groupBy(*bucket, "root").agg(F.count("*").alias("k"))
-    split = parts.groupBy(*bucket).agg(F.count("*").alias("roots"), F.max_by("root", F.struct("k", "root")).alias("largest")).filter("roots > 1")
-    open_rows = store(rooted.join(split.select(*bucket, "largest"), bucket), "open_buckets")
-    outside = open_rows.filter("root <> largest").select(*bucket, *row, "root", "largest")
-    others = open_rows.select(*bucket, *[F.col(c).alias(f"_{c}") for c in (*row, "root")])
-    # of two rows outside the largest component, the one of the lesser root finds the other
-    apart = (F.col("root") < F.col("_root")) | ((F.col("root") > F.col("_root")) & (F.col("_root") == F.col("largest")))
-    rest = outside.join(others, bucket).filter(apart & _may_be_similar(similarity))
-    rest = rest.select(F.least("row", "_row").alias("u"), F.greatest("row", "_row").alias("v")).distinct()
-    return same.unionByName(chained).unionByName(_similar(rest, rows, shingle, similarity))
-
-
+@released
 def drop_near_copies(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, most: int = MOST_BITS
 ) -> DataFrame:
-    """One row of each group of similar texts, that of the least id, with the columns it came with.
+    """One row of each component of `near_groups`, that of the least id, with the columns it came with.
 
-    Texts are linked if the share of distinct shingles they have in common (of all that either has) is `similarity` or
-    more. Both the search and the judgement are exact at any size, but for shingles of equal 64-bit hash. Words are
-    lower-cased (A-Z); a text with fewer words than a shingle is one shingle, and texts without words are alike. Null
-    texts have no words. Null ids come after all others; of equal ids the least text stays, one of repeated rows. An
-    empty table gives an empty result.
+    Null ids come after all others. Of rows with that id the one whose text has the least hash stays, and one of repeated
+    rows; a null text is a blank one. An empty table gives an empty result.
     """
     plain = Plain(bound_batches(docs))
-    key, text = F.col(plain[id_col]), F.col(plain[text_col])
-    rows = store(plain.df.withColumn("_row", F.monotonically_increasing_id()), "numbered")
-    links = similar_links(rows.select(F.col("_row").alias("row"), text.alias("text")), shingle, similarity)
-    root = components(links).select(F.col("node").alias("_row"), F.col("root").alias("_root"))
-    grouped = rows.join(root, "_row", "left")
-    order = F.struct(key.isNull(), key, text, "_row")
-    best = grouped.filter("_root is not null").groupBy("_root").agg(F.min_by("_row", order).alias("_best"))
-    lost = root.join(best, "_root").filter("_row <> _best").select("_row")
-    return plain.restore(rows.join(lost, "_row", "left_anti"))
+    key, text = F.col(plain[id_col]), F.coalesce(F.col(plain[text_col]), F.lit(""))
+    marked = plain.df.select(key.alias("id"), F.xxhash64(text).alias("text"), _fingerprints(shingle)(F.col(plain[text_col])).alias("fp"))
+    marked = store(marked, "fingerprints")
+    # of a fingerprint only its first row can stay, however many have it
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "text"))
+    prints = store(marked.groupBy("fp").agg(first.alias("one")), "first_rows")
+    kept = store(_rooted(prints, most).groupBy("root").agg(F.min("one").alias("one")).select("one.id", "one.text"), "kept_rows")
+    several = marked.groupBy("id", "text").agg(F.count("*").alias("n")).filter("n > 1")
+    same = lambda table: F.col("id").eqNullSafe(table["_id"]) & (F.col("text") == table["_text"])
+    renamed = several.select(F.col("id").alias("_id"), F.col("text").alias("_text"))
+    repeated = store(kept.join(renamed, same(renamed), "left_semi"), "repeated_rows")
+    rows = plain.df.withColumns({"_id": key, "_text": F.xxhash64(text)})
+    if repeated.isEmpty():
+        return plain.restore(rows.join(kept, same(rows), "left_semi"))
+    once = kept.join(repeated.select(F.col("id").alias("_id"), F.col("text").alias("_text")), F.col("id").eqNullSafe(F.col("_id")) & (F.col("text") == F.col("_text")), "left_anti")
+    one = rows.join(repeated, same(rows), "left_semi").dropDuplicates(["_id", "_text"])
+    return plain.restore(rows.join(once, same(rows), "left_semi").unionByName(one))
 
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
