@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import pickle
+import sys
+from typing import Any
+
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from flowtriage.session import stored
@@ -36,6 +41,26 @@ def tokenizer_path() -> str:
 store = stored
 
 
+class Shipped:
+    """An object of bounded size that tasks get once, by broadcast.
+
+    It goes as bytes with its classes inside, as executors may not have this package: a broadcast of the object itself
+    names its classes only.
+    """
+
+    def __init__(self, spark: SparkSession, value: Any):
+        self.data, self.known = spark.sparkContext.broadcast(cloudpickle.dumps(value)), None
+
+    def __getstate__(self) -> dict[str, Any]:
+        return {"data": self.data, "known": None}
+
+    @property
+    def value(self) -> Any:
+        if self.known is None:
+            self.known = pickle.loads(self.data.value)
+        return self.known
+
+
 class Plain:
     """A table under names of its own (c0, c1, ...), so that no column can clash with an operator's.
 
@@ -86,3 +111,6 @@ def most_frequent(counts: DataFrame, n_col: str, limit: int) -> DataFrame:
             break
         least = row["_step"]
     return counts.filter(step >= F.lit(least))
+
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -13,7 +13,7 @@ import xxhash
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, functions as F
 
-from flowtriage.llm.common import Plain, bound_batches, most_frequent, store
+from flowtriage.llm.common import Shipped, Plain, bound_batches, most_frequent, store
 
 STATES, ROUNDS = 6, 3
 #: Words with an emission of their own, at most; all others share one of BUCKETS emissions by hash (a power of two).
@@ -242,7 +242,7 @@ def first_model(both: np.ndarray, classes: Classes, states: int) -> Model:
 
 def _round(rows: DataFrame, classes, model: Model, n: int, states: int) -> Counts:
     """One round of Baum-Welch over all documents: counts of each task, summed by Spark; a row per class reaches the driver."""
-    shared = rows.sparkSession.sparkContext.broadcast(model)
+    shared = Shipped(rows.sparkSession, model)
     columns = [f"s{k}" for k in range(states)]
 
     def expected(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -293,7 +293,7 @@ def learn(docs: DataFrame, text_col: str = "text", states: int = STATES, rounds:
     classes = Classes(frequent, sums["ends"] or 0, mass, sums["total"] or 0, sums["size"])
     spark = docs.sparkSession
     model = first_model(_company(rows, classes), classes, states)
-    shared = spark.sparkContext.broadcast(classes)
+    shared = Shipped(spark, classes)
     for _ in range(rounds if sums["total"] else 0):
         model = _round(rows, shared, model, classes.n, states).model(classes.shares)
     buckets = spark.createDataFrame([(b, float(m)) for b, m in enumerate(mass)], "bucket int, mass double")
@@ -310,7 +310,7 @@ def score(docs: DataFrame, language: Language, text_col: str = "text") -> DataFr
     """
     plain = Plain(bound_batches(docs))
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast((language.classes, language.model))
+    shared = Shipped(spark, (language.classes, language.model))
     text = plain[text_col]
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, functions as F
 
-from flowtriage.llm.common import Plain, bound_batches, most_frequent, store
+from flowtriage.llm.common import Shipped, Plain, bound_batches, most_frequent, store
 
 ORDER, DISCOUNT = 4, 0.75
 #: N-grams of all languages together, and labelled rows for calibration, at most.
@@ -269,7 +269,7 @@ def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", most_
     rest = _models(parts.filter("not held"), most_grams)
     if not rest.langs:
         return Identifier(models, Calibration.fitted(np.zeros(0), np.zeros(0), np.zeros(0)))
-    shared = docs.sparkSession.sparkContext.broadcast(rest)
+    shared = Shipped(docs.sparkSession, rest)
 
     @F.pandas_udf("best int, lead double, size long")
     def led(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -300,7 +300,7 @@ def identify(docs: DataFrame, identifier: Identifier, text_col: str = "text") ->
     takes are replaced.
     """
     plain = Plain(bound_batches(docs))
-    shared = docs.sparkSession.sparkContext.broadcast(identifier)  # bounded by MOST_GRAMS
+    shared = Shipped(docs.sparkSession, identifier)  # bounded by MOST_GRAMS
 
     @F.pandas_udf("lang_pred string, score double, rejected boolean")
     def predictions(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:

@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, functions as F
 
-from flowtriage.llm.common import Plain, ascii_lower, bound_batches, most_frequent, store
+from flowtriage.llm.common import Plain, Shipped, ascii_lower, bound_batches, most_frequent, store
 
 Rules = list[tuple[str, str]]  # verdict, rule (host and path)
 #: Words of the unigram model and tokens of the classifier, at most; hosts that a task remembers.
@@ -146,7 +146,7 @@ def judge(pages: DataFrame, rules: Rules, id_col: str = "page_id", url_col: str
     ruled = split.withColumn("_rule", fitting_rule(F.col("_host"), F.col("_path"), rules)).withColumn(
         "_verdict", fitting_rule(F.col("_host"), F.col("_path"), rules, of=0))
     model = fit(store(_with_tokens(ruled.filter("_rule is not null").select("_host", "_path", "_verdict"), words), "ruled_pages"))
-    shared = pages.sparkSession.sparkContext.broadcast(model)  # MOST_TOKENS tokens
+    shared = Shipped(pages.sparkSession, model)  # MOST_TOKENS tokens
 
     @F.pandas_udf("string")
     def judged(tokens: pd.Series) -> pd.Series:
