@@ -8,6 +8,7 @@ import re
 import string
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import duckdb
 import numpy as np
@@ -20,6 +21,7 @@ import corpus_pipeline
 from flowtriage.llm import bpe, decisionlist, exactdedup, hmm, langid, linecrf, linededup, mixing, queries, simhash, urlfilter
 from flowtriage.llm.common import most_frequent, tokenizer_path
 from flowtriage.llm.components import components
+from flowtriage.session import scratch, shared_dir
 
 LOWERED = str.maketrans(string.ascii_uppercase, string.ascii_lowercase)
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -95,7 +97,7 @@ def test_query_equals_sql(spark, sf_dir, duck, name):
 
 def test_sql_agrees_on_odd_rows(spark, odd, tmp_path):
     folder = str(tmp_path / "sf")
-    odd.select("doc_id", "text", "source").write.parquet(f"{folder}/documents.parquet")
+    odd.select("doc_id", "text", "lang", "source").write.parquet(f"{folder}/documents.parquet")
     connection = duckdb.connect()
     connection.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{folder}/documents.parquet/*.parquet')")
     for name, sql in queries.ORACLES.items():
@@ -183,7 +185,7 @@ def brute_print(text, k=3):
     return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
 
 
-def brute_components(prints):
+def brute_components(prints, most=2):
     parent = {i: i for i in prints}
 
     def find(a):
@@ -192,7 +194,7 @@ def brute_components(prints):
         return a
 
     for a, b in itertools.combinations(prints, 2):
-        if (prints[a] ^ prints[b]).bit_count() <= 2:
+        if (prints[a] ^ prints[b]).bit_count() <= most:
             x, y = find(a), find(b)
             parent[max(x, y)] = min(x, y)
     return {i: find(i) for i in prints}
@@ -207,22 +209,26 @@ def test_near_groups_equal_brute_force(spark, sf_dir, texts, bucket, monkeypatch
     assert found == {(i, f"{prints[i]:016x}", roots[i]) for i in texts}
 
 
-def test_links_within_two_bits(spark, monkeypatch):
+@pytest.mark.parametrize("most, bucket", [(2, 64), (2, 1), (4, 64), (4, 1)])
+def test_links_within_some_bits(spark, monkeypatch, most, bucket):
+    monkeypatch.setattr(simhash, "PAIRED_BUCKET", bucket)
     rnd = np.random.default_rng(5)
     centers = rnd.integers(0, 1 << 63, 12)
     prints = {int(c) for c in centers}
     for c in centers:
         for _ in range(25):
-            bits = rnd.choice(63, rnd.integers(1, 5), replace=False)
+            bits = rnd.choice(63, rnd.integers(1, 3 + most), replace=False)
             prints.add(int(c) ^ sum(1 << int(b) for b in bits))
     table = spark.createDataFrame([(p,) for p in prints], "fp long")
-    roots = brute_components({p: p for p in prints})
-    plan = [(list(range(0, 20)), 1), (list(range(20, 64)), 0)]
+    roots = brute_components({p: p for p in prints}, most)
+    plan = [(list(range(0, 20)), most - 1), (list(range(20, 64)), 0)]
     for chosen in (None, plan):
         if chosen:
             monkeypatch.setattr(simhash, "search_plan", lambda *_: chosen)
-        found = {r["node"]: r["root"] for r in components(simhash._links(table, 2)).collect()}
+        found = {r["node"]: r["root"] for r in components(simhash._links(table, most)).collect()}
         assert {p: found.get(p, p) for p in prints} == roots
+    with pytest.raises(ValueError):
+        simhash._links(table, 3)
 
 
 def test_thresholds_sum_and_are_cheapest():
@@ -230,79 +236,29 @@ def test_thresholds_sum_and_are_cheapest():
     assert simhash.thresholds(costs, 1) == (10.0, [1, 0])
 
 
-def test_near_copies_by_similarity(spark, odd, empty):
+def test_near_copies_of_odd_rows(spark, odd, empty):
     rnd = np.random.default_rng(3)
-    base = [f"w{rnd.integers(4000)}" for _ in range(400)]
-    docs = [(1, " ".join(base)), (2, " ".join(["new", *base[1:]])), (3, " ".join(base[:390] + ["x"] * 10))]
-    docs += [(10 + i, " ".join(f"v{rnd.integers(4000)}" for _ in range(300))) for i in range(20)] + [(50, None), (51, " "), (None, "")]
-    left = simhash.drop_near_copies(spark.createDataFrame(docs, "doc_id long, text string"))
-    assert sorted(r["doc_id"] for r in left.collect()) == [1, *range(10, 30), 50]
+    base = [f"w{rnd.integers(4000)}" for _ in range(2000)]
+    docs = [(2, " ".join(["new", *base[1:]])), (1, " ".join(base)), (None, " ".join(base)), (2, " ".join(["new", *base[1:]]))]
+    docs += [(10 + i, " ".join(f"v{rnd.integers(4000)}" for _ in range(300))) for i in range(20)]
+    docs += [(50, None), (50, " "), (50, ""), (51, " "), (None, ""), (60, "of two"), (60, "of two"), (60, "Of TWO")]
+    for bits in (2, 4):
+        left = simhash.drop_near_copies(spark.createDataFrame(docs, "doc_id long, text string"), most=bits)
+        assert sorted(r["doc_id"] for r in left.collect()) == [1, *range(10, 30), 50, 60]
     assert simhash.drop_near_copies(odd).columns == odd.columns
-    assert {r["doc_id"] for r in simhash.drop_near_copies(odd).collect()} >= {1, 5, 9}
+    assert sorted(r["doc_id"] or 0 for r in simhash.drop_near_copies(odd).collect()) == [0, 1, 3, 5, 6, 7, 8, 9]
     assert simhash.drop_near_copies(empty).count() == 0 and simhash.near_groups(empty).count() == 0
     assert simhash.near_groups(odd).count() == len(ROWS)
 
 
-def brute_force_kept(docs, shingle=5, similarity=0.8):
-    """The least id of each group of similar texts, all pairs compared."""
-    sets = {}
-    for i, text in docs:
-        words = [w.translate(LOWERED) for w in WORD.findall(text or "")]
-        sets[i] = {tuple(words[at : at + shingle]) for at in range(max(len(words) - shingle + 1, min(len(words), 1)))}
-    root = {i: i for i in sets}
-
-    def top(i):
-        while root[i] != i:
-            i = root[i]
-        return i
-
-    for i, j in itertools.combinations(sorted(sets), 2):
-        common, both = len(sets[i] & sets[j]), len(sets[i] | sets[j])
-        if common >= similarity * both:
-            root[max(top(i), top(j))] = min(top(i), top(j))
-    return sorted(i for i in root if root[i] == i)
-
-
-def test_near_copies_are_judged_by_common_shingles(spark):
-    rnd = np.random.default_rng(5)
-    words = lambda n, kind="w": [f"{kind}{rnd.integers(1 << 40)}" for _ in range(n)]
-    docs = []
-    for n in (3, 8, 9, 10, 14, 30):  # one word more or less, around the limit
-        base = words(n)
-        docs += [base, [*base, *words(1)], [*base, *words(2)], base[1:]]
-    for common, own in ((200, 24), (200, 26), (200, 30), (240, 30), (240, 27), (60, 8), (60, 7)):  # 0.77 to 0.83
-        for _ in range(12):
-            base = words(common + 4)
-            docs += [[*base, *words(own)], [*base, *words(own)]]
-    passage = words(60)
-    docs += [[*passage, *words(n)] for n in (1, 5, 5, 6, 7, 8, 40, 40) for _ in range(3)]
-    docs = [(i, " ".join(d)) for i, d in enumerate(docs)] + [(9_000, None), (9_001, " "), (9_002, ""), (9_003, "Of Two"), (9_004, "of two")]
-    left = simhash.drop_near_copies(spark.createDataFrame(docs, "doc_id long, text string"))
-    assert sorted(r["doc_id"] for r in left.collect()) == brute_force_kept(docs)
-
-
-def test_all_copies_with_new_passages_are_found(spark):
-    rnd = np.random.default_rng(6)
-    words = lambda n: [f"w{rnd.integers(1 << 40)}" for _ in range(n)]
-    docs = []
-    for front, back, own in ((0, 80, 20), (80, 0, 18), (50, 40, 9), (10, 0, 1), (200, 200, 40), (30, 70, 20)):
-        for _ in range(15):
-            start, end = words(front), words(back)
-            docs += [[*start, *end], [*start, *words(own), *end]]  # a passage put before, behind or between
-            docs += [[*start, *words(own // 2 + 1), *end], [*start, *words(own // 2 + 1), *end]]  # or replaced
-    docs = [(i, " ".join(d)) for i, d in enumerate(docs)]
-    for some in (docs, docs[:40]):  # the links do not depend on how many rows there are
-        left = simhash.drop_near_copies(spark.createDataFrame(some, "doc_id long, text string"))
-        assert sorted(r["doc_id"] for r in left.collect()) == brute_force_kept(some)
-
-
-def test_near_copies_of_the_tables_equal_brute_force(spark, texts, monkeypatch):
+@pytest.mark.parametrize("bucket", [64, 1])
+def test_near_copies_of_the_tables_equal_brute_force(spark, texts, bucket, monkeypatch):
+    monkeypatch.setattr(simhash, "PAIRED_BUCKET", bucket)
     docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
-    kept = brute_force_kept(texts.items())
-    for rows, tried in ((256, 3), (2, 1)):  # also with every bucket in pieces
-        monkeypatch.setattr(simhash, "PIECE_ROWS", rows)
-        monkeypatch.setattr(simhash, "TRIED", tried)
-        assert sorted(r["doc_id"] for r in simhash.drop_near_copies(docs).collect()) == kept
+    prints = {i: brute_print(t) for i, t in texts.items()}
+    for bits in (2, corpus_pipeline.NEAR_BITS):
+        kept = {i for i, root in brute_components(prints, bits).items() if i == root}
+        assert {r["doc_id"] for r in simhash.drop_near_copies(docs, most=bits).collect()} == kept
 
 
 # ---------------------------------------------------------------- learned models
@@ -520,14 +476,22 @@ def test_pipeline_keeps_what_its_stages_keep(spark, sf_dir, texts):
             for i in sorted(before):
                 least.setdefault(re.sub(r"[\x20\x09-\x0D]+", " ", texts[i] or ""), i)
             assert {r["doc_id"] for r in kept.collect()} == set(least.values())
+        if name == "simhash_near_dedup":  # brute force: the least id of each component
+            roots = brute_components({i: brute_print(texts[i]) for i in before}, corpus_pipeline.NEAR_BITS)
+            assert {r["doc_id"] for r in kept.collect()} == {i for i, root in roots.items() if i == root}
     rows = corpus_pipeline.run(spark, sf_dir).collect()
     assert Counter(r["doc_id"] for r in rows) == Counter(r["doc_id"] for r in kept.collect())
     tokenizer = bpe.WordBpe(open(tokenizer_path(), encoding="utf-8").read())
     assert all(tokenizer.encode(texts[r["doc_id"]]) == r["ids"] and len(r["ids"]) == 4 * r["n_tokens"] for r in rows)
 
 
-def test_sets_of_like_size_share_a_class(spark):
-    sizes = spark.range(300).select(F.col("id").alias("n"))
-    classes = {r["n"]: set(r["c"]) for r in sizes.select("n", simhash._size_classes("n", 0.8).alias("c")).collect()}
-    for m in range(300):
-        assert all(classes[n] & classes[m] for n in range(m + 1) if 10 * n >= 8 * m)
+def test_pipeline_leaves_nothing_but_its_result(spark, sf_dir):
+    def folders():
+        return {p.name for p in Path(shared_dir(spark), "flowtriage").glob("*")}
+
+    before = folders()
+    with scratch(spark):
+        rows = corpus_pipeline.run(spark, sf_dir)
+        assert len(folders() - before) == len(corpus_pipeline.STAGES) - 1  # the stages, and none of what they stored
+        assert rows.count() > 0
+    assert folders() == before
