@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from flowtriage.functions.numbers import ci_margin, safe_pct
-from flowtriage.operators.rules import RULES, Rule, reasons_of_flags, rule_flags
+from flowtriage.operators.rules import RULES, Rule, bound_rules, reasons_of_flags, rule_flags
 
 
 def total_count(flows: DataFrame) -> DataFrame:
@@ -32,6 +32,7 @@ def by_frequency(counts: DataFrame, tie_break: str, n: str = "n") -> DataFrame:
 
 def profile_cube(flows: DataFrame, rules: list[Rule] = RULES) -> DataFrame:
     """Rows per label and combination of rule flags: (label, one flag per rule, n)."""
+    flows, rules = bound_rules(flows, rules)
     return (
         flows.select("label", *rule_flags(rules))
         .groupBy("label", *[r.name for r in rules])

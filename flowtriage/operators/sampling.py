@@ -3,8 +3,10 @@
 A sample of n rows is the n rows with the smallest seeded hash. Sorting all
 candidates, or keeping n per map task, would send far too much to one reducer.
 Instead, a bound on the hash cuts the candidates down first. It comes from the
-size of the pool, where that is known, or from counts per stratum and hash
-prefix (a few thousand counts however large the table). About 1.1 n rows pass.
+size of the pool; where that leaves too few rows, from counts per stratum and
+hash prefix (a few thousand counts however large the table). About 1.1 n rows
+pass and are moved once, to bring equal rows together. Counts per block of
+hashes tell in which block the n-th row lies: only there rows are put in order.
 """
 
 from __future__ import annotations
@@ -15,7 +17,6 @@ from functools import reduce
 from pyspark.sql import DataFrame, functions as F
 
 from flowtriage.functions.identity import record_id, row_hash
-from flowtriage.operators.running import running_totals
 from flowtriage.schema import FLOW_COLUMNS
 from flowtriage.session import materialise
 
@@ -24,8 +25,8 @@ TARGETS = {"background": 4700, "blacklist": 290, "anomaly-sshscan": None}
 SEED = 42
 PREFIXES = {"sample_1000": 1000, "sample_3000": 3000, "sample_5000": 5000}
 
-# Digits that a bound on the hash has, and a bound above all hashes.
-CUT_DIGITS, NO_CUT = 12, "g"
+# Digits that a bound on the hash has, a bound above all hashes, and the digits after a bound's zeros that make a block.
+CUT_DIGITS, NO_CUT, BLOCK_DIGITS = 12, "g", 3
 
 
 def stratum_filter(df: DataFrame, strata: list[str], column: str = "label") -> DataFrame:
@@ -79,6 +80,25 @@ def _quoted(text: str) -> str:
     return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
+def _survivors(hashed: DataFrame, columns: list[str], limited: dict[str, int], cuts: dict[str, str]) -> tuple[DataFrame, dict]:
+    """The rows below their bound with _copies and _block, stored, and the rows per limited stratum and block.
+
+    Copies of a row share its hash and may be very many: they are counted instead of moved. At most 4096 counts per
+    stratum reach the driver.
+    """
+    zeros = {stratum: len(cut) - len(cut.lstrip("0")) for stratum, cut in cuts.items()}
+    block = f"CAST(conv(substring(_hash, 1 + {_per_stratum(zeros, '0')}, {BLOCK_DIGITS}), 16, 10) AS INT) AS _block"
+    kept = materialise(
+        hashed.filter(f"_hash < {_per_stratum(cuts, _quoted(NO_CUT))}")
+        .groupBy(*columns, "_hash").agg(F.count("*").alias("_copies")).selectExpr("*", block))
+    counts: dict[str, dict[int, int]] = {s: {} for s in limited}
+    if limited:
+        found = kept.filter(F.col("_stratum").isin(list(limited))).groupBy("_stratum", "_block").agg(F.sum("_copies").alias("n"))
+        for row in found.collect():
+            counts[row["_stratum"]][row["_block"]] = row["n"]
+    return kept, counts
+
+
 def _lowest_hashes(
     pool: DataFrame, targets: dict[str, int | None], seed: int, cuts: dict[str, str] | None = None
 ) -> DataFrame:
@@ -88,21 +108,28 @@ def _lowest_hashes(
     hashed = pool.withColumn("_hash", row_hash(seed, hash_columns))
     limited = {s: n for s, n in targets.items() if n is not None}
     if cuts is None:
-        cuts = _exact_cuts(hashed, limited) if limited else {}
-    survivors = hashed.filter(f"_hash < {_per_stratum(cuts, _quoted(NO_CUT))}")
-
-    # copies of a row share its hash and may be very many: count them instead of moving them
-    distinct = survivors.groupBy(*columns, "_hash").agg(F.count("*").alias("_copies"))
-    kept = [c for c in columns if c != "_stratum"]
-    # three digits after the zeros of the bound spread the survivors evenly over 4096 blocks
-    zeros = {stratum: len(cut) - len(cut.lstrip("0")) for stratum, cut in cuts.items()}
-    blocks = distinct.selectExpr("*", "_copies AS _upto", f"substring(_hash, 1, 3 + {_per_stratum(zeros, '0')}) AS _block")
-    counted = running_totals(blocks, ["_stratum"], "_block", ["_hash", *kept], ["_upto"])
-    take = f"least(_copies, coalesce({_per_stratum(limited)} - (_upto - _copies), _copies))"
-    return (
-        counted.withColumn("_take", F.expr(take)).filter("_take > 0")
-        .withColumn("_copy", F.expr("explode(sequence(1L, _take))")).select(*kept)
-    )
+        sizes = {r["_stratum"]: r["count"] for r in pool.groupBy("_stratum").count().collect()}  # a row per stratum
+        cuts = likely_cuts(sizes, limited)
+    kept, counts = _survivors(hashed, columns, limited, cuts)
+    if any(s in cuts and sum(counts[s].values()) < n for s, n in limited.items()):
+        kept, counts = _survivors(hashed, columns, limited, _exact_cuts(hashed, limited))
+
+    # the block that holds the n-th row of a stratum, and how many of its rows the sample takes
+    edge, rest = {}, {}
+    for stratum, n in limited.items():
+        for block, size in sorted(counts[stratum].items()):
+            if size > n:
+                edge[stratum], rest[stratum] = block, n
+                break
+            n -= size
+    whole = kept.filter(f"_block < {_per_stratum(edge, str(16**BLOCK_DIGITS))}").withColumn("_take", F.col("_copies"))
+    parts = whole
+    if edge:
+        upto = "sum(_copies) OVER (PARTITION BY _stratum ORDER BY _hash ROWS UNBOUNDED PRECEDING)"
+        cut = kept.filter(f"_block = {_per_stratum(edge)}").withColumn(
+            "_take", F.expr(f"least(_copies, {_per_stratum(rest)} - ({upto} - _copies))"))
+        parts = whole.unionByName(cut.filter("_take > 0"))
+    return parts.withColumn("_copy", F.expr("explode(sequence(1L, _take))")).select(*[c for c in columns if c != "_stratum"])
 
 
 def take_all(df: DataFrame, strata: list[str], column: str = "label") -> DataFrame:
@@ -122,7 +149,8 @@ def stratified_sample(
 ) -> DataFrame:
     """The rows with the smallest hashes of each stratum; a target of None takes the whole stratum.
 
-    Without cuts a first pass over the table finds them, at once.
+    Bounds that are not given come from the sizes of the strata, counted first. The rows that pass are stored at once;
+    should they be too few, which only piles of equal rows can bring about, counts per hash give exact bounds.
     """
     pool = stratum_filter(df, list(targets), column).withColumn("_stratum", F.col(column))
     return _lowest_hashes(pool, targets, seed, cuts)
@@ -145,17 +173,8 @@ def draw_sample(
     seed: int = SEED,
     column: str = "label",
 ) -> DataFrame:
-    """stratified_sample in a single scan, for known pool sizes; computed at once.
-
-    The bounds come from the pool sizes. Should they leave too few rows of a
-    stratum, which only piles of equal rows can bring about, exact ones are used.
-    """
-    expected = {s: pool.get(s, 0) if n is None else min(n, pool.get(s, 0)) for s, n in targets.items()}
-    sample = materialise(stratified_sample(suspects, targets, seed, column, likely_cuts(pool, targets)))
-    got = {r[0]: r[1] for r in sample.groupBy(column).count().collect()}  # one row per stratum
-    if any(got.get(s, 0) != n for s, n in expected.items()):
-        sample = materialise(stratified_sample(suspects, targets, seed, column))
-    return sample
+    """stratified_sample in a single scan, for known pool sizes."""
+    return stratified_sample(suspects, targets, seed, column, likely_cuts(pool, targets))
 
 
 def with_record_id(df: DataFrame) -> DataFrame:

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F, types as T
 
+from flowtriage.functions.numbers import lenient_integer
+
 # The 13 positional flow columns.
 FLOW_COLUMNS = [
     "timestamp", "duration", "src_ip", "dst_ip", "src_port", "dst_port", "protocol",
@@ -17,6 +19,9 @@ FLOW_TYPES = {
     "bwd_pkts": "INT", "total_pkts": "BIGINT", "total_bytes": "BIGINT",
 }
 
+#: What typed flows call the text of a column, and the protocol in capitals.
+TEXT, UPPER_PROTOCOL = "_text", "protocol_upper"
+
 # Columns that identify a record, in hashing order.
 RECORD_ID_COLUMNS = [
     "timestamp", "src_ip", "dst_ip", "src_port", "dst_port", "protocol", "duration",
@@ -63,14 +68,32 @@ def bind_flow_schema(df: DataFrame) -> DataFrame:
 
 
 def typed_flows(flows: DataFrame) -> DataFrame:
-    """Declared types; what does not parse becomes NULL.
+    """Declared types, with the text of each typed column beside it; what does not parse becomes NULL.
 
-    A typed copy lets threshold filters reach the Parquet row groups, which
-    casts around string columns cannot.
+    Whole numbers are read as the rules read them, so `1500.7` packets are 1500 here and there. Rules on a typed copy are
+    plain comparisons, which reach the Parquet row groups; casts around text cannot. Ids, hashes and exports go by the
+    text, which text_flows gives back.
     """
-    return flows.select(
-        *[F.col(c).try_cast(FLOW_TYPES[c]).alias(c) if c in FLOW_TYPES else F.col(c) for c in FLOW_COLUMNS]
-    )
+    typed = []
+    for c in FLOW_COLUMNS:
+        kind = FLOW_TYPES.get(c)
+        value = F.col(c) if kind is None else F.col(c).try_cast(kind) if kind == "DOUBLE" else F.expr(lenient_integer(c, kind))
+        typed.append(value.alias(c))
+    texts = [F.col(c).alias(c + TEXT) for c in FLOW_TYPES]
+    return flows.select(*typed, *texts, F.upper("protocol").alias(UPPER_PROTOCOL))
+
+
+def is_typed(flows: DataFrame) -> bool:
+    """Whether a table comes from typed_flows."""
+    return {c + TEXT for c in FLOW_TYPES} | {UPPER_PROTOCOL} <= set(flows.columns)
+
+
+def text_flows(flows: DataFrame) -> DataFrame:
+    """The text columns of typed flows, whatever other columns they have; other flows as they are."""
+    if not is_typed(flows):
+        return flows
+    made = {c + TEXT for c in FLOW_TYPES} | {UPPER_PROTOCOL}
+    return flows.select(*[F.col(c + TEXT).alias(c) if c in FLOW_TYPES else F.col(c) for c in flows.columns if c not in made])
 
 
 def api_view(sample: DataFrame) -> DataFrame:

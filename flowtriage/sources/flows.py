@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from flowtriage.schema import FLOW_SCHEMA, bind_flow_schema, typed_flows
+from flowtriage.schema import FLOW_SCHEMA, bind_flow_schema, is_typed, typed_flows
 
 
 def scan_flows(spark: SparkSession, path: str) -> DataFrame:
@@ -12,8 +12,16 @@ def scan_flows(spark: SparkSession, path: str) -> DataFrame:
     return bind_flow_schema(spark.read.parquet(path))
 
 
+def scan_typed_flows(spark: SparkSession, path: str) -> DataFrame:
+    """What a typed ingest has written."""
+    flows = spark.read.parquet(path)
+    if not is_typed(flows):
+        raise ValueError(f"no typed flows in {path}: {flows.columns}")
+    return flows
+
+
 def ingest_csv(spark: SparkSession, source: str, target: str, typed: bool = False) -> None:
-    """Headerless CSV to Snappy Parquet, all text; typed writes the declared types instead."""
+    """Headerless CSV to Snappy Parquet, all text; typed writes the declared types, and the text beside them."""
     rows = spark.read.schema(FLOW_SCHEMA).csv(source, header=False)
     rows = typed_flows(rows) if typed else rows
     rows.write.mode("overwrite").parquet(target, compression="snappy")
