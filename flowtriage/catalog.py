@@ -1,14 +1,14 @@
 """Every operator as a query over the given tables, with the same result in SQL.
 
 All queries work on whole tables: flows are derived from lineitem, classifier
-calls and truth from labels.
+calls from documents, truth from labels.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from flowtriage import fixtures
 from flowtriage.functions import envelopes, identity, labels as label_functions, numbers, replies
@@ -681,14 +681,14 @@ def truth_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(_log_sql("""
-    SELECT (SELECT count(*) FROM labels) AS api_records, count(*) AS matched_truth,
-           count(*) = (SELECT count(*) FROM labels) AS aligned FROM truth"""))
+    SELECT (SELECT count(*) FROM documents) AS api_records, count(*) AS matched_truth,
+           count(*) = (SELECT count(*) FROM documents) AS aligned FROM truth"""))
 def alignment_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluation.alignment_check(fixtures.records(spark, sf_dir), _truth(spark, sf_dir))
 
 
 @query(_log_sql("""
-    SELECT d.record_id, m.model_name FROM (SELECT 'd' || cast(doc_id AS VARCHAR) AS record_id FROM labels) AS d, models AS m
+    SELECT d.record_id, m.model_name FROM (SELECT 'd' || cast(doc_id AS VARCHAR) AS record_id FROM documents) AS d, models AS m
     WHERE NOT EXISTS (SELECT 1 FROM log WHERE run = 1 AND log.record_id = d.record_id
                       AND log.model_name = m.model_name)"""))
 def pending_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -860,37 +860,106 @@ def unwrap_envelope(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-_MIN_HITS = {"chatgpt": 1, "gemini": 2, "deepseek": 3, "claude": 2}
+_FAILED = ", ".join(map(str, fixtures.FAILED))
 _SCORED = f"""
     , votes AS (
-        SELECT s.record_id, s.sample_rank, s.label, m.model_name, m.model_ord,
+        SELECT s.record_id, s.sample_rank, s.label, m.model_name, m.model_ord, m.provider, m.model_id,
                high_packet_count + high_bytes + sensitive_port + icmp_traffic AS hits,
-               CASE m.model_name {" ".join(f"WHEN '{k}' THEN {v}" for k, v in _MIN_HITS.items())} END AS needed
-        FROM sample AS s, (VALUES {", ".join(f"('{m.model_name}', {m.model_ord})" for m in MODELS)})
-            AS m(model_name, model_ord)),
-    verdicts AS (SELECT *, CASE WHEN hits >= needed THEN 'attack' ELSE 'normal' END AS prediction FROM votes)
+               cast('0x' || substr(md5(s.record_id || '|' || m.model_name), 1, 4) AS INTEGER) % {fixtures.KINDS} AS kind,
+               CASE m.model_name {" ".join(f"WHEN '{k}' THEN {v}" for k, v in fixtures.MIN_HITS.items())} END AS needed
+        FROM sample AS s, (VALUES {", ".join(f"('{m.model_name}', {m.model_ord}, '{m.provider}', '{m.model_id}')" for m in MODELS)})
+            AS m(model_name, model_ord, provider, model_id)),
+    verdicts AS (
+        SELECT *, kind IN ({_FAILED}) AS failed,
+               CASE WHEN kind IN ({_FAILED}) THEN 'error' WHEN hits >= needed OR kind = {fixtures.ONE_WORD} THEN 'attack'
+                    ELSE 'normal' END AS prediction FROM votes)
 """
 
 
-@query(_flow_sql(_SCORED + """
-    SELECT record_id, sample_rank AS record_index, model_name, prediction, cast(0.5 + hits / 10.0 AS DOUBLE) AS confidence,
-           concat(cast(hits AS VARCHAR), ' rules') AS reason, cast(300 + hits AS BIGINT) AS input_tokens,
-           cast(10 + hits AS BIGINT) AS output_tokens, 'ok' AS status
+def _todo(spark: SparkSession, sf_dir: str) -> DataFrame:
+    requests = scoring.record_requests(eval_view(_sample(spark, sf_dir)))
+    return fixtures.scripted(scoring.with_prompt(scoring.pending(requests), "balanced"))
+
+
+@query(_flow_sql(_SCORED + f"""
+    SELECT record_id, sample_rank AS record_index, model_name, prediction,
+           CASE WHEN NOT failed AND kind <> {fixtures.ONE_WORD} THEN cast(0.5 + hits / 10.0 AS DOUBLE) END AS confidence,
+           CASE WHEN failed THEN 'api_or_parse_error' WHEN kind = {fixtures.ONE_WORD} THEN 'single-word fallback'
+                ELSE concat(cast(hits AS VARCHAR), ' rules') END AS reason,
+           CASE WHEN failed THEN 0 ELSE cast(300 + hits AS BIGINT) END AS input_tokens,
+           CASE WHEN failed THEN 0 ELSE cast(10 + hits AS BIGINT) END AS output_tokens,
+           CASE WHEN failed THEN 'error' ELSE 'ok' END AS status,
+           CASE kind WHEN {fixtures.ALWAYS_FAILS} THEN 'call failed after 5 tries: HTTP 500: busy'
+                     WHEN {fixtures.REFUSED} THEN 'call failed after 5 tries: HTTP 400: busy'
+                     WHEN {fixtures.NO_JSON} THEN 'no reply in the response body' WHEN {fixtures.EMPTY} THEN 'no reply in the response body'
+                     WHEN {fixtures.NO_VERDICT} THEN 'no verdict in the reply: I cannot tell.' END AS error
     FROM verdicts"""))
 def score_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The whole sample through four rule-based classifiers and all reply handling."""
-    requests = scoring.record_requests(eval_view(_sample(spark, sf_dir)))
-    todo = scoring.with_prompt(scoring.pending(requests), "balanced")
-    scored = scoring.score(todo, calls.RuleScorer(_MIN_HITS), spark.sparkContext.defaultParallelism)
+    """The whole sample through four classifiers, whose busy answers, lost connections and odd replies follow from the rows."""
+    clock = calls.CountedClock()
+    scored = scoring.score(_todo(spark, sf_dir), fixtures.Playback(clock), spark.sparkContext.defaultParallelism, clock=clock)
     return scoring.predictions_of(scored).select(
         "record_id", "record_index", "model_name", "prediction", "confidence", "reason", "input_tokens",
-        "output_tokens", "status",
+        "output_tokens", "status", "error",
     )
 
 
+@query(_flow_sql(_SCORED + f"""
+    , tried AS (
+        SELECT *, CASE kind WHEN {fixtures.BUSY_TWICE} THEN 3 WHEN {fixtures.LOST_ONCE} THEN 2 WHEN {fixtures.ALWAYS_FAILS} THEN 5
+                       WHEN {fixtures.REFUSED} THEN 5 ELSE 1 END AS tries,
+               CASE kind WHEN {fixtures.BUSY_TWICE} THEN 2 + 4 WHEN {fixtures.LOST_ONCE} THEN 2
+                         WHEN {fixtures.ALWAYS_FAILS} THEN 2 + 4 + 8 + 16 + 32 WHEN {fixtures.REFUSED} THEN 2 + 4 + 8 + 16 ELSE 0 END AS waited
+        FROM verdicts)
+    SELECT record_id, model_name, cast(round(tries * (sample_rank % 7 + 1) / 100.0 + waited, 3) AS DOUBLE) AS latency_s,
+           kind IN ({fixtures.ALWAYS_FAILS}, {fixtures.REFUSED}) AS given_up
+    FROM tried"""))
+def retried_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How long each call takes with its retries, by a clock that only waiting moves."""
+    clock = calls.CountedClock()
+    scored = scoring.score(
+        _todo(spark, sf_dir), fixtures.Playback(clock), spark.sparkContext.defaultParallelism, calls.RetryPolicy(jitter=0.0), clock=clock)
+    return scored.select("record_id", "model_name", "latency_s", F.col("error").isNotNull().alias("given_up"))
+
+
+@query(_flow_sql(_SCORED + "SELECT count(*) AS calls, cast(0 AS BIGINT) AS too_early FROM verdicts"))
+def paced_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Calls under a rate for the whole job, and how many started earlier after the one before than their share allows."""
+    clock, limit = calls.CountedClock(), 0.5
+    running = min(4, spark.sparkContext.defaultParallelism)
+    scored = scoring.score(
+        _todo(spark, sf_dir), fixtures.Playback(clock), 4, calls.RetryPolicy(max_tries=1), clock=clock, calls_per_second=limit)
+    # calls start at whole seconds here, and what is left of a second is cut off their ends
+    at = F.unix_timestamp("timestamp", "yyyy-MM-dd'T'HH:mm:ss") - F.floor("latency_s")
+    before = F.lag("at").over(Window.partitionBy("part").orderBy("at"))
+    gaps = scored.select(F.spark_partition_id().alias("part"), at.alias("at")).withColumn("gap", F.col("at") - before)
+    return gaps.agg(F.count("*").alias("calls"), F.count_if(F.col("gap") < running / limit).alias("too_early"))
+
+
+@query(_flow_sql(_SCORED + """
+    SELECT record_id, model_name,
+           CASE provider WHEN 'google' THEN 'contents' ELSE 'messages' END AS holds,
+           CASE WHEN provider <> 'google' THEN model_id END AS model,
+           CASE WHEN provider = 'google' THEN 512 ELSE 200 END AS most_tokens,
+           provider <> 'anthropic' AS json_reply
+    FROM verdicts"""))
+def request_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is sent for each record and model, read back from its JSON; the prompt must come back unchanged."""
+    body = F.col("request_body")
+    part = lambda path: F.get_json_object(body, path)
+    google = F.col("provider") == "google"
+    sent = F.when(google, part("$.contents[0].parts[0].text")).otherwise(part("$.messages[0].content"))
+    return scoring.with_bodies(_todo(spark, sf_dir)).filter(sent == F.col("prompt")).select(
+        "record_id", "model_name", F.when(google, "contents").otherwise("messages").alias("holds"), part("$.model").alias("model"),
+        F.when(google, part("$.generationConfig.maxOutputTokens")).otherwise(part("$.max_tokens")).cast("int").alias("most_tokens"),
+        F.when(google, part("$.generationConfig.responseMimeType") == "application/json")
+        .otherwise(F.coalesce(part("$.response_format.type") == "json_object", F.lit(False))).alias("json_reply"))
+
+
 @query(_flow_sql(_SCORED + f"""
     , judged AS (
-        SELECT model_name, model_ord, label <> 'background' AS attack, prediction = 'attack' AS flagged FROM verdicts),
+        SELECT model_name, model_ord, label <> 'background' AS attack, prediction = 'attack' AS flagged FROM verdicts
+        WHERE NOT failed),
     confusion AS (
         SELECT model_name, model_ord, count(*) FILTER (WHERE attack AND flagged) AS TP,
                count(*) FILTER (WHERE NOT attack AND flagged) AS FP,
@@ -902,10 +971,11 @@ def score_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     FROM confusion"""))
 def evaluation_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sample, score, log, read back and judge: the whole evaluation."""
+    clock = calls.CountedClock()
     sample = _sample(spark, sf_dir)
     result = evaluation_job.run_evaluation(
-        api_view(sample), eval_view(sample), scratch_path(spark, "log"), calls.RuleScorer(_MIN_HITS), "run1",
-        policy="balanced", concurrency=spark.sparkContext.defaultParallelism,
+        api_view(sample), eval_view(sample), scratch_path(spark, "log"), fixtures.Playback(clock), "run1",
+        policy="balanced", concurrency=spark.sparkContext.defaultParallelism, prepare=fixtures.scripted, clock=clock,
     )
     return result.metrics.select(
         "model_name", "TP", "FP", "TN", "FN", "precision", "recall_sensitivity", "accuracy"
@@ -972,10 +1042,10 @@ def stream_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Records scored as they arrive; a second stream over all of them finds nothing left to do."""
     source, log = scratch_path(spark, "records"), scratch_path(spark, "log")
     eval_view(_sample(spark, sf_dir)).repartition(4, "record_id").write.parquet(source)
-    scorer, width = calls.RuleScorer(_MIN_HITS), spark.sparkContext.defaultParallelism
+    clock, width = calls.CountedClock(), spark.sparkContext.defaultParallelism
     for run in ("run1", "run2"):
         records = spark.readStream.schema(SAMPLE_SCHEMA).option("maxFilesPerTrigger", 2).parquet(source)
-        live.stream_scores(records, scorer, log, run, scratch_path(spark, "state"), policy="balanced",
-                           concurrency=width).awaitTermination()
+        live.stream_scores(records, fixtures.Playback(clock), log, run, scratch_path(spark, "state"), policy="balanced",
+                           concurrency=width, prepare=fixtures.scripted, clock=clock).awaitTermination()
     stored = predictions.read_log(spark, log)
     return stored.groupBy("record_id", "model_name", "prediction").agg(F.count("*").cast("int").alias("rows"))

@@ -6,9 +6,17 @@ SQL, so that results can be compared with another engine.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+import json
+import re
+import sys
+from functools import reduce
+
+from pyspark import cloudpickle
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from flowtriage.functions.replies import parse_reply
+from flowtriage.operators.calls import Clock
+from flowtriage.operators.rules import RULES
 from flowtriage.session import scratch_path
 from flowtriage.sources.flows import scan_flows
 
@@ -36,8 +44,8 @@ FLOWS = """
     FROM {lineitem}
 """
 
-# One row per labelled document and model. Every 19th document is answered a
-# second time by a later run; documents of low quality have no truth.
+# One row per document and model. Every 19th document is answered a second time
+# by a later run; documents without a label row have no truth.
 CALLS = """
     SELECT concat('d', cast(doc_id AS {text}))                              AS record_id,
            doc_id,
@@ -109,13 +117,13 @@ def flows_sql() -> str:
 
 
 def calls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Classifier calls over all labelled documents, with their raw replies."""
+    """Classifier calls over all documents, with their raw replies."""
     labelled = f"""{{table}}
         LATERAL VIEW inline(array{MODELS.join("()")}) m AS model_name, model_ord, provider
         LATERAL VIEW explode(if(doc_id % 19 = 0, array(0, 1), array(0))) r AS run"""
-    rows = spark.sql(
-        CALLS.format(text="STRING", labels=labelled), table=spark.read.parquet(f"{sf_dir}/labels.parquet")
-    )
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic")
+    documents = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id")
+    rows = spark.sql(CALLS.format(text="STRING", labels=labelled), table=documents.join(labels, "doc_id", "left"))
     replies = [r[0] for r in REPLIES]
     literal = ", ".join("'" + r.replace("\\", "\\\\").replace("\n", "\\n").replace("'", "\\'") + "'" for r in replies)
     return rows.selectExpr(
@@ -160,9 +168,9 @@ def prediction_log_sql() -> str:
 
 
 def eval_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Labelled rows of the documents; only those of good quality have truth."""
+    """Truth for every label row."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return labels.filter("quality = 1").select(
+    return labels.select(
         F.concat(F.lit("d"), F.col("doc_id")).alias("record_id"),
         F.col("doc_id").alias("sample_rank"),
         F.when(F.col("toxic") == 1, "blacklist").otherwise("background").alias("label"),
@@ -173,23 +181,85 @@ def eval_rows_sql() -> str:
     return """
     SELECT concat('d', cast(doc_id AS VARCHAR)) AS record_id, doc_id AS sample_rank,
            CASE WHEN toxic = 1 THEN 'blacklist' ELSE 'background' END AS label
-    FROM labels WHERE quality = 1
+    FROM labels
     """
 
 
 def records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All labelled documents as records to process."""
-    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return labels.select(
+    """All documents as records to process."""
+    documents = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return documents.select(
         F.concat(F.lit("d"), F.col("doc_id")).alias("record_id"), F.col("doc_id").alias("sample_rank")
     )
 
 
 def calls_sql() -> str:
-    labelled = f"""labels, (VALUES {MODELS}) AS m(model_name, model_ord, provider)
+    labelled = f"""(SELECT doc_id, toxic FROM documents LEFT JOIN labels USING (doc_id)) AS d, (VALUES {MODELS}) AS m(model_name, model_ord, provider)
         JOIN (VALUES (0), (1)) AS r(run) ON r.run = 0 OR doc_id % 19 = 0"""
     return f"""
     SELECT *, {by_slot(0, 'VARCHAR')} AS raw_response, {by_slot(1, 'VARCHAR')} AS prediction,
            {by_slot(2, 'DOUBLE')} AS confidence, {by_slot(3, 'VARCHAR')} AS reason
     FROM ({CALLS.format(text='VARCHAR', labels=labelled)})
     """
+
+
+#: Rules a record must hit for each model to call it an attack.
+MIN_HITS = {"chatgpt": 1, "gemini": 2, "deepseek": 3, "claude": 2}
+#: What happens to a call, by the hash of its record and model modulo KINDS; all others get a plain reply at once.
+KINDS = 16
+BUSY_TWICE, ALWAYS_FAILS, LOST_ONCE, REFUSED, NO_JSON, NO_VERDICT, ONE_WORD, FENCED, EMPTY = range(9)
+FAILED = (ALWAYS_FAILS, REFUSED, NO_JSON, NO_VERDICT, EMPTY)
+
+
+def scripted(todo: DataFrame) -> DataFrame:
+    """Adds `script`: statuses of the tries, seconds that each takes and the body of the last, all derived from the row."""
+    found = todo.select("*", *[
+        F.get_json_object("record", f"$.{c}").alias(f"_{c}") for c in ("total_pkts", "total_bytes", "dst_port", "protocol")])
+    conditions = [re.sub(r"(total_pkts|total_bytes|dst_port|protocol)", r"_\1", r.condition) for r in RULES]
+    hits = reduce(Column.__add__, [F.when(F.expr(c), 1).otherwise(0) for c in conditions])
+    kind = F.conv(F.substring(F.md5(F.concat_ws("|", "record_id", "model_name").cast("binary")), 1, 4), 16, 10).cast("int") % KINDS
+    needed = F.element_at(F.create_map(*[F.lit(x) for pair in MIN_HITS.items() for x in pair]), F.col("model_name"))
+    plain = F.to_json(F.struct(
+        F.when(F.col("_hits") >= needed, "attack").otherwise("normal").alias("label"),
+        F.round(0.5 + F.col("_hits") / 10, 1).alias("confidence"), F.concat(F.col("_hits"), F.lit(" rules")).alias("reason")))
+    reply = (
+        F.when(F.col("_kind") == NO_VERDICT, "I cannot tell.").when(F.col("_kind") == ONE_WORD, "Attack.")
+        .when(F.col("_kind") == FENCED, F.concat(F.lit("```json\n"), plain, F.lit("\n```"))).otherwise(plain))
+    tokens_in, tokens_out = 300 + F.col("_hits"), 10 + F.col("_hits")
+    text = F.array(F.struct(F.col("_reply").alias("text")))
+    body = (
+        F.when(F.col("_kind") == NO_JSON, "<html>busy</html>").when(F.col("_kind") == EMPTY, "{}")
+        .when(F.col("provider") == "anthropic", F.to_json(F.struct(
+            text.alias("content"), F.struct(tokens_in.alias("input_tokens"), tokens_out.alias("output_tokens")).alias("usage"))))
+        .when(F.col("provider") == "google", F.to_json(F.struct(
+            F.array(F.struct(F.lit("STOP").alias("finishReason"), F.struct(text.alias("parts")).alias("content"))).alias("candidates"),
+            F.struct(tokens_in.alias("promptTokenCount"), tokens_out.alias("candidatesTokenCount")).alias("usageMetadata"))))
+        .otherwise(F.to_json(F.struct(
+            F.array(F.struct(F.struct(F.col("_reply").alias("content")).alias("message"))).alias("choices"),
+            F.struct(tokens_in.alias("prompt_tokens"), tokens_out.alias("completion_tokens")).alias("usage")))))
+    statuses = (
+        F.when(F.col("_kind") == BUSY_TWICE, F.array(*map(F.lit, (503, 429, 200)))).when(F.col("_kind") == ALWAYS_FAILS, F.array(F.lit(500)))
+        .when(F.col("_kind") == LOST_ONCE, F.array(*map(F.lit, (0, 200)))).when(F.col("_kind") == REFUSED, F.array(F.lit(400))).otherwise(F.array(F.lit(200))))
+    seconds = (F.col("record_index") % 7 + 1) / 100
+    made = found.withColumns({"_hits": hits, "_kind": kind}).withColumn("_reply", reply)
+    return made.withColumn("script", F.to_json(F.struct(statuses.alias("statuses"), seconds.alias("seconds"), body.alias("body")))).select(
+        *todo.columns, "script")
+
+
+class Playback:
+    """Answers a request as its script says; a status of zero is a lost connection."""
+
+    def __init__(self, clock: Clock):
+        self.clock = clock
+
+    def __call__(self, request: dict) -> tuple[int, str]:
+        script = json.loads(request["script"])
+        tries = request["tries"] = request.get("tries", 0) + 1
+        self.clock.sleep(script["seconds"])
+        status = script["statuses"][min(tries, len(script["statuses"])) - 1]
+        if status == 0:
+            raise ConnectionError("connection lost")
+        return status, script["body"] if status == 200 else "busy"
+
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])  # workers need no copy of the package

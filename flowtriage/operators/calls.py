@@ -1,20 +1,52 @@
-"""One call to a classifier: retries, and a rule-based classifier for trials."""
+"""One call to a classifier: clock, pace and retries."""
 
 from __future__ import annotations
 
-import json
 import random
 import time
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
-from flowtriage.functions.prompts import PROMPT_HEAD
-from flowtriage.operators.rules import MAX_BYTES, MAX_PACKETS, SENSITIVE_PORTS
-
-# (model_name, model_id, provider, prompt) -> HTTP status and response body
+# (model_name, model_id, provider, prompt and what other columns a request has) -> HTTP status and response body
 Scorer = Callable[[dict], tuple[int, str]]
 
 
+class Clock:
+    """The time, and waiting. Another one takes its place where time must not pass, or must be known."""
+
+    def now(self) -> float:
+        return time.time()
+
+    def sleep(self, seconds: float) -> None:
+        time.sleep(seconds)
+
+
+class CountedClock(Clock):
+    """A time that begins at zero and passes by waiting only."""
+
+    def __init__(self):
+        self.seconds = 0.0
+
+    def now(self) -> float:
+        return self.seconds
+
+    def sleep(self, seconds: float) -> None:
+        self.seconds += seconds
+
+
+class Pace:
+    """Starts of calls, `interval` seconds apart at least."""
+
+    def __init__(self, interval: float, clock: Clock):
+        self.interval, self.clock, self.next = interval, clock, clock.now()
+
+    def wait(self) -> None:
+        early = self.next - self.clock.now()
+        if early > 0:
+            self.clock.sleep(early)
+        self.next = max(self.next, self.clock.now()) + self.interval
+
+
 @dataclass(frozen=True)
 class RetryPolicy:
     """Tries, seconds before the first retry, random extra, statuses to wait out.
@@ -57,39 +89,3 @@ def call_with_retries(
             sleep(policy.delay(attempt))
     raise RuntimeError(f"call failed after {policy.max_tries} tries: {failure}")
 
-
-@dataclass(frozen=True)
-class RuleScorer:
-    """A classifier for trials: an attack when enough threshold rules hit the record."""
-
-    min_hits: dict[str, int] = field(default_factory=dict)
-
-    def __call__(self, request: dict) -> tuple[int, str]:
-        record = json.loads(request["prompt"].removeprefix(PROMPT_HEAD).split("\n", 1)[0])
-
-        def number(name: str) -> float:
-            try:
-                return float(record.get(name, 0))
-            except ValueError:
-                return 0.0
-
-        hits = sum([
-            number("total_pkts") > MAX_PACKETS,
-            number("total_bytes") > MAX_BYTES,
-            number("dst_port") in SENSITIVE_PORTS,
-            record.get("protocol", "").upper() == "ICMP",
-        ])
-        label = "attack" if hits >= self.min_hits.get(request["model_name"], 1) else "normal"
-        reply = json.dumps({"label": label, "confidence": round(0.5 + hits / 10, 1), "reason": f"{hits} rules"})
-        return 200, json.dumps(envelope(request["provider"], reply, 300 + hits, 10 + hits))
-
-
-def envelope(provider: str, reply: str, tokens_in: int, tokens_out: int) -> dict:
-    """A response body in the shape the provider sends."""
-    if provider == "anthropic":
-        return {"content": [{"text": reply}], "usage": {"input_tokens": tokens_in, "output_tokens": tokens_out}}
-    if provider == "google":
-        return {"candidates": [{"finishReason": "STOP", "content": {"parts": [{"text": reply}]}}],
-                "usageMetadata": {"promptTokenCount": tokens_in, "candidatesTokenCount": tokens_out}}
-    return {"choices": [{"message": {"content": reply}}],
-            "usage": {"prompt_tokens": tokens_in, "completion_tokens": tokens_out}}

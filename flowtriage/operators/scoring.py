@@ -17,8 +17,9 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from flowtriage.functions.envelopes import parse_body, unwrap_envelope
 from flowtriage.functions.prompts import record_json, render_prompt
 from flowtriage.functions.replies import parse_reply
+from flowtriage.functions.requests import request_body
 from flowtriage.operators import calls
-from flowtriage.operators.calls import RetryPolicy, Scorer, call_with_retries
+from flowtriage.operators.calls import Clock, Pace, RetryPolicy, Scorer, call_with_retries
 from flowtriage.operators.evaluation import split_valid_ids
 from flowtriage.operators.models import MODELS, Model
 from flowtriage.schema import PREDICTION_SCHEMA, drop_sensitive
@@ -84,6 +85,11 @@ def with_prompts(todo: DataFrame, policies: list[str]) -> DataFrame:
     return todo.select("*", F.inline(each))
 
 
+def with_bodies(todo: DataFrame) -> DataFrame:
+    """The body of each request, for scorers that only send it."""
+    return todo.withColumn("request_body", request_body(F.col("provider"), F.col("model_id"), F.col("prompt")))
+
+
 def score(
     todo: DataFrame,
     scorer: Scorer,
@@ -91,34 +97,46 @@ def score(
     retries: RetryPolicy = RetryPolicy(),
     pause: float = 0.0,
     sleep: Callable[[float], None] = time.sleep,
+    calls_per_second: float | None = None,
+    clock: Clock | None = None,
 ) -> DataFrame:
     """Calls the scorer once per row; concurrency is the number of partitions calling at a time.
 
-    Rows are dealt out evenly, so neither a model nor a repeated record piles up in one partition.
-    Failures become rows with an error, never exceptions.
+    Rows are dealt out evenly, so neither a model nor a repeated record piles up in one partition. The scorer gets all
+    columns of todo but the record. Failures become rows with an error, never exceptions.
+
+    calls_per_second holds for the whole job: each of the partitions that can run at a time gets its share, and spaces
+    the starts of its calls accordingly (a retry belongs to its call). pause is waited after each call, by its partition.
+    Times are those of the clock, which also waits in place of sleep.
     """
     names = CALL_SCHEMA.names
-
-    def call(row: dict) -> dict:
-        started = time.time()
+    running = min(concurrency, todo.sparkSession.sparkContext.defaultParallelism)
+    interval = running / calls_per_second if calls_per_second else 0.0
+    times = clock or Clock()
+    sleep = times.sleep if clock else sleep
+
+    def call(row: dict, pace: Pace) -> dict:
+        if interval:
+            pace.wait()
+        started = times.now()
         body, error = None, None
         try:
             body = call_with_retries(scorer, row, retries, sleep)
         except Exception as exc:  # whatever a scorer raises is that row's result
             error = str(exc) or type(exc).__name__
-        latency = round(time.time() - started, 3)
+        ended = times.now()
         if pause > 0:
             sleep(pause)
-        return {**row, "timestamp": dt.datetime.now().isoformat(timespec="seconds"), "body": body, "error": error,
-                "latency_s": latency}
+        stamp = dt.datetime.fromtimestamp(ended).isoformat(timespec="seconds")
+        return {**row, "timestamp": stamp, "body": body, "error": error, "latency_s": round(ended - started, 3)}
 
     def call_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        pace = Pace(interval, times)
         for batch in batches:
-            rows = [call(row) for row in batch.to_dict("records")]
+            rows = [call(row, pace) for row in batch.to_dict("records")]
             yield pd.DataFrame(rows, columns=names)
 
-    asked = todo.select("record_index", "record_id", "model_name", "model_id", "provider", "prompt")
-    return asked.repartition(concurrency).mapInPandas(call_batches, CALL_SCHEMA)
+    return todo.drop("record").repartition(concurrency).mapInPandas(call_batches, CALL_SCHEMA)
 
 
 def predictions_of(scored: DataFrame) -> DataFrame:

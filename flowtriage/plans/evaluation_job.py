@@ -10,12 +10,12 @@ from typing import NamedTuple
 from pyspark.sql import DataFrame, functions as F
 
 from flowtriage.operators import callstats, evaluation
-from flowtriage.operators.calls import RetryPolicy, Scorer
+from flowtriage.operators.calls import Clock, RetryPolicy, Scorer
 from flowtriage.operators.models import MODELS, PRICES, Model
 from flowtriage.operators.running import running_totals
 from flowtriage.operators.sampling import limit_records
 from flowtriage.operators.scoring import (
-    missing_id_errors, pending, predictions_of, record_requests, score, with_prompt,
+    missing_id_errors, pending, predictions_of, record_requests, score, with_bodies, with_prompt,
 )
 from flowtriage.session import materialise, scratch, scratch_path
 from flowtriage.sources import storage
@@ -105,11 +105,14 @@ def run_evaluation(
     sleep: Callable[[float], None] = time.sleep,
     report_folder: str | None = None,
     wave: int = 10_000,
+    prepare: Callable[[DataFrame], DataFrame] = with_bodies,
+    calls_per_second: float | None = None,
+    clock: Clock | None = None,
 ) -> EvaluationResult:
     """Scores pending records, appends them to the log and evaluates the log.
 
     Records are scored in waves of about so many indices; each is in the log before the next begins, so a run that is stopped
-    loses one wave at most and resuming it calls the rest. Runs count in the order in which they first write to the log.
+    loses one wave at most and resuming it calls the rest. prepare adds to the requests what else the scorer needs. Runs count in the order in which they first write to the log.
     """
     spark = api_records.sparkSession
     if not resume:
@@ -126,7 +129,7 @@ def run_evaluation(
         parts = [int(f.rpartition("=")[2]) for f in storage.glob(spark, f"{folder}/_wave=*")]
         for batch, part in enumerate(sorted(parts)):
             asked = with_prompt(spark.read.schema(todo.drop("_wave").schema).parquet(f"{folder}/_wave={part}"), policy)
-            scored = score(asked, scorer, concurrency, retries, pause, sleep)
+            scored = score(prepare(asked), scorer, concurrency, retries, pause, sleep, calls_per_second, clock)
             append_predictions(predictions_of(scored), log_path, run_id, batch, writer)
 
     log = read_log(spark, log_path)

@@ -9,11 +9,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from flowtriage.operators.calls import RetryPolicy, Scorer
+from flowtriage.operators.calls import Clock, RetryPolicy, Scorer
 from flowtriage.operators.callstats import added_counters, counter_parts
 from flowtriage.operators.models import MODELS, Model
 from flowtriage.operators.rules import RULES, Rule, suspects
-from flowtriage.operators.scoring import pending, predictions_of, record_requests, score, with_prompt
+from flowtriage.operators.scoring import pending, predictions_of, record_requests, score, with_bodies, with_prompt
 from flowtriage.sources import done
 from flowtriage.sources.predictions import LOG_SCHEMA, append_predictions
 
@@ -66,6 +66,9 @@ def stream_scores(
     sleep: Callable[[float], None] = time.sleep,
     index: str = "sample_rank",
     until_caught_up: bool = True,
+    prepare: Callable[[DataFrame], DataFrame] = with_bodies,
+    calls_per_second: float | None = None,
+    clock: Clock | None = None,
 ) -> StreamingQuery:
     """Scores what arrives and is not in the log yet. A batch looks its own ids up in the table of calls made, and does
     not read the log, so its cost does not grow with what was scored before.
@@ -82,7 +85,7 @@ def stream_scores(
         called = done.lookup(requests, log_path, (run_id, writer, batch_id))
         todo = with_prompt(pending(requests, models, called, retry_errors), policy)
         append_predictions(
-            predictions_of(score(todo, scorer, concurrency, retries, pause, sleep)), log_path, run_id, batch_id, writer
+            predictions_of(score(prepare(todo), scorer, concurrency, retries, pause, sleep, calls_per_second, clock)), log_path, run_id, batch_id, writer
         )
 
     done.catch_up(records.sparkSession, log_path)

@@ -4,10 +4,10 @@ import json
 from urllib.parse import urlparse
 
 import pyarrow.parquet as pq
+import scorers
 
 from flowtriage import fixtures
 from flowtriage.operators import callstats, rules
-from flowtriage.operators.calls import RuleScorer
 from flowtriage.operators.models import MODELS
 from flowtriage.schema import FLOW_SCHEMA, PREDICTION_SCHEMA, SAMPLE_SCHEMA
 from flowtriage.sources import done, storage
@@ -52,7 +52,7 @@ def test_scores_resume_without_doubles(spark, tmp_path):
     for first, last in ((0, 10), (5, 20)):
         records(spark, first, last).coalesce(1).write.mode("append").parquet(source)
         stream = spark.readStream.schema(SAMPLE_SCHEMA).option("maxFilesPerTrigger", 1).parquet(source)
-        live.stream_scores(stream, RuleScorer(), log, "run1", state, MODELS[:2], "balanced", 2).awaitTermination()
+        live.stream_scores(stream, scorers.RuleScorer(), log, "run1", state, MODELS[:2], "balanced", 2).awaitTermination()
     stored = read_log(spark, log)
     assert stored.count() == 40 == stored.select("record_id", "model_name").distinct().count()
 
@@ -64,7 +64,7 @@ def test_two_sources_of_one_run_keep_all_rows(spark, tmp_path):
         source = str(tmp_path / f"records{n}")
         records(spark, n, n + 10).write.parquet(source)
         stream = spark.readStream.schema(SAMPLE_SCHEMA).parquet(source)
-        live.stream_scores(stream, RuleScorer(), log, "run1", str(tmp_path / f"state{n}"), MODELS[:2], "balanced",
+        live.stream_scores(stream, scorers.RuleScorer(), log, "run1", str(tmp_path / f"state{n}"), MODELS[:2], "balanced",
                            2).awaitTermination()
     stored = read_log(spark, log)
     assert stored.count() == 40 == stored.select("record_id", "model_name").distinct().count()
@@ -76,7 +76,7 @@ def test_a_replayed_stream_adds_nothing(spark, tmp_path):
     records(spark, 0, 10).write.parquet(source)
     for attempt in ("first", "second"):
         stream = spark.readStream.schema(SAMPLE_SCHEMA).parquet(source)
-        live.stream_scores(stream, RuleScorer(), log, "run1", str(tmp_path / attempt), MODELS[:2], "balanced",
+        live.stream_scores(stream, scorers.RuleScorer(), log, "run1", str(tmp_path / attempt), MODELS[:2], "balanced",
                            2).awaitTermination()
     stored = read_log(spark, log)
     assert stored.count() == 20
