@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import sys
 from collections import Counter
 from functools import reduce
@@ -18,7 +19,13 @@ STATS = [
 ]
 SYMBOLS = "#*$%&|<>"
 #: At most so many labelled rows are fitted, the first by hash of their id.
-MOST_ROWS, CUTS, LEAST_PRECISION, LEAST_COVERED, MOST_RULES, MOST_CONDITIONS = 20_000, 48, 0.95, 5, 16, 4
+MOST_ROWS, CUTS, MOST_RULES, MOST_CONDITIONS = 20_000, 48, 16, 4
+#: Of the rows a rule marks that it was not grown on, this share must be bad, and as many by chance at most so likely.
+LEAST_PRECISION, LEVEL = 0.95, 0.01
+#: Rules that fail this before learning ends.
+MOST_FAILURES = 32
+#: The base fails texts of fewer words, or with more than this share of words in repeated windows.
+LEAST_WORDS, MOST_REPEATED = 50, 50
 NOT_UPPER, NOT_DIGIT = UPPER.encode(), b"0123456789"
 
 
@@ -95,37 +102,60 @@ def _grown(x: dict[str, np.ndarray], bad: np.ndarray) -> Rule:
 
 
 def _pruned(rule: Rule, x: dict[str, np.ndarray], bad: np.ndarray) -> Rule:
-    """The beginning of a rule that separates rows it was not grown on best, the shortest of equals."""
+    """The beginning or the end of a rule that separates rows it was not grown on best, the shortest of equals."""
     def worth(part: Rule) -> float:
         inside = _holds(part, x)
         return ((inside & bad).sum() - (inside & ~bad).sum()) / max(inside.sum(), 1)
 
-    return max((rule[:k] for k in range(1, len(rule) + 1)), key=lambda part: (worth(part), -len(part)))
+    parts = [rule[:k] for k in range(1, len(rule) + 1)] + [rule[k:] for k in range(1, len(rule))]
+    return max(parts, key=lambda part: (worth(part), -len(part)))
+
+
+def chance(hits: int, n: int, share: float) -> float:
+    """How likely n rows, each bad with that likelihood, have so many bad ones or more."""
+    logs = [
+        math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1) + k * math.log(share) + (n - k) * math.log1p(-share)
+        for k in range(hits, n + 1)] if 0 < share < 1 else [0.0]
+    return min(1.0, sum(map(math.exp, logs)))
 
 
 def learn(x: dict[str, np.ndarray], bad: np.ndarray) -> list[Rule]:
-    """Rules for bad rows in order. Each is grown on two rows in three that no rule covers yet and pruned on the rest;
-    learning ends when a rule is not precise enough on the rest or covers too little. No bad rows give no rules."""
-    rules, left = [], np.ones(len(bad), bool)
+    """Rules for bad rows in order. Each is grown on two rows in three that no rule covers yet and pruned on the rest.
+
+    It counts if what it marks of the rest is precise, and more than chance would give among so many rows; so the test
+    fits few labels as well as many. The bad rows that a failed rule was grown on are not grown on again, and learning
+    goes on with the others. No bad rows give no rules.
+    """
+    rules, left, given_up, failures = [], np.ones(len(bad), bool), np.zeros(len(bad), bool), 0
     third = np.arange(len(bad)) % 3 == 2
-    while len(rules) < MOST_RULES:
-        grow, check = left & ~third, left & third
-        if (grow & bad).sum() < LEAST_COVERED:
+    while len(rules) < MOST_RULES and failures < MOST_FAILURES:
+        grow, check = left & ~third & ~given_up, left & third
+        if not (grow & bad).any() or not check.any():
             break
         rule = _grown({k: v[grow] for k, v in x.items()}, bad[grow])
         if not rule:
             break
         rule = _pruned(rule, {k: v[check] for k, v in x.items()}, bad[check])
-        inside = _holds(rule, x) & check
-        if (inside & bad).sum() < LEAST_COVERED or (inside & bad).sum() < LEAST_PRECISION * inside.sum():
-            break
-        rules.append(rule)
-        left &= ~_holds(rule, x)
+        covered = _holds(rule, x)
+        inside = covered & check
+        hits, n = int((inside & bad).sum()), int(inside.sum())
+        if hits and hits >= LEAST_PRECISION * n and chance(hits, n, bad[check].mean()) <= LEVEL:
+            rules.append(rule)
+            left &= ~covered
+        else:
+            given_up |= covered & grow & bad
+            failures += 1
     return rules
 
 
+def base_fails(prefix: str = "") -> Column:
+    """What needs no learning, over columns named as in STATS."""
+    words, repeated = F.col(f"{prefix}n_words"), F.col(f"{prefix}n_repeat_words")
+    return (words < LEAST_WORDS) | (100 * repeated > MOST_REPEATED * words)
+
+
 def learned_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", most_rows: int = MOST_ROWS) -> list[Rule]:
-    """Rules from documents with a label; at most `most_rows` rows of nine numbers reach the driver.
+    """Rules from documents with a label that the base keeps; at most `most_rows` rows of nine numbers reach the driver.
 
     Rows with a null id or a null label teach nothing; of no labels come no rules.
     """
@@ -136,7 +166,7 @@ def learned_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     )
     rows = plain.df.join(F.broadcast(chosen), F.col(plain[id_col]) == F.col("_label_id"))
     rows = rows.select("_quality", F.xxhash64("_label_id").alias("_order"), stats_of(F.col(plain[text_col])).alias("_s"))
-    table = rows.select("_quality", "_order", "_s.*").select("_quality", "_order", *[c.alias(n) for n, c in features().items()])
+    table = rows.select("_quality", "_order", "_s.*").filter(~base_fails()).select("_quality", "_order", *[c.alias(n) for n, c in features().items()])
     found = table.orderBy("_order", "_quality", *features()).limit(most_rows).toPandas()
     return learn({name: found[name].to_numpy(float) for name in features()}, (found["_quality"] == 0).to_numpy())
 
@@ -159,9 +189,8 @@ def judge(docs: DataFrame, rules: list[Rule], id_col: str = "doc_id", text_col:
     """
     plain = Plain(bound_batches(docs))
     rows = plain.df.withColumn("_s", stats_of(F.col(plain[text_col]))).select("*", *[F.col(f"_s.{n}").alias(f"_{n}") for n in STATS])
-    failed = (F.col("_n_words") < 50) | (100 * F.col("_n_repeat_words") > 50 * F.col("_n_words"))
     return plain.restore(
-        rows, **{n: F.col(f"_{n}") for n in STATS}, base_failed=failed, kept=~failed & verdict(rules, "_"))
+        rows, **{n: F.col(f"_{n}") for n in STATS}, base_failed=base_fails("_"), kept=~base_fails("_") & verdict(rules, "_"))
 
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
