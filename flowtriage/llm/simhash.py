@@ -94,33 +94,46 @@ def _mask(bits) -> int:
 
 
 def paired_bucket(most: int) -> int:
-    """Up to which size buckets are compared pair by pair: it grows as a fingerprint has more neighbours to be linked over."""
-    return PAIRED_BUCKET * (most // 2) ** 3
+    """Up to which size buckets are compared pair by pair (64 for two bits, 4,096 for four): a fingerprint has 65 or 2,081
+    neighbours to be linked over otherwise, each a row, which costs far more than a comparison."""
+    return PAIRED_BUCKET * (most // 2) ** 6
 
 
-def _same_value_pairs(prints: DataFrame, groups: list[list[int]], most: int) -> dict[int, float]:
-    """For each group of bits the pairs of fingerprints equal in it that bounded buckets give, over all fingerprints."""
+def _bucket_sizes(prints: DataFrame, groups: list[list[int]]) -> dict[int, list[tuple[float, float]]]:
+    """For each group of bits the fingerprints by the size of the bucket of those equal in it: mean size and number, per
+    power of two; a few dozen numbers for each group reach the driver."""
     keyed = prints.select(F.explode(F.array(*[
         F.struct(F.lit(g).alias("g"), F.col("fp").bitwiseAND(F.lit(_mask(bits))).alias("key")) for g, bits in enumerate(groups)])).alias("s"))
     sizes = keyed.groupBy("s.g", "s.key").agg(F.count("*").cast("double").alias("n"))
-    pairs = sizes.groupBy("g").agg(F.sum(F.col("n") * F.least(F.col("n") - 1, F.lit(float(paired_bucket(most)))) / 2).alias("pairs"))
-    return {r["g"]: r["pairs"] for r in pairs.collect()}
+    found = sizes.groupBy("g", F.floor(F.log2("n")).alias("power")).agg(F.sum("n").alias("rows"), F.sum(F.col("n") * F.col("n")).alias("squares"))
+    result: dict[int, list[tuple[float, float]]] = {}
+    for row in found.collect():
+        result.setdefault(row["g"], []).append((row["squares"] / row["rows"], row["rows"]))
+    return result
 
 
-def _cost(rows: int, pairs: float, chance: np.ndarray, t: int) -> float:
-    """Signatures and estimated candidates of one group at threshold t; -1 leaves the group out.
+#: What it costs to compare two fingerprints of a bucket, in rows that are made, shuffled, sorted and joined.
+COMPARED = 0.05
+
+
+def _cost(rows: int, sizes: list[tuple[float, float]], chance: np.ndarray, t: int, most: int = MOST_BITS) -> float:
+    """Estimated cost, in rows, of one group at threshold t: signatures, candidates, neighbours of crowded buckets; -1 leaves it out.
 
     chance: how likely two fingerprints differ in each bit. Pairs that differ in s bits of a group are estimated from
-    those that are equal in it, by the odds of a difference in each bit.
+    those that are equal in it, by the odds of a difference in each bit; buckets grow likewise.
     """
     if t < 0:
         return 0.0
-    pairs = max(pairs, rows * rows / 2 * np.prod(1 - chance))
     odds, sums = chance / np.maximum(1 - chance, 1e-9), np.zeros(t + 1)
     sums[0] = 1.0
     for o in odds:
         sums[1:] += sums[:-1].copy() * o
-    return rows * sum(comb(len(chance), s) for s in range(t + 1)) + pairs * sums.sum()
+    growth, paired = sums.sum(), paired_bucket(most)
+    pairs = sum(r * (n - 1) / 2 for n, r in sizes if n * growth <= paired)
+    pairs = max(pairs, rows * min(rows * np.prod(1 - chance), paired) / 2) * growth
+    crowded = sum(r for n, r in sizes if n * growth > paired)
+    around = sum(comb(BITS, i) for i in range(most // 2 + 1))
+    return rows * sum(comb(len(chance), s) for s in range(t + 1)) + COMPARED * pairs + around * crowded
 
 
 def thresholds(costs: list[dict[int, float]], total: int) -> tuple[float, list[int]]:
@@ -146,11 +159,11 @@ def search_plan(prints: DataFrame, most: int = MOST_BITS) -> list[tuple[list[int
     p = np.diag(both) / max(rows, 1)
     chance = 2 * p * (1 - p)
     choices = [correlated_groups(rows, both, m) for m in range(1, most + 2)]
-    pairs = _same_value_pairs(prints, [g for groups in choices for g in groups], most)
+    sizes = _bucket_sizes(prints, [g for groups in choices for g in groups])
     plans, at = [], 0
     for groups in choices:
         costs = [
-            {t: _cost(rows, pairs.get(at + i, 0.0), chance[bits], t) for t in range(-1, most + 1)} for i, bits in enumerate(groups)]
+            {t: _cost(rows, sizes.get(at + i, []), chance[bits], t, most) for t in range(-1, most + 1)} for i, bits in enumerate(groups)]
         at += len(groups)
         price, chosen = thresholds(costs, most - len(groups) + 1)
         plans.append((price, len(groups), list(zip(groups, chosen))))
@@ -164,8 +177,8 @@ def _links(prints: DataFrame, most: int) -> DataFrame:
     """Links u, v of distinct fingerprints: enough to join all that differ in `most` bits or fewer, an even number."""
     if most < 2 or most % 2:
         raise ValueError(f"an even number of bits, not {most}")
-    signatures = []
-    for g, (bits, t) in enumerate(search_plan(prints, most)):
+    signatures, plan = [], search_plan(prints, most)
+    for g, (bits, t) in enumerate(plan):
         value = F.col("fp").bitwiseAND(F.lit(_mask(bits)))
         for s in range(t + 1):
             for flips in combinations(bits, s):
@@ -179,7 +192,12 @@ def _links(prints: DataFrame, most: int) -> DataFrame:
     left = small.select("g", "key", F.col("fp").alias("u"), F.col("probe").alias("_probe"))
     right = small.select("g", "key", F.col("fp").alias("v"), "probe")
     near = F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= most
-    pairs = left.join(right, ["g", "key"]).filter((F.col("u") < F.col("v")) & ~(F.col("_probe") & F.col("probe")) & near).select("u", "v")
+    # a pair counts in the first group that it is near enough in
+    apart = F.col("u").bitwiseXOR(F.col("v"))
+    first = F.lit(True)
+    for g, (bits, t) in enumerate(plan):
+        first = first & ((F.col("g") <= g) | (F.bit_count(apart.bitwiseAND(F.lit(_mask(bits)))) > t))
+    pairs = left.join(right, ["g", "key"]).filter((F.col("u") < F.col("v")) & ~(F.col("_probe") & F.col("probe")) & near & first).select("u", "v")
 
     # Two fingerprints differ in `most` bits or fewer just if some value is within half as many bits of both. No more
     # distinct fingerprints are that near to a value than values to a fingerprint (65 for one bit, 2,081 for two), so
