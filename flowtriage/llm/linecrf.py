@@ -13,8 +13,9 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from flowtriage.llm.common import LOWER, UPPER, Plain, bound_batches
 
-#: The field is fitted on so many labelled documents at most, the first by hash of their id, of at most so many lines.
-MOST_DOCS, MOST_LINES = 6_000, 128
+#: The field is fitted on the first labelled documents by hash of their id, of any length: so many, or as many as have so
+#: many lines together, whichever is less.
+MOST_DOCS, MOST_LINES = 6_000, 768_000
 STEPS, RATE, PENALTY = 160, 0.1, 1e-3
 THRESHOLD = 0.3
 #: Texts are handled in groups of about so many characters.
@@ -130,27 +131,36 @@ def fit(chains: list[np.ndarray], good: np.ndarray) -> LineField:
 
 @F.pandas_udf(T.BinaryType())
 def _packed_features(texts: pd.Series) -> pd.Series:
-    """Features of short texts; null for those with too many lines to be fitted on."""
-    return pd.Series([
-        line_features(t)[0].astype("<f4").tobytes() if (t or "").count("\n") < MOST_LINES else None for t in texts], dtype=object)
+    return pd.Series([line_features(t)[0].astype("<f4").tobytes() for t in texts], dtype=object)
 
 
 def learned_field(
-    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", most_docs: int = MOST_DOCS
+    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", most_docs: int = MOST_DOCS,
+    most_lines: int = MOST_LINES,
 ) -> LineField:
-    """The field fitted on at most `most_docs` labelled documents.
+    """The field fitted on the first labelled documents by hash of their id, `most_docs` at most, of any length.
 
-    Labels without id or quality teach nothing. What reaches the driver is bounded by most_docs and MOST_LINES.
+    Labels without id or quality teach nothing. The document that makes up `most_lines` lines is the last, so what reaches
+    the driver is bounded by these two and the longest document.
     """
     plain = Plain(bound_batches(docs))
     chosen = (
         labels.select(F.col("doc_id").alias("_label_id"), F.col("quality").alias("_quality")).dropna()
         .orderBy(F.xxhash64("_label_id"), "_label_id", "_quality").limit(most_docs)
     )
+    text = F.coalesce(F.col(plain[text_col]), F.lit(""))
     rows = plain.df.join(F.broadcast(chosen), F.col(plain[id_col]) == F.col("_label_id")).select(
-        "_quality", "_label_id", _packed_features(F.col(plain[text_col])).alias("_x"))
-    order = [F.xxhash64("_label_id"), "_label_id", "_quality", "_x"]
-    found = rows.filter("_x is not null").orderBy(*order).limit(most_docs).collect()
+        F.xxhash64("_label_id").alias("_hash"), "_label_id", "_quality", text.alias("_text"))
+    order = ["_hash", "_label_id", "_quality"]
+    lines = F.char_length("_text") - F.char_length(F.replace("_text", F.lit("\n"))) + 1
+    listed = rows.select(*order, lines.alias("_lines")).orderBy(*order, "_lines").limit(most_docs).collect()
+    if not listed:
+        return fit([], np.zeros(0, np.int64))
+    total = np.cumsum([r["_lines"] for r in listed])
+    last = listed[min(int(np.searchsorted(total, most_lines)), len(listed) - 1)]
+    until = F.struct(*order) <= F.struct(*[F.lit(last[c]).cast(rows.schema[c].dataType) for c in order])
+    packed = rows.filter(until).select(*order, _packed_features("_text").alias("_x"))
+    found = packed.orderBy(*order, "_x").limit(most_docs).collect()
     chains = [np.frombuffer(r["_x"], "<f4").reshape(-1, WIDTH) for r in found]
     return fit(chains, np.array([int(r["_quality"] == 1) for r in found], np.int64))
 

@@ -339,6 +339,21 @@ def test_line_field_on_held_out_documents(spark, odd, empty, labels):
     assert linecrf.quality(empty, field).count() == 0 and linecrf.keep_good(odd, untaught).columns == odd.columns
 
 
+def test_line_field_learns_from_documents_of_any_length(spark, monkeypatch):
+    good, bad = "a plain sentence of words that go on", "### $$$ !!! 000"
+    docs = [(i, "\n".join([good if i % 2 else bad] * (300 + i))) for i in range(20)] + [(30, None), (31, "")]
+    made = spark.createDataFrame(docs, "doc_id long, text string")
+    marks = spark.createDataFrame([(i, i % 2) for i in range(20)] + [(30, 1)], "doc_id long, quality int")
+    field = linecrf.learned_field(made, marks)
+    scores = {r["doc_id"]: r["score"] for r in linecrf.quality(made, field).collect()}
+    assert all((scores[i] > 0.5) == bool(i % 2) for i in range(20))
+    seen = []
+    monkeypatch.setattr(linecrf, "fit", lambda chains, good: seen.append([len(c) for c in chains]))
+    linecrf.learned_field(made, marks, most_lines=1000)
+    linecrf.learned_field(made, marks, most_docs=5)
+    assert 1000 <= sum(seen[0]) and sum(seen[0][:-1]) < 1000 and len(seen[1]) == 5
+
+
 def test_hidden_markov_model(spark, sf_dir, texts, odd, empty):
     tokens = {i: [*[w.encode() for w in ascii_words(t)], b"\n"] for i, t in texts.items()}
     counts = Counter(w for i, ws in tokens.items() if held(i, 7) != 2 for w in ws)
