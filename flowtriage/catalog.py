@@ -783,9 +783,7 @@ _SERIES = f"""
 
 @query(_log_sql(_SERIES))
 def checkpoint_series(spark: SparkSession, sf_dir: str) -> DataFrame:
-    log = _log(spark, sf_dir)
-    total = log.agg(F.max("record_index")).first()[0]
-    return callstats.checkpoint_series(log, total)
+    return callstats.checkpoint_series(_log(spark, sf_dir))
 
 
 def _winner(position: int, name: str, value: str, order: str) -> str:
@@ -995,11 +993,63 @@ def evaluation_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     UNION ALL SELECT 'timestamps', 'last', NULL, NULL, max(timestamp) FROM sample
     UNION ALL SELECT 'ids', 'unique', count(DISTINCT record_id), NULL, NULL FROM sample
     UNION ALL SELECT 'ids', 'duplicate', count(*) - count(DISTINCT record_id), NULL, NULL FROM sample
-    UNION ALL SELECT 'files', sample || '_' || v.name || '.jsonl', count(*), NULL, NULL
-              FROM nested, (VALUES ('api'), ('eval')) AS v(name) GROUP BY sample, v.name"""))
+    UNION ALL SELECT 'targets', t.label, t.n, NULL, CASE WHEN t.n IS NULL THEN 'all' END
+              FROM (VALUES ('background', 4700), ('blacklist', 290), ('anomaly-sshscan', NULL)) AS t(label, n)
+    UNION ALL SELECT 'strata', label, count(*), {_pct('count(*)', '(SELECT count(*) FROM sample)', 2)}, NULL FROM sample GROUP BY label
+    UNION ALL SELECT 'files', concat(sample, '_', v.name, '.jsonl', part.name), count(*), NULL, CASE part.name WHEN '' THEN 'complete' END
+              FROM nested, (VALUES ('api'), ('eval')) AS v(name), (VALUES (''), ('.expected')) AS part(name)
+              GROUP BY sample, v.name, part.name"""))
 def sampling_run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Profile, sample, export, verify and report: the whole sampling job."""
-    return sampling_job.run_sampling(flows(spark, sf_dir), scratch_path(spark, "sampling")).report
+    """Profile, sample, export, verify and report: the whole sampling job. Sizes of files depend on how they are written."""
+    report = sampling_job.run_sampling(flows(spark, sf_dir), scratch_path(spark, "sampling")).report
+    return report.filter(~F.endswith("key", F.lit(".bytes")))
+
+
+@query(_flow_sql(_SCORED + f"""
+    , calls_of AS (
+        SELECT model_name, model_ord, count(*) FILTER (WHERE NOT failed) AS calls, count(*) FILTER (WHERE failed) AS errors,
+               coalesce(sum(300 + hits) FILTER (WHERE NOT failed), 0) AS input_tokens,
+               coalesce(sum(10 + hits) FILTER (WHERE NOT failed), 0) AS output_tokens,
+               count(*) FILTER (WHERE prediction = 'attack') AS pred_attack, count(*) FILTER (WHERE prediction = 'normal') AS pred_normal
+        FROM verdicts GROUP BY ALL),
+    prices AS (SELECT * FROM (VALUES {", ".join(f"('{m}', {i!r}::DOUBLE, {o!r}::DOUBLE)" for m, (i, o) in PRICES.items())}) AS p(model_name, p_in, p_out)),
+    costed AS (
+        SELECT *, {_rounded('input_tokens / 1000.0::DOUBLE * p_in + output_tokens / 1000.0::DOUBLE * p_out', 6)} AS cost
+        FROM calls_of JOIN prices USING (model_name)),
+    size AS (SELECT count(*) AS n FROM sample),
+    steps AS (SELECT model_name, unnest(range(1, cast(ceil(n / 100.0) AS BIGINT) + 1)) AS step, n FROM calls_of, size),
+    done AS (
+        SELECT s.model_name, least(s.step * 100, any_value(s.n)) AS completed, count(*) FILTER (WHERE NOT v.failed) AS calls
+        FROM steps AS s JOIN verdicts AS v ON v.model_name = s.model_name AND v.sample_rank <= s.step * 100 GROUP BY s.model_name, s.step)
+    SELECT 'truth' AS section, CASE WHEN label = 'background' THEN 'normal' ELSE 'attack' END AS key, count(*) AS n,
+           cast(NULL AS DOUBLE) AS value, cast(NULL AS VARCHAR) AS text FROM sample GROUP BY key
+    UNION ALL SELECT 'records', 'input', n, NULL, NULL FROM size
+    UNION ALL SELECT 'records', 'processed', n, NULL, NULL FROM size
+    UNION ALL SELECT 'records', 'limit', NULL, NULL, NULL
+    UNION ALL SELECT 'records', 'matched_truth', n, NULL, NULL FROM size
+    UNION ALL SELECT 'method', 'policy', NULL, NULL, 'balanced'
+    UNION ALL SELECT 'method', 'resume', NULL, NULL, 'true'
+    UNION ALL SELECT 'models', model_name || '.' || part.name, NULL, NULL, CASE part.name WHEN 'model_id' THEN model_id ELSE provider END
+              FROM (SELECT DISTINCT model_name, model_id, provider FROM verdicts), (VALUES ('model_id'), ('provider')) AS part(name)
+    UNION ALL SELECT 'calls', model_name || '.' || unnest(['calls', 'errors', 'pred_attack', 'pred_normal', 'input_tokens', 'output_tokens']), NULL,
+              unnest([calls, errors, pred_attack, pred_normal, input_tokens, output_tokens])::DOUBLE, NULL FROM calls_of
+    UNION ALL SELECT 'calls', model_name || '.estimated_cost', NULL, cost, NULL FROM costed
+    UNION ALL SELECT 'calls', 'all.estimated_cost', NULL, {_rounded('sum(cast(cost AS DECIMAL(18, 6)))::DOUBLE', 6)}, NULL FROM costed
+    UNION ALL SELECT 'checkpoints', concat(model_name, '.', completed, '.calls'), NULL, calls::DOUBLE, NULL FROM done"""))
+def evaluation_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The report of the whole evaluation, but for metrics and comparison, which have queries of their own, and some figures
+    of calls and checkpoints that follow from the log."""
+    sample, clock = _sample(spark, sf_dir), calls.CountedClock()
+    result = evaluation_job.run_evaluation(
+        api_view(sample), eval_view(sample), scratch_path(spark, "log"), fixtures.Playback(clock), "run1",
+        policy="balanced", concurrency=spark.sparkContext.defaultParallelism, prepare=fixtures.scripted, clock=clock,
+        report_folder=scratch_path(spark, "report"),
+    )
+    figures = ["calls", "errors", "pred_attack", "pred_normal", "input_tokens", "output_tokens", "estimated_cost"]
+    figure = F.regexp_extract("key", r"[.]([a-z_]+)$", 1)
+    return result.report.filter(
+        F.col("section").isin("truth", "records", "method", "models")
+        | ((F.col("section") == "calls") & figure.isin(figures)) | ((F.col("section") == "checkpoints") & (figure == "calls")))
 
 
 # -- streams

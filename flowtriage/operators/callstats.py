@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from flowtriage.functions.numbers import py_round, ratio
@@ -114,22 +112,25 @@ def derived_call_stats(stats: DataFrame) -> DataFrame:
 
 
 def checkpoint_series(
-    log: DataFrame, total_records: int, every: int = 100, models: list[Model] = MODELS,
+    log: DataFrame, total_records: int | None = None, every: int = 100, models: list[Model] = MODELS,
     prices: dict[str, tuple[float, float]] = PRICES, run_id: str | None = None,
 ) -> DataFrame:
     """What the counters stood at after every n records and after the last one, per model.
 
-    Records count from 1. No row is left out: a missing index or one below 1 counts in the first step, one above
-    total_records in the last, so the last step equals call_stats.
+    Records count from 1, up to the largest index of the log if total_records is not given. No row is left out: a missing
+    index or one below 1 counts in the first step, one above total_records in the last, so the last step equals
+    call_stats. There is one step at least.
     Time is the latency summed over all models. Totals run over blocks of
     checkpoints, so a long log is not pulled into one task per model.
     """
     sums = ["calls", "errors", "pred_attack", "pred_normal", "input_tokens", "output_tokens", "total_latency",
             "confidence_sum", "confidence_count"]
     now = F.lit(True) if run_id is None else F.col("run_id") == run_id
-    steps = math.ceil(total_records / every)
+    total = F.lit(total_records) if total_records is not None else log.agg(F.max("record_index")).scalar()
+    total = F.coalesce(total, F.lit(0)).cast("bigint")
+    steps = F.greatest(F.lit(1), F.ceil(total / every))
     per_step = (
-        log.withColumn("step", F.greatest(F.lit(1), F.least(F.ceil(F.col("record_index") / every), F.lit(steps))))
+        log.withColumn("step", F.greatest(F.lit(1), F.least(F.ceil(F.col("record_index") / every), steps)))
         .groupBy("model_name", "step").agg(*_aggregates(now))
         .select("model_name", "step", *sums)
         .withColumns({c: F.col(c).cast("decimal(28,12)") for c in ("total_latency", "confidence_sum")})
@@ -137,7 +138,8 @@ def checkpoint_series(
     each = F.array(*[
         F.struct(F.lit(m.model_name).alias("model_name"), F.lit(m.model_ord).alias("model_ord")) for m in models
     ])
-    grid = log.sparkSession.range(1, steps + 1).select(F.col("id").alias("step"), F.inline(each))
+    grid = log.sparkSession.range(1).select(total.alias("total"), F.explode(F.sequence(F.lit(1).cast("bigint"), steps)).alias("step"))
+    grid = grid.select("total", "step", F.inline(each))
     series = running_totals(
         grid.join(per_step, ["model_name", "step"], "left").fillna(0, sums)
         .withColumn("block", F.floor(F.col("step") / 1000)),
@@ -148,18 +150,18 @@ def checkpoint_series(
     else:
         before = call_stats(log, models, run_id).select("model_name", "skipped_resume")
         series, skipped = series.join(before, "model_name"), F.col("skipped_resume")
-    done = F.least(F.col("step") * every, F.lit(total_records))
+    done = F.least(F.col("step") * every, F.col("total"))
     elapsed = F.sum("total_latency").over(Window.partitionBy("step")).cast("double")
     latency, confidence = F.col("total_latency").cast("double"), F.col("confidence_sum").cast("double")
     return estimate_cost(series, prices).select(
         "model_name", "model_ord", done.cast("bigint").alias("completed"),
-        py_round(ratio(done, F.lit(total_records)) * F.lit(100.0), 1).alias("pct_done"),
+        py_round(ratio(done, F.col("total")) * F.lit(100.0), 1).alias("pct_done"),
         "calls", "errors", skipped.alias("skipped"), "pred_attack", "pred_normal",
         py_round(ratio(confidence, F.col("confidence_count")), 3).alias("avg_confidence"),
         "input_tokens", "output_tokens", "estimated_cost",
         py_round(ratio(latency, F.col("calls")), 3).alias("avg_latency"),
         py_round(elapsed, 3).alias("elapsed_s"),
-        py_round(elapsed / done.cast("double") * (F.lit(total_records) - done).cast("double"), 3).alias("eta_s"),
+        py_round(ratio(elapsed, done) * (F.col("total") - done).cast("double"), 3).alias("eta_s"),
     )
 
 

@@ -5,10 +5,12 @@ from __future__ import annotations
 import time
 import uuid
 from collections.abc import Callable
+from functools import reduce
 from typing import NamedTuple
 
 from pyspark.sql import DataFrame, functions as F
 
+from flowtriage.functions.numbers import py_round
 from flowtriage.operators import callstats, evaluation
 from flowtriage.operators.calls import Clock, RetryPolicy, Scorer
 from flowtriage.operators.models import MODELS, PRICES, Model
@@ -25,10 +27,14 @@ from flowtriage.sources.predictions import (
 from flowtriage.sources.reports import report_rows, unpivot_rows, write_report
 
 SECTIONS = {
-    "truth": "Ground truth",
+    "records": "Records",
+    "truth": "Ground truth of the processed records",
+    "method": "Method",
+    "models": "Models",
     "calls": "Calls per model",
     "metrics": "Metrics per model",
     "comparison": "Comparison",
+    "checkpoints": "Counters after every so many records",
 }
 CALL_FIGURES = [
     "calls", "errors", "skipped_resume", "pred_attack", "pred_normal", "pred_error", "avg_confidence",
@@ -44,32 +50,56 @@ class EvaluationResult(NamedTuple):
     comparison: DataFrame
     errors: DataFrame
     rejected: DataFrame
+    checkpoints: DataFrame
+    report: DataFrame | None
 
 
 def judge(
     log: DataFrame, truth: DataFrame, models: list[Model] = MODELS, run_id: str | None = None,
-    prices: dict[str, tuple[float, float]] = PRICES,
+    prices: dict[str, tuple[float, float]] = PRICES, others: bool = False,
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(metrics, call statistics, comparison) of a log."""
-    names = [m.model_name for m in models]
-    log = log.filter(F.col("model_name").isin(names))
+    """(metrics, call statistics, comparison) of a log, for the listed models; with others, for all that it holds."""
+    if not others:
+        log = log.filter(F.col("model_name").isin([m.model_name for m in models]))
     judged = evaluation.outcomes(latest_predictions(log), truth)
-    measured = materialise(evaluation.metrics(evaluation.confusion_matrix(judged, models)))
-    stats = callstats.call_stats(log, models, run_id)
+    measured = materialise(evaluation.metrics(evaluation.confusion_matrix(judged, models, others)))
+    stats = callstats.call_stats(log, models, run_id, others)
     costed = materialise(callstats.estimate_cost(callstats.derived_call_stats(stats), prices))
     return measured, costed, callstats.compare_models(measured, costed)
 
 
-def evaluation_report(truth: DataFrame, measured: DataFrame, stats: DataFrame, comparison: DataFrame) -> DataFrame:
-    counts = evaluation.truth_counts(truth)
+#: What is said of a checkpoint of a model.
+CHECKPOINT_FIGURES = ["calls", "errors", "skipped", "pred_attack", "pred_normal", "estimated_cost", "elapsed_s"]
+
+
+def evaluation_report(
+    truth: DataFrame, measured: DataFrame, stats: DataFrame, comparison: DataFrame, series: DataFrame,
+    records: tuple[int, int, int | None], models: list[Model], policy: str, resume: bool,
+) -> DataFrame:
+    """Every figure of the run as report rows; records: how many there are, how many were processed, and the limit."""
+    spark = truth.sparkSession
+    counts = evaluation.truth_counts(truth).withColumn("all", F.col("attack") + F.col("normal"))
     names = [*evaluation.OUTCOMES, "total_valid", *evaluation.METRICS]
-    return (
-        report_rows(counts, "truth", "attack", F.col("attack"))
-        .unionByName(report_rows(counts, "truth", "normal", F.col("normal")))
-        .unionByName(unpivot_rows(stats, "calls", "model_name", CALL_FIGURES))
-        .unionByName(unpivot_rows(measured, "metrics", "model_name", names))
-        .unionByName(report_rows(comparison, "comparison", F.col("criterion"), text=F.col("model_name")))
-    )
+    known = spark.createDataFrame(
+        [(f"{m.model_name}.{part}", getattr(m, part)) for m in models for part in ("model_id", "provider")], "key string, text string")
+    method = spark.createDataFrame([("policy", policy), ("resume", str(resume).lower())], "key string, text string")
+    sizes = spark.createDataFrame(list(zip(("input", "processed", "limit"), records)), "key string, n bigint")
+    cost = stats.agg(py_round(F.sum(F.col("estimated_cost").cast("decimal(18,6)")), 6).alias("cost"))
+    marked = series.withColumn("_at", F.concat_ws(".", "model_name", "completed"))
+    parts = [
+        report_rows(sizes, "records", F.col("key"), F.col("n")),
+        report_rows(counts, "records", "matched_truth", F.col("all")),
+        report_rows(counts, "truth", "attack", F.col("attack")),
+        report_rows(counts, "truth", "normal", F.col("normal")),
+        report_rows(method, "method", F.col("key"), text=F.col("text")),
+        report_rows(known, "models", F.col("key"), text=F.col("text")),
+        unpivot_rows(stats, "calls", "model_name", CALL_FIGURES),
+        report_rows(cost, "calls", "all.estimated_cost", value=F.col("cost")),
+        unpivot_rows(measured, "metrics", "model_name", names),
+        report_rows(comparison, "comparison", F.col("criterion"), text=F.col("model_name")),
+        unpivot_rows(marked, "checkpoints", "_at", CHECKPOINT_FIGURES),
+    ]
+    return reduce(DataFrame.unionByName, parts)
 
 
 def in_waves(todo: DataFrame, wave: int) -> DataFrame:
@@ -108,6 +138,8 @@ def run_evaluation(
     prepare: Callable[[DataFrame], DataFrame] = with_bodies,
     calls_per_second: float | None = None,
     clock: Clock | None = None,
+    others: bool = False,
+    every: int = 100,
 ) -> EvaluationResult:
     """Scores pending records, appends them to the log and evaluates the log.
 
@@ -135,11 +167,17 @@ def run_evaluation(
     log = read_log(spark, log_path)
     truth = evaluation.truth_of(eval_records)
     aligned = evaluation.aligned_truth(truth, records)
-    measured, stats, comparison = judge(log, aligned, models, run_id)
+    measured, stats, comparison = judge(log, aligned, models, run_id, others=others)
+    processed = records.count()
+    listed = log.filter(F.col("model_name").isin([m.model_name for m in models]))
+    series = callstats.checkpoint_series(listed, processed, every, models, run_id=run_id)
+    report = None
     if report_folder is not None:
-        write_report(evaluation_report(aligned, measured, stats, comparison), SECTIONS, report_folder,
-                     "evaluation_report")
+        sizes = (processed if limit is None else api_records.count(), processed, limit)
+        report = write_report(
+            evaluation_report(aligned, measured, stats, comparison, series, sizes, models, policy, resume), SECTIONS,
+            report_folder, "evaluation_report")
     return EvaluationResult(
         evaluation.alignment_check(records, truth), aligned, measured, stats, comparison, errors(log),
-        rejected,
+        rejected, series, report,
     )

@@ -26,12 +26,14 @@ SECTIONS = {
     "suspects": "Suspects",
     "suspect_label": "Label distribution, suspects",
     "rule_overlap": "Rule overlap, share of suspects",
+    "targets": "Rows asked for, per label",
     "sample": "Sample",
+    "strata": "Label distribution, sample",
     "sample_label": "Label distribution, nested samples",
     "margin": "95 % margin of error in percent",
     "timestamps": "Time range of the sample",
     "ids": "Record ids of the sample",
-    "files": "Exported files, lines",
+    "files": "Exported files: lines, lines expected, bytes",
 }
 
 
@@ -63,7 +65,8 @@ def ranked_sample(
 
 
 def sample_report(
-    cube: DataFrame, sample: DataFrame, files: DataFrame | None, prefixes: dict[str, int] = PREFIXES
+    cube: DataFrame, sample: DataFrame, files: DataFrame | None, prefixes: dict[str, int] = PREFIXES,
+    targets: dict[str, int | None] = TARGETS,
 ) -> DataFrame:
     """Every figure of the run as report rows."""
     ids = profile.id_uniqueness(sample)
@@ -72,7 +75,11 @@ def sample_report(
     total = cube.agg(F.sum("n")).scalar()
     size = counts.select("sample", F.col("n").alias("size"))
     labels = profile.nested_profile(sample, prefixes).join(size, "sample")
+    asked = cube.sparkSession.createDataFrame(list(targets.items()), "label string, n bigint")
+    strata = profile.label_distribution(sample)
     parts = [
+        report_rows(asked, "targets", F.col("label"), F.col("n"), text=F.when(F.col("n").isNull(), "all")),
+        report_rows(strata.crossJoin(ids.select("total_rows")), "strata", F.col("label"), F.col("n"), safe_pct(F.col("n"), F.col("total_rows"), 2)),
         report_rows(profile.profile_report(cube), F.col("section"), F.col("key"), F.col("n"), F.col("pct")),
         report_rows(ids, "sample", "rows", F.col("total_rows"), safe_pct(F.col("total_rows"), total)),
         report_rows(labels, "sample_label", F.concat_ws(".", "sample", "label"), F.col("n"),
@@ -84,7 +91,10 @@ def sample_report(
         report_rows(ids, "ids", "duplicate", F.col("duplicate_ids")),
     ]
     if files is not None:
-        parts.append(report_rows(files, "files", F.col("file"), F.col("line_count")))
+        verdict = F.when(F.col("line_count_ok"), "complete").otherwise("wrong")
+        parts.append(report_rows(files, "files", F.col("file"), F.col("line_count"), text=verdict))
+        parts.append(report_rows(files, "files", F.concat("file", F.lit(".expected")), F.col("expected_lines")))
+        parts.append(report_rows(files, "files", F.concat("file", F.lit(".bytes")), F.col("size_bytes")))
     report = parts[0]
     for part in parts[1:]:
         report = report.unionByName(part)
@@ -107,5 +117,5 @@ def run_sampling(
     sample = materialise(ranked_sample(flows, cube, targets, seed, rules))
     expected = (export_sharded if sharded else export_samples)(sample, folder, prefixes)
     files = require_complete(verify_export(flows.sparkSession, expected))
-    report = write_report(sample_report(cube, sample, files, prefixes), SECTIONS, folder, "processing_report")
+    report = write_report(sample_report(cube, sample, files, prefixes, targets), SECTIONS, folder, "processing_report")
     return SamplingResult(cube, sample, files, report)
