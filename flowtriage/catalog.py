@@ -20,8 +20,8 @@ from flowtriage.schema import (
     API_COLUMNS, EVAL_COLUMNS, FLOW_COLUMNS, FLOW_SCHEMA, RECORD_ID_COLUMNS, SAMPLE_SCHEMA, api_view, drop_sensitive,
     eval_view, typed_flows,
 )
-from flowtriage.session import materialise, scratch_path
-from flowtriage.sources import exports, flows as flow_source, jsonl, predictions
+from flowtriage.session import materialise, scratch, scratch_path, shared_dir
+from flowtriage.sources import exports, flows as flow_source, jsonl, predictions, storage
 from flowtriage.streaming import live
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -1052,6 +1052,20 @@ def evaluation_report(spark: SparkSession, sf_dir: str) -> DataFrame:
         | ((F.col("section") == "calls") & figure.isin(figures)) | ((F.col("section") == "checkpoints") & (figure == "calls")))
 
 
+@query(_flow_sql("SELECT count(*) AS sampled, cast(3 AS BIGINT) AS tables_during, cast(0 AS BIGINT) AS tables_after FROM sample"))
+def scratch_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sampling job in a block that owns its tables: those of its result while it lasts, and none when it has ended."""
+    table, exported = flows(spark, sf_dir), scratch_path(spark, "sampling")
+    below = lambda: set(storage.glob(spark, f"{shared_dir(spark)}/flowtriage/*"))
+    before = below()
+    with scratch(spark):
+        result = sampling_job.run_sampling(table, exported)
+        sampled = result.sample.count()
+        during = len(below() - before - {f for f in below() if f.endswith(exported.rsplit("/", 2)[1])})
+    after = len(below() - before - {f for f in below() if f.endswith(exported.rsplit("/", 2)[1])})
+    return spark.createDataFrame([(sampled, during, after)], "sampled bigint, tables_during bigint, tables_after bigint")
+
+
 # -- streams
 
 @query(_flow_sql(f"SELECT {_names(_SAMPLED)} FROM suspects"))

@@ -73,32 +73,34 @@ CHECKPOINT_FIGURES = ["calls", "errors", "skipped", "pred_attack", "pred_normal"
 
 
 def evaluation_report(
-    truth: DataFrame, measured: DataFrame, stats: DataFrame, comparison: DataFrame, series: DataFrame,
-    records: tuple[int, int, int | None], models: list[Model], policy: str, resume: bool,
+    truth: DataFrame, measured: DataFrame, stats: DataFrame, comparison: DataFrame, series: DataFrame | None = None,
+    records: dict[str, int | None] | None = None, models: list[Model] = MODELS, method: dict[str, str] | None = None,
 ) -> DataFrame:
-    """Every figure of the run as report rows; records: how many there are, how many were processed, and the limit."""
+    """Every figure of the run as report rows; records and method: what else is known of the run, by name."""
     spark = truth.sparkSession
     counts = evaluation.truth_counts(truth).withColumn("all", F.col("attack") + F.col("normal"))
     names = [*evaluation.OUTCOMES, "total_valid", *evaluation.METRICS]
-    known = spark.createDataFrame(
-        [(f"{m.model_name}.{part}", getattr(m, part)) for m in models for part in ("model_id", "provider")], "key string, text string")
-    method = spark.createDataFrame([("policy", policy), ("resume", str(resume).lower())], "key string, text string")
-    sizes = spark.createDataFrame(list(zip(("input", "processed", "limit"), records)), "key string, n bigint")
+    told = {f"{m.model_name}.{part}": getattr(m, part) for m in models for part in ("model_id", "provider")}
     cost = stats.agg(py_round(F.sum(F.col("estimated_cost").cast("decimal(18,6)")), 6).alias("cost"))
-    marked = series.withColumn("_at", F.concat_ws(".", "model_name", "completed"))
     parts = [
-        report_rows(sizes, "records", F.col("key"), F.col("n")),
         report_rows(counts, "records", "matched_truth", F.col("all")),
         report_rows(counts, "truth", "attack", F.col("attack")),
         report_rows(counts, "truth", "normal", F.col("normal")),
-        report_rows(method, "method", F.col("key"), text=F.col("text")),
-        report_rows(known, "models", F.col("key"), text=F.col("text")),
         unpivot_rows(stats, "calls", "model_name", CALL_FIGURES),
         report_rows(cost, "calls", "all.estimated_cost", value=F.col("cost")),
         unpivot_rows(measured, "metrics", "model_name", names),
         report_rows(comparison, "comparison", F.col("criterion"), text=F.col("model_name")),
-        unpivot_rows(marked, "checkpoints", "_at", CHECKPOINT_FIGURES),
     ]
+    for section, texts in (("models", told), ("method", method)):
+        if texts:
+            rows = spark.createDataFrame(list(texts.items()), "key string, text string")
+            parts.append(report_rows(rows, section, F.col("key"), text=F.col("text")))
+    if records:
+        rows = spark.createDataFrame(list(records.items()), "key string, n bigint")
+        parts.append(report_rows(rows, "records", F.col("key"), F.col("n")))
+    if series is not None:
+        marked = series.withColumn("_at", F.concat_ws(".", "model_name", "completed"))
+        parts.append(unpivot_rows(marked, "checkpoints", "_at", CHECKPOINT_FIGURES))
     return reduce(DataFrame.unionByName, parts)
 
 
@@ -173,10 +175,11 @@ def run_evaluation(
     series = callstats.checkpoint_series(listed, processed, every, models, run_id=run_id)
     report = None
     if report_folder is not None:
-        sizes = (processed if limit is None else api_records.count(), processed, limit)
+        sizes = {"input": processed if limit is None else api_records.count(), "processed": processed, "limit": limit}
+        method = {"policy": policy, "resume": str(resume).lower()}
         report = write_report(
-            evaluation_report(aligned, measured, stats, comparison, series, sizes, models, policy, resume), SECTIONS,
-            report_folder, "evaluation_report")
+            evaluation_report(aligned, measured, stats, comparison, series, sizes, models, method), SECTIONS, report_folder,
+            "evaluation_report")
     return EvaluationResult(
         evaluation.alignment_check(records, truth), aligned, measured, stats, comparison, errors(log),
         rejected, series, report,

@@ -15,7 +15,7 @@ from flowtriage.operators import profile
 from flowtriage.operators.ranking import global_rank
 from flowtriage.operators.rules import RULES, Rule, hit_rows, tag_reasons
 from flowtriage.operators.sampling import PREFIXES, SEED, TARGETS, draw_sample, with_record_id
-from flowtriage.session import materialise
+from flowtriage.session import materialise, released
 from flowtriage.sources.exports import export_samples, export_sharded, require_complete, verify_export
 from flowtriage.sources.reports import report_rows, write_report
 
@@ -101,6 +101,14 @@ def sample_report(
     return report
 
 
+@released
+def stored_sample(
+    flows: DataFrame, cube: DataFrame, targets: dict[str, int | None] = TARGETS, seed: int = SEED, rules: list[Rule] = RULES,
+) -> DataFrame:
+    """ranked_sample as one table; what it took to make it is gone."""
+    return materialise(ranked_sample(flows, cube, targets, seed, rules))
+
+
 def run_sampling(
     flows: DataFrame,
     folder: str,
@@ -110,11 +118,14 @@ def run_sampling(
     rules: list[Rule] = RULES,
     sharded: bool = False,
 ) -> SamplingResult:
-    """Profiles, samples, exports, verifies and reports; sharded writes folders of many files instead of single files."""
+    """Profiles, samples, exports, verifies and reports; sharded writes folders of many files instead of single files.
+
+    The tables of the result (cube, sample, report) stay as long as the scratch block around this call, or the session.
+    """
     cube = materialise(profile.profile_cube(flows, rules))
     if not profile.suspect_ratio(cube, rules).first().suspect_records:
         raise ValueError("no suspects found")
-    sample = materialise(ranked_sample(flows, cube, targets, seed, rules))
+    sample = stored_sample(flows, cube, targets, seed, rules)
     expected = (export_sharded if sharded else export_samples)(sample, folder, prefixes)
     files = require_complete(verify_export(flows.sparkSession, expected))
     report = write_report(sample_report(cube, sample, files, prefixes, targets), SECTIONS, folder, "processing_report")

@@ -70,9 +70,7 @@ def write_single_text(lines: DataFrame, order: list[str], path: str) -> None:
     parts = storage.glob(spark, f"{folder}/part-*")
     if len(parts) != 1:
         raise RuntimeError(f"expected one part file for {path}, found {len(parts)}")
-    if storage.exists(spark, path):
-        storage.delete(spark, path)
-    storage.move(spark, parts[0], path)
+    storage.replace(spark, parts[0], path)
     storage.delete(spark, folder)
 
 

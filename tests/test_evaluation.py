@@ -159,6 +159,22 @@ def test_checkpoints_cover_every_step(spark):
     assert callstats.checkpoint_series(log, 350, models=THREE).count() == 12
 
 
+def test_checkpoints_without_records_or_rows(spark):
+    log = log_rows(spark, [{"model_name": "chatgpt", "record_id": "a", "record_index": 7, "prediction": "attack", "latency_s": 0.25}])
+    rows = {r.model_name: r for r in callstats.checkpoint_series(log, 0, models=THREE).collect()}
+    assert len(rows) == 3 and (rows["chatgpt"].completed, rows["chatgpt"].calls, rows["chatgpt"].eta_s) == (0, 1, 0.0)
+    assert [r.completed for r in callstats.checkpoint_series(log, models=THREE).collect()] == [7] * 3  # by the log's largest index
+    assert callstats.checkpoint_series(log.limit(0), models=THREE).count() == 3
+
+
+def test_models_that_are_not_listed_are_judged_on_request(spark, small):
+    log, truth = small
+    rest = [m for m in THREE if m.model_name != "chatgpt"]
+    for others in (False, True):
+        found = [{r.model_name for r in table.collect()} for table in judge(log, truth, rest, others=others)[:2]]
+        assert all(("chatgpt" in names) == others for names in found)
+
+
 def test_checkpoints_know_the_run(small):
     rows = callstats.checkpoint_series(small[0], 5, models=THREE, run_id="r2").collect()
     assert {(r.model_name, r.calls, r.skipped) for r in rows} == {

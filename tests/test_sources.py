@@ -1,8 +1,8 @@
 from __future__ import annotations
 
-from concurrent.futures import ThreadPoolExecutor
-
 import json
+import threading
+from concurrent.futures import ThreadPoolExecutor
 
 import pytest
 
@@ -168,3 +168,23 @@ def test_runs_that_begin_together_get_numbers_of_their_own(spark, tmp_path):
     for run, n in zip(runs, numbers):
         by_run.setdefault(run, set()).add(predictions.run_sequence(spark, path, run))
     assert all(len(n) == 1 for n in by_run.values()) and len({min(n) for n in by_run.values()}) == 8
+
+
+def test_a_file_is_replaced_in_one_step(spark, tmp_path):
+    """Whoever looks while files are written again and again finds a whole one each time."""
+    path, stop, seen = tmp_path / "one.jsonl", threading.Event(), []
+    write_rows = lambda n: jsonl.write_single_jsonl(spark.range(n).selectExpr("id AS sample_rank"), ["sample_rank"], str(path))
+    write_rows(3)
+
+    def look():
+        while not stop.is_set():
+            seen.append(path.read_text().count("\n"))
+
+    reader = threading.Thread(target=look)
+    reader.start()
+    for n in (5, 7, 3, 5):
+        write_rows(n)
+    stop.set()
+    reader.join()
+    assert set(seen) <= {3, 5, 7} and len(seen) > 10 and path.read_text().count("\n") == 5
+    assert spark.read.text(str(path)).count() == 5 and not list(tmp_path.glob("*.parts-*"))
