@@ -17,7 +17,7 @@ from flowtriage.operators import calls, callstats, evaluation, profile, ranking,
 from flowtriage.operators.models import MODELS, PRICES
 from flowtriage.plans import evaluation_job, sampling_job
 from flowtriage.schema import (
-    API_COLUMNS, EVAL_COLUMNS, FLOW_COLUMNS, FLOW_SCHEMA, RECORD_ID_COLUMNS, SAMPLE_SCHEMA, api_view, drop_sensitive,
+    API_COLUMNS, EVAL_COLUMNS, FLOW_COLUMNS, FLOW_SCHEMA, FLOW_TYPES, RECORD_ID_COLUMNS, SAMPLE_SCHEMA, api_view, drop_sensitive,
     eval_view, typed_flows,
 )
 from flowtriage.session import materialise, scratch, scratch_path, shared_dir
@@ -247,14 +247,12 @@ def ingest_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flow_source.scan_flows(spark, parquet)
 
 
-@query(_flow_sql("""
-    SELECT timestamp, cast(duration AS DOUBLE) AS duration, cast(dst_port AS INT) AS dst_port,
-           try_cast(total_pkts AS BIGINT) AS total_pkts, try_cast(total_bytes AS BIGINT) AS total_bytes, label
-    FROM flows"""))
+_TYPED = ", ".join(f"try_cast({c} AS {FLOW_TYPES[c]}) AS {c}" if c in FLOW_TYPES else c for c in FLOW_COLUMNS)
+
+
+@query(_flow_sql(f"SELECT {_TYPED}, {', '.join(f'{c} AS {c}_text' for c in FLOW_TYPES)}, upper(protocol) AS protocol_upper FROM flows"))
 def typed_view(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return typed_flows(flows(spark, sf_dir)).select(
-        "timestamp", "duration", "dst_port", "total_pkts", "total_bytes", "label"
-    )
+    return typed_flows(flows(spark, sf_dir))
 
 
 @query(_flow_sql(f"SELECT {_names(FLOW_COLUMNS)} FROM flows"))
@@ -288,6 +286,10 @@ def to_jsonl(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jsonl.to_jsonl(_sample(spark, sf_dir), EVAL_COLUMNS)
 
 
+_EXPORTED = " UNION ALL ".join(
+    f"SELECT sample, '{view}' AS view, {_json_sql(columns)} AS value FROM nested" for view, columns in exports.VIEWS.items())
+
+
 @query(_flow_sql("""
     SELECT sample || '_' || v.name || '.jsonl' AS file, count(*) AS expected_lines, count(*) AS line_count,
            true AS line_count_ok
@@ -299,14 +301,22 @@ def export_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return verified.select("file", "expected_lines", "line_count", "line_count_ok")
 
 
-@query(_flow_sql("""
-    SELECT sample, v.name AS view, count(*) AS line_count
-    FROM nested, (VALUES ('api'), ('eval')) AS v(name) GROUP BY ALL"""))
+@query(_flow_sql(_EXPORTED))
+def exported_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All lines of the six files."""
+    path = scratch_path(spark, "export")
+    exports.export_samples(_sample(spark, sf_dir), path)
+    name = F.regexp_extract("_metadata.file_name", "^(.*)_(api|eval)[.]jsonl$", 1)
+    view = F.regexp_extract("_metadata.file_name", "^(.*)_(api|eval)[.]jsonl$", 2)
+    return spark.read.text(path).select(name.alias("sample"), view.alias("view"), "value")
+
+
+@query(_flow_sql(_EXPORTED))
 def export_sharded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All lines of the folders."""
     path = scratch_path(spark, "sharded")
     exports.export_sharded(_sample(spark, sf_dir), path)
-    lines = spark.read.schema("value STRING, sample STRING, view STRING").text(path)
-    return lines.groupBy("sample", "view").agg(F.count("*").alias("line_count"))
+    return spark.read.schema("value STRING, sample STRING, view STRING").text(path).select("sample", "view", "value")
 
 
 @query(_flow_sql(f"SELECT {_names(EVAL_COLUMNS)} FROM sample WHERE sample_rank <= 3000"))
@@ -318,7 +328,7 @@ def reread_export(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(_log_sql("""
-    SELECT model_name, run_id, status, count(*) AS n FROM log WHERE model_name <> 'gemini' GROUP BY ALL"""))
+    SELECT record_id, record_index, model_name, run_id, status, prediction, input_tokens FROM log WHERE model_name <> 'gemini'"""))
 def append_and_reset(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two appended runs, the second written twice, one model's rows discarded."""
     path = scratch_path(spark, "log")
@@ -326,8 +336,8 @@ def append_and_reset(spark: SparkSession, sf_dir: str) -> DataFrame:
     for run in ("r0", "r1", "r1"):
         predictions.append_predictions(log.filter(F.col("run_id") == run), path, run)
     predictions.reset_outputs(spark, path, ["gemini"])
-    stored = predictions.read_log(spark, path)
-    return stored.groupBy("model_name", "run_id", "status").agg(F.count("*").alias("n"))
+    return predictions.read_log(spark, path).select(
+        "record_id", "record_index", "model_name", "run_id", "status", "prediction", "input_tokens")
 
 
 @query(_log_sql("SELECT record_id, model_name, status FROM log WHERE run = 0"))
@@ -465,15 +475,14 @@ def prompt_policies(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query(_flow_sql("""
-    SELECT CASE WHEN dst_port IS NULL THEN 'invalid' ELSE 'valid' END AS kind, label, count(*) AS n
-    FROM flows GROUP BY ALL"""))
+@query(_flow_sql(f"""
+    SELECT CASE WHEN dst_port IS NULL THEN 'invalid' ELSE 'valid' END AS kind, {_names(FLOW_COLUMNS)} FROM flows"""))
 def split_valid_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Flows without a port stand for records without an id."""
     rows = flows(spark, sf_dir).withColumn("record_id", F.coalesce("dst_port", F.lit("")))
     valid, invalid = evaluation.split_valid_ids(rows)
     both = valid.withColumn("kind", F.lit("valid")).unionByName(invalid.withColumn("kind", F.lit("invalid")))
-    return both.groupBy("kind", "label").agg(F.count("*").alias("n"))
+    return both.drop("record_id")
 
 
 # -- aggregations
