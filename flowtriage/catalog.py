@@ -1080,9 +1080,9 @@ def scratch_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(_flow_sql(f"SELECT {_names(_SAMPLED)} FROM suspects"))
 def stream_suspects(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The suspects again, tagged while the flow files stream in."""
-    source, target = scratch_path(spark, "flows"), scratch_path(spark, "suspects")
-    flows(spark, sf_dir).repartition(4, "src_ip", "src_port").write.parquet(source)
-    stream = spark.readStream.schema(FLOW_SCHEMA).option("maxFilesPerTrigger", 2).parquet(source)
+    target = scratch_path(spark, "suspects")
+    width = max(2, spark.sparkContext.defaultParallelism // 2)
+    stream = flow_source.stream_flows(spark, fixtures.flow_files(spark, sf_dir), width)
     live.stream_suspects(stream, target, scratch_path(spark, "state")).awaitTermination()
     return spark.read.parquet(target).select(*_SAMPLED)
 

@@ -91,25 +91,44 @@ def by_slot(position: int, sql_type: str) -> str:
 
 _STORED: dict[tuple[str, str], str] = {}
 
+#: Rows that a task gets at most when a table is dealt out.
+DEALT_ROWS = 2_000_000
+
+
+def _spread(table: DataFrame) -> DataFrame:
+    """The table as its row groups lie; dealt out if one task would read over twice its share of the rows.
+
+    A row group is read by one task, so that a small file may keep one core busy. Counting reads the footers only.
+    """
+    cores = table.sparkSession.sparkContext.defaultParallelism
+    rows = table.groupBy(F.spark_partition_id()).count().agg(F.max("count").alias("largest"), F.sum("count").alias("all")).first()
+    if not rows["all"] or rows["largest"] * cores <= 2 * rows["all"]:
+        return table
+    return table.repartition(max(cores, -(-rows["all"] // DEALT_ROWS)))
+
 
 def derive_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Thirteen text columns over all of lineitem."""
-    lineitem = spark.read.parquet(f"{sf_dir}/lineitem.parquet").repartition(spark.sparkContext.defaultParallelism)
+    lineitem = _spread(spark.read.parquet(f"{sf_dir}/lineitem.parquet"))
     sql = FLOWS.format(
         date="date_format(l_shipdate, 'yyyy-MM-dd HH:mm:ss')", text="STRING", lineitem="{lineitem}"
     )
     return spark.sql(sql, lineitem=lineitem)
 
 
-def flows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The flow table as Parquet with positional columns, derived once per session."""
+def flow_files(spark: SparkSession, sf_dir: str) -> str:
+    """Folder of the flow table as Parquet with positional columns, derived once per session."""
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _STORED:
         path = scratch_path(spark, "flows")
         derived = derive_flows(spark, sf_dir)
         derived.toDF(*[f"_c{i}" for i in range(len(derived.columns))]).write.parquet(path)
         _STORED[key] = path
-    return scan_flows(spark, _STORED[key])
+    return _STORED[key]
+
+
+def flows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_flows(spark, flow_files(spark, sf_dir))
 
 
 def flows_sql() -> str:

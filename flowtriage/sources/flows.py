@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, types as T
 
-from flowtriage.schema import FLOW_SCHEMA, bind_flow_schema, is_typed, typed_flows
+from flowtriage.schema import FLOW_COLUMNS, FLOW_SCHEMA, bind_flow_schema, is_typed, typed_flows
 
 
 def scan_flows(spark: SparkSession, path: str) -> DataFrame:
@@ -12,6 +12,13 @@ def scan_flows(spark: SparkSession, path: str) -> DataFrame:
     return bind_flow_schema(spark.read.parquet(path))
 
 
+def stream_flows(spark: SparkSession, path: str, files_per_trigger: int) -> DataFrame:
+    """The same directory as a stream of its files."""
+    positional = T.StructType([T.StructField(f"_c{i}", T.StringType()) for i in range(len(FLOW_COLUMNS))])
+    return bind_flow_schema(
+        spark.readStream.schema(positional).option("maxFilesPerTrigger", files_per_trigger).parquet(path))
+
+
 def scan_typed_flows(spark: SparkSession, path: str) -> DataFrame:
     """What a typed ingest has written."""
     flows = spark.read.parquet(path)

@@ -6,7 +6,7 @@ from urllib.parse import urlparse
 import pyarrow.parquet as pq
 import scorers
 
-from flowtriage import fixtures
+from flowtriage import catalog, fixtures
 from flowtriage.operators import callstats, rules
 from flowtriage.operators.models import MODELS
 from flowtriage.schema import FLOW_SCHEMA, PREDICTION_SCHEMA, SAMPLE_SCHEMA
@@ -31,6 +31,38 @@ def test_suspects_arrive_once_over_restarts(spark, sf_dir, tmp_path):
     assert rows_of(spark.read.parquet(target).select(*batch.columns)) == rows_of(batch)
 
 
+def test_tasks_of_the_stream_follow_the_table(spark, sf_dir, tmp_path):
+    parts = spark.read.parquet(f"{sf_dir}/lineitem.parquet").repartition(24)
+    parts.write.parquet(str(tmp_path / "lineitem.parquet"))
+    small = {"spark.sql.files.maxPartitionBytes": "8k", "spark.sql.files.openCostInBytes": "1k"}
+    for key, value in small.items():
+        spark.conf.set(key, value)
+    try:
+        found = catalog.QUERIES["stream_suspects"](spark, str(tmp_path))
+        sizes = [r["count"] for r in found.groupBy("_metadata.file_path").count().collect()]
+    finally:
+        for key in small:
+            spark.conf.unset(key)
+    assert sum(sizes) == rules.suspects(fixtures.flows(spark, sf_dir)).count()
+    assert max(sizes) < sum(sizes) / 8
+
+
+def test_tables_in_many_row_groups_are_not_shuffled(spark, sf_dir, tmp_path, monkeypatch):
+    def shuffled(folder):
+        return "Exchange" in fixtures.derive_flows(spark, folder)._jdf.queryExecution().executedPlan().toString()
+
+    spark.read.parquet(f"{sf_dir}/lineitem.parquet").repartition(8).write.parquet(str(tmp_path / "lineitem.parquet"))
+    spark.conf.set("spark.sql.files.openCostInBytes", "1k")
+    try:
+        assert not shuffled(str(tmp_path))
+    finally:
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert shuffled(sf_dir)  # one row group
+    monkeypatch.setattr(fixtures, "DEALT_ROWS", 100)
+    derived = fixtures.derive_flows(spark, sf_dir)
+    assert derived.rdd.getNumPartitions() == -(-derived.count() // 100)
+
+
 def test_counters_follow_the_log(spark, sf_dir, tmp_path):
     log = fixtures.prediction_log(spark, sf_dir)
     path, target, state = (str(tmp_path / n) for n in ("log", "stats", "state"))
