@@ -258,7 +258,7 @@ def typed_view(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(_flow_sql(f"SELECT {_names(FLOW_COLUMNS)} FROM flows"))
 def read_jsonl_strict(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "jsonl")
-    jsonl.to_jsonl(flows(spark, sf_dir), FLOW_COLUMNS).write.text(path)
+    jsonl.write_packed_jsonl(flows(spark, sf_dir), FLOW_COLUMNS, path)
     return jsonl.read_jsonl_strict(spark, path, FLOW_SCHEMA)
 
 

@@ -3,10 +3,12 @@ from __future__ import annotations
 import json
 import threading
 from concurrent.futures import ThreadPoolExecutor
+from pathlib import Path
+from urllib.parse import urlparse
 
 import pytest
 
-from flowtriage import fixtures
+from flowtriage import catalog, fixtures
 from flowtriage.plans import sampling_job
 from flowtriage.schema import API_COLUMNS, EVAL_COLUMNS, FLOW_COLUMNS, FLOW_SCHEMA, PREDICTION_SCHEMA, SAMPLE_SCHEMA
 from flowtriage.sources import exports, flows, jsonl, predictions
@@ -49,6 +51,23 @@ def test_strict_reader_refuses(spark, tmp_path, line):
         jsonl.read_jsonl_strict(spark, path, SAMPLE_SCHEMA).collect()
 
 
+def test_intermediate_lines_are_packed(spark, sf_dir, monkeypatch):
+    monkeypatch.setattr(jsonl, "PACKED_LINES", 200)
+    read = catalog.QUERIES["read_jsonl_strict"](spark, sf_dir)
+    files = [Path(urlparse(f).path) for f in read.inputFiles()]
+    plain = jsonl.to_jsonl(fixtures.flows(spark, sf_dir), FLOW_COLUMNS).selectExpr("sum(octet_length(value) + 1)").first()[0]
+    assert sum(f.stat().st_size for f in files) < plain / 2
+    assert max(r["count"] for r in spark.read.text([str(f) for f in files]).groupBy("_metadata.file_path").count().collect()) <= 200
+
+
+@pytest.mark.parametrize("line", ["{", '{"label":"x"} y'])
+def test_strict_reader_refuses_packed_lines(spark, tmp_path, line):
+    lines = spark.createDataFrame([('{"label":"ok"}',), (line,)], "value string")
+    lines.write.text(str(tmp_path / "bad"), compression="lz4")
+    with pytest.raises(Exception, match="invalid JSON in"):
+        jsonl.read_jsonl_strict(spark, str(tmp_path / "bad"), SAMPLE_SCHEMA).collect()
+
+
 def test_prediction_log_last_line_wins(spark, tmp_path):
     lines = [
         '{"record_id":"a","model_name":"m","prediction":"attack"}', "garbage", '{"model_name":"m"}',
