@@ -187,11 +187,11 @@ def _prompt_sql(policy: str) -> str:
 
 # ---------------------------------------------------------------- Spark side
 
-flows = fixtures.flows
+flows, flows_once = fixtures.flows, fixtures.flows_once
 
 
-def _suspects(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rules.suspects(flows(spark, sf_dir))
+def _suspects(spark: SparkSession, sf_dir: str, source: Query = flows) -> DataFrame:
+    return rules.suspects(source(spark, sf_dir))
 
 
 def _cube(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -242,7 +242,7 @@ def scan_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(_flow_sql(f"SELECT {_names(FLOW_COLUMNS)} FROM flows"))
 def ingest_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     csv, parquet = scratch_path(spark, "csv"), scratch_path(spark, "parquet")
-    flows(spark, sf_dir).write.csv(csv, header=False)
+    flows_once(spark, sf_dir).write.csv(csv, header=False)
     flow_source.ingest_csv(spark, csv, parquet)
     return flow_source.scan_flows(spark, parquet)
 
@@ -252,13 +252,13 @@ _TYPED = ", ".join(f"try_cast({c} AS {FLOW_TYPES[c]}) AS {c}" if c in FLOW_TYPES
 
 @query(_flow_sql(f"SELECT {_TYPED}, {', '.join(f'{c} AS {c}_text' for c in FLOW_TYPES)}, upper(protocol) AS protocol_upper FROM flows"))
 def typed_view(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return typed_flows(flows(spark, sf_dir))
+    return typed_flows(flows_once(spark, sf_dir))
 
 
 @query(_flow_sql(f"SELECT {_names(FLOW_COLUMNS)} FROM flows"))
 def read_jsonl_strict(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "jsonl")
-    jsonl.write_packed_jsonl(flows(spark, sf_dir), FLOW_COLUMNS, path)
+    jsonl.write_packed_jsonl(flows_once(spark, sf_dir), FLOW_COLUMNS, path)
     return jsonl.read_jsonl_strict(spark, path, FLOW_SCHEMA)
 
 
@@ -389,23 +389,23 @@ def limit_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(_flow_sql(f"SELECT {_names(FLOW_COLUMNS)}, {_names(RULE_NAMES)} FROM flagged"))
 def rule_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return flows(spark, sf_dir).select(*FLOW_COLUMNS, *rules.rule_flags())
+    return flows_once(spark, sf_dir).select(*FLOW_COLUMNS, *rules.rule_flags())
 
 
 @query(_flow_sql(f"SELECT {_names(FLOW_COLUMNS)}, suspect_reason FROM tagged"))
 def tag_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rules.tag_reasons(flows(spark, sf_dir))
+    return rules.tag_reasons(flows_once(spark, sf_dir))
 
 
 @query(_flow_sql(f"SELECT {_names(FLOW_COLUMNS)}, suspect_reason FROM suspects"))
 def suspects(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rules.require_nonempty(_suspects(spark, sf_dir))
+    return rules.require_nonempty(_suspects(spark, sf_dir, flows_once))
 
 
 def _typed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flows by way of a CSV file and a typed ingest."""
     csv, parquet = scratch_path(spark, "csv"), scratch_path(spark, "typed")
-    flows(spark, sf_dir).write.csv(csv, header=False)
+    flows_once(spark, sf_dir).write.csv(csv, header=False)
     flow_source.ingest_csv(spark, csv, parquet, typed=True)
     return flow_source.scan_typed_flows(spark, parquet)
 
@@ -420,13 +420,13 @@ def typed_suspects(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT rule, label, count(*) AS n FROM (SELECT unnest(string_split(suspect_reason, ',')) AS rule, label FROM suspects)
     GROUP BY ALL"""))
 def rules_by_label(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hit = rules.rules_hit(flows(spark, sf_dir))
+    hit = rules.rules_hit(flows_once(spark, sf_dir))
     return hit.select(F.explode("rules").alias("rule"), "label").groupBy("rule", "label").agg(F.count("*").alias("n"))
 
 
 @query(_flow_sql(f"SELECT {_names(FLOW_COLUMNS)}, record_id FROM hashed"))
 def record_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sampling.with_record_id(_suspects(spark, sf_dir)).select(*FLOW_COLUMNS, "record_id")
+    return sampling.with_record_id(_suspects(spark, sf_dir, flows_once)).select(*FLOW_COLUMNS, "record_id")
 
 
 @query(_flow_sql(f"SELECT {_names(API_COLUMNS)} FROM sample"))
@@ -441,14 +441,14 @@ def sample_eval_view(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(_flow_sql(f"SELECT {_names(FLOW_COLUMNS[:-1])} FROM suspects"))
 def without_sensitive(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return drop_sensitive(_suspects(spark, sf_dir))
+    return drop_sensitive(_suspects(spark, sf_dir, flows_once))
 
 
 @query(_flow_sql("""
     SELECT label, CASE WHEN label = 'background' THEN 'normal' ELSE 'attack' END AS binary_label, count(*) AS n
     FROM flows GROUP BY ALL"""))
 def binary_label(spark: SparkSession, sf_dir: str) -> DataFrame:
-    padded = flows(spark, sf_dir).withColumn(
+    padded = flows_once(spark, sf_dir).withColumn(
         "binary_label", label_functions.binary_label(F.concat(F.lit(" "), F.upper("label"), F.lit("\t")))
     )
     return padded.groupBy("label", "binary_label").agg(F.count("*").alias("n"))
@@ -457,7 +457,7 @@ def binary_label(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(_flow_sql(f"""
     SELECT {_names(FLOW_COLUMNS)} FROM suspects WHERE label IN ('background', 'blacklist', 'anomaly-sshscan')"""))
 def stratum_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sampling.stratum_filter(_suspects(spark, sf_dir), list(sampling.TARGETS)).select(*FLOW_COLUMNS)
+    return sampling.stratum_filter(_suspects(spark, sf_dir, flows_once), list(sampling.TARGETS)).select(*FLOW_COLUMNS)
 
 
 @query(_flow_sql(f"SELECT record_id, {_prompt_sql('conservative')} AS prompt FROM sample"))
@@ -489,12 +489,12 @@ def split_valid_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(_flow_sql("SELECT count(*) AS n FROM flows"))
 def total_count(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return profile.total_count(flows(spark, sf_dir))
+    return profile.total_count(flows_once(spark, sf_dir))
 
 
 @query(_flow_sql("SELECT label, count(*) AS n FROM flows GROUP BY ALL"))
 def label_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return profile.label_distribution(flows(spark, sf_dir))
+    return profile.label_distribution(flows_once(spark, sf_dir))
 
 
 @query(_flow_sql(f"SELECT label, {_names(RULE_NAMES)}, count(*) AS n FROM flagged GROUP BY ALL"))

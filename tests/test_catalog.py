@@ -6,6 +6,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as driver
+from flowtriage import fixtures
 from flowtriage.catalog import ORACLES, QUERIES
 
 TABLES = [
@@ -52,3 +53,27 @@ def test_last_checkpoint_holds_every_call(spark, sf_dir):
     for row in series:
         if row["completed"] == max(r["completed"] for r in series):
             assert (row["calls"], row["errors"]) == (stats[row["model_name"]]["calls"], stats[row["model_name"]]["errors"])
+
+
+ONE_PASS = [
+    "ingest_csv", "typed_view", "read_jsonl_strict", "rule_flags", "tag_reasons", "suspects", "typed_suspects", "rules_by_label",
+    "record_ids", "without_sensitive", "binary_label", "stratum_filter", "total_count", "label_distribution",
+]
+
+
+@pytest.fixture(scope="module")
+def fresh(spark, sf_dir, tmp_path_factory):
+    folder = str(tmp_path_factory.mktemp("fresh"))
+    spark.read.parquet(f"{sf_dir}/lineitem.parquet").write.parquet(f"{folder}/lineitem.parquet")
+    return folder
+
+
+@pytest.mark.parametrize("name", ONE_PASS)
+def test_one_pass_over_flows_stores_no_table(spark, sf_dir, fresh, name):
+    fixtures.flows(spark, sf_dir)
+
+    def rows(folder):
+        return sorted((tuple(r) for r in QUERIES[name](spark, folder).collect()), key=repr)
+
+    assert rows(fresh) == rows(sf_dir)
+    assert (spark.sparkContext.applicationId, fresh) not in fixtures._STORED
